@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 NORMAL, CONTROL, BYTE, UNKNOWN = range(4)
 #: Stretches that each of two generations of the cache may hold.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 200_000
 #: Characters of text that go through a worker at once.
 SLICE_CHARS = 4_000_000
 
@@ -91,9 +91,13 @@ class Coder:
         self.known = {p: i for p, i in self.plain.items() if len(p) == 1 or self._merged(p) == [p]}
         self.trie = ahocorasick.Automaton()
         for p, i in self.known.items():
-            self.trie.add_word(p, (len(p), i))
+            self.trie.add_word(p, i)
         self.trie.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.letters = {p for p in self.known if len(p) == 1}
+        self.length = [len(p) for p in v.pieces]
+        #: For each piece the longest shorter one that it begins with; -1: none.
+        self.shorter = [next((self.known[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.known), -1) for p in v.pieces]
+        self.compatible: dict[int, bool] = {}
         self.cut = re.compile(self._cuts())
         self.stretch = _Kept(self._stretch)
         self.out = [self._bytes(i) for i in range(len(v.pieces))]
@@ -110,9 +114,9 @@ class Coder:
         joined = {b for a, b in inner if letter.match(a)}
         split = "".join(re.escape(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" if c not in joined)
         if not split:
-            return f"(?:{MARK}+|[^{MARK}{apart}])[^{MARK}{apart}]*|[\\s\\S]"
+            return f"(?: +|[^ {apart}])[^ {apart}]*|[\\s\\S]"
         # a stretch also ends between a letter and a sign that no piece joins to one
-        return f"(?:{MARK}+|[^{MARK}{apart}])(?:[^{MARK}{apart}{split}]+|(?<![^\\W\\d_])[{split}])*|[\\s\\S]"
+        return f"(?: +|[^ {apart}])(?:[^ {apart}{split}]+|(?<![^\\W\\d_])[{split}])*|[\\s\\S]"
 
     def _merged(self, text: str) -> list[str]:
         """Merging from single characters: best score first, leftmost of equals."""
@@ -129,59 +133,59 @@ class Coder:
         return parts
 
     def _fits(self, a: int, b: int) -> bool:
-        fits = self.compatible.get((a, b))
+        key = a << 20 | b
+        fits = self.compatible.get(key)
         if fits is None:
             if len(self.compatible) >= 4 * CACHE_ENTRIES:
                 self.compatible.clear()
             x, y = self.v.pieces[a], self.v.pieces[b]
-            fits = self.compatible[a, b] = self._merged(x + y) == [x, y]
+            fits = self.compatible[key] = self._merged(x + y) == [x, y]
         return fits
 
     def _known_stretch(self, text: str) -> list[int]:
         """Pieces of a text all of whose characters have pieces."""
-        longest = [i for _, (_, i) in self.trie.iter_long(text)]
-        fits = self._fits
-        for k in range(len(longest) - 1):
-            if not fits(longest[k], longest[k + 1]):
+        kept, longest = self.compatible.get, self.trie.iter_long
+        found = [i for _, i in longest(text)]
+        for k in range(len(found) - 1):
+            if not (kept(found[k] << 20 | found[k + 1]) or self._fits(found[k], found[k + 1])):
                 break
         else:
-            return longest
-        at: list[list[tuple[int, int]]] = [[] for _ in text]
-        for last, found in self.trie.iter(text):
-            at[last - found[0] + 1].append(found)
-        for options in at:
-            options.sort(reverse=True)
-        n, failed = len(text), 0
-        path: list[int] = []  # pieces so far
-        stack = [(0, iter(at[0]))]  # where each began, and what is still to be tried there
+            return found
+        # the first k + 1 pieces are as the search below would take them
+        length, shorter, n = self.length, self.shorter, len(text)
+        path, i = found[: k + 1], found[k + 1]
+        pos, failed = sum(length[x] for x in path), 0
         while True:
-            pos, options = stack[-1]
-            for length, i in options:
-                to = pos + length
-                if failed >> to & 1 or (path and not fits(path[-1], i)):
-                    continue
+            while i >= 0:
+                to = pos + length[i]
+                if not failed >> to & 1 and (not path or kept(path[-1] << 20 | i) or self._fits(path[-1], i)):
+                    break
+                i = shorter[i]
+            if i >= 0:
                 path.append(i)
-                if to == n:
+                pos = to
+                if pos == n:
                     return path
-                stack.append((to, iter(at[to])))
-                break
-            else:
+                i = next(longest(text, pos))[1]
+            else:  # no way leads on from here: a shorter piece before
                 failed |= 1 << pos
-                stack.pop()
-                path.pop()
+                i = path.pop()
+                pos -= length[i]
+                i = shorter[i]
 
     def _pieces(self, text: str) -> list[int]:
         """Splits off characters without a piece, which become bytes."""
+        if self.letters.issuperset(text):
+            return self._known_stretch(text) if text else []
         found: list[int] = []
-        begin = 0
-        for k, c in enumerate(text):
-            if c not in self.plain:
-                if begin < k:
-                    found += self._known_stretch(text[begin:k])
-                found += [self.byte_id[b] for b in c.encode()] if self.byte_id else [self.unknown]
-                begin = k + 1
-        if begin < len(text):
-            found += self._known_stretch(text[begin:])
+        for known, part in groupby(text, self.letters.__contains__):
+            part = "".join(part)
+            if known:
+                found += self._known_stretch(part)
+            elif self.byte_id:
+                found += [self.byte_id[b] for b in part.encode()]
+            else:
+                found += [self.unknown] * len(part)
         return found
 
     def _run(self, n: int) -> list[int]:
@@ -194,6 +198,7 @@ class Coder:
         return [self.id_of[MARK * k] for k in parts]
 
     def _stretch(self, text: str) -> bytes:
+        text = text.replace(" ", MARK)
         marks = len(text) - len(text.lstrip(MARK))
         if marks < 2:
             found = self._pieces(text)
@@ -207,7 +212,9 @@ class Coder:
         """The ids of a text with the end id, as the bytes of 32-bit integers."""
         if not text:
             return self.end
-        return b"".join(map(self.stretch.__getitem__, self.cut.findall(MARK + text.replace(" ", MARK)))) + self.end
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        return b"".join(map(self.stretch.__getitem__, self.cut.findall(" " + text))) + self.end
 
     def _bytes(self, i: int) -> bytes:
         kind, piece = self.v.kinds[i], self.v.pieces[i]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, quality_rules
+from . import decontaminate, licenses, pairwise_quality, pieces, quality_rules
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -31,6 +31,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scored = pairwise_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=out())
+    return scored.select("doc_id", F.coalesce(out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -40,5 +58,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op9_licenses)
+    f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses)
 }
