@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pairwise_quality, pieces, quality_rules
+from . import decontaminate, licenses, line_dedup, pairwise_quality, pieces, quality_rules
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, info=True).select("doc_id", "text", "n_lines_deleted")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -58,5 +63,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses)
+    f.__name__: f for f in (op1_line_dedup, op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses)
 }
