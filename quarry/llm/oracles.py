@@ -54,4 +54,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3, "op5_quality_rules": OP5}
+OP2 = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+h AS (
+  SELECT conv_id, min(conv_id) OVER (PARTITION BY role, text) AS chosen_id FROM n WHERE i = 1),
+a AS (
+  SELECT conv_id, max(i) AS last, max_by(text, i) FILTER (i < m) AS before
+  FROM (SELECT *, max(i) OVER (PARTITION BY conv_id) AS m FROM n WHERE role = 'assistant') GROUP BY conv_id),
+r AS (
+  SELECT n.conv_id, n.i, n.n, n.role,
+    CASE WHEN h.chosen_id = n.conv_id AND n.i = coalesce(a.last, n.n) THEN coalesce(a.before, '') ELSE n.text END AS text
+  FROM n JOIN h USING (conv_id) LEFT JOIN a USING (conv_id)),
+c AS (SELECT h.conv_id, n.i, n.n, n.role, n.text FROM h JOIN n ON n.conv_id = h.chosen_id),
+p0 AS (
+  SELECT r.conv_id, least(max(r.n), max(c.n)) AS short, max(r.n) = max(c.n) AS even,
+    min(r.i) FILTER (c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) AS differs
+  FROM r JOIN c USING (conv_id, i) GROUP BY r.conv_id),
+p AS (
+  SELECT conv_id, CASE WHEN differs IS NOT NULL THEN differs - 1 WHEN even THEN greatest(short - 1, 0) ELSE short END AS k FROM p0),
+s AS (
+  SELECT r.conv_id,
+    coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY i) FILTER (i <= k), '') AS prompt,
+    coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY i) FILTER (i > k), '') AS rejected,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY i) FILTER (i > k), '') AS rejected_mask
+  FROM r JOIN p USING (conv_id) GROUP BY r.conv_id),
+u AS (
+  SELECT c.conv_id,
+    coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY i) FILTER (i > k), '') AS chosen,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY i) FILTER (i > k), '') AS chosen_mask
+  FROM c JOIN p USING (conv_id) GROUP BY c.conv_id)
+SELECT h.conv_id, h.chosen_id, k::BIGINT AS n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask
+FROM h JOIN p USING (conv_id) JOIN s USING (conv_id) JOIN u USING (conv_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_preferences": OP2, "op3_decontaminate": OP3, "op5_quality_rules": OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, pairwise_quality, pieces, quality_rules
+from . import decontaminate, licenses, line_dedup, pairwise_quality, pieces, preferences, quality_rules
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -17,6 +17,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, info=True).select("doc_id", "text", "n_lines_deleted")
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = preferences.formatted(preferences.pairs(table(spark, sf_dir, "conversations")))
+    joined = lambda c: F.array_join(F.transform(c, lambda t: t["text"]), "")
+    masks = lambda c: F.array_join(F.transform(c, lambda t: t["mask"].cast("string")), "")
+    return made.select(
+        F.col("pair_id").alias("conv_id"), "chosen_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt",
+        joined("chosen").alias("chosen"), masks("chosen").alias("chosen_mask"),
+        joined("rejected").alias("rejected"), masks("rejected").alias("rejected_mask"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -63,5 +74,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses)
+    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses)
 }
