@@ -89,4 +89,12 @@ SELECT h.conv_id, h.chosen_id, k::BIGINT AS n_prompt_turns, prompt, chosen, chos
 FROM h JOIN p USING (conv_id) JOIN s USING (conv_id) JOIN u USING (conv_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_preferences": OP2, "op3_decontaminate": OP3, "op5_quality_rules": OP5}
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+l AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= 1000) ELSE page_id END AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to
+FROM l
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_warc": OP10, "op2_preferences": OP2, "op3_decontaminate": OP3, "op5_quality_rules": OP5}

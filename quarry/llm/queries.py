@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, pairwise_quality, pieces, preferences, quality_rules
+from . import decontaminate, licenses, line_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -73,6 +73,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses)
+    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses, op10_warc)
 }
