@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
+from . import decontaminate, licenses, line_dedup, near_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -38,6 +38,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     book = quality_rules.apply_policy(book, quality_rules.BASE, "_base")
@@ -78,5 +82,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses, op10_warc)
+    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op4_near_dedup, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses, op10_warc)
 }
