@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, near_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
+from . import decontaminate, html_extract, licenses, line_dedup, near_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -51,6 +51,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     scored = pairwise_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=out())
@@ -82,5 +86,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op4_near_dedup, op5_quality_rules, op7_pairwise_quality, op8_sentencepiece, op9_licenses, op10_warc)
+    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op4_near_dedup, op5_quality_rules, op6_html_extract, op7_pairwise_quality, op8_sentencepiece, op9_licenses, op10_warc)
 }
