@@ -1,0 +1,96 @@
+"""Ranked lanes and their fusion.
+
+A lane is a frame (lane_id, rank, chunk_id): at most k rows. Lanes are unions of small
+frames; only the predicates that make them touch all chunks.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text, vectors
+
+EXACT_K, LEXICAL_K, VECTOR_K, FUSION_K, RRF_K, MAX_DISTANCE = 30, 40, 40, 30, 60, 0.55
+
+
+def searchable(chunks: DataFrame, versions: DataFrame, assets: DataFrame, obsolete: bool = False, where: Column | None = None) -> DataFrame:
+    """Chunks of assets that aren't deleted, in current approved versions (or any, with ``obsolete``)."""
+    kept = assets.filter(F.col("deleted_at").isNull())
+    if where is not None:
+        kept = kept.filter(where)
+    shown = versions if obsolete else versions.filter(F.col("is_current") & (F.col("lifecycle_status") == "approved"))
+    return chunks.join(shown.select("version_id"), "version_id", "left_semi").join(kept.select("asset_id", F.col("created_at")), "asset_id")
+
+
+def ranked(rows: DataFrame, k: int, lane: int, *order: Column) -> DataFrame:
+    """The first k rows as a lane. The limit is taken before ranks are given, so one task sees k rows only."""
+    top = rows.orderBy(*order).limit(k)
+    keys = Window.orderBy(*order)
+    return top.select(F.lit(lane).cast("long").alias("lane_id"), F.row_number().over(keys).cast("long").alias("rank"), "chunk_id")
+
+
+def identifier_lane(chunks: DataFrame, token: str, lane: int, k: int = EXACT_K) -> DataFrame:
+    """Chunks whose identifier is the token or whose text holds it, in any case."""
+    hit = (F.col("identifier") == token) | F.contains(F.lower("display_content"), F.lit(token.lower()))
+    return ranked(chunks.filter(hit), k, lane, F.col("created_at").desc(), F.col("chunk_id").asc())
+
+
+def vector_hits(chunks: DataFrame, embeddings: DataFrame, query: list[float], k: int = VECTOR_K) -> DataFrame:
+    """The k nearest chunks (chunk_id, distance): distances are made once for each vector, not each chunk."""
+    at = F.array(*[F.lit(float(x)) for x in query])
+    near = embeddings.select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), at), 9).alias("distance"))
+    return chunks.select("chunk_id", "vec_id").join(near, "vec_id").orderBy("distance", "chunk_id").limit(k).select("chunk_id", "distance")
+
+
+def vector_lane(hits: DataFrame, lane: int, farthest: float = MAX_DISTANCE) -> DataFrame:
+    """Hits that are near enough; the others were counted in the top k but have no rank."""
+    return ranked(hits.filter(F.col("distance") <= farthest), VECTOR_K, lane, F.col("distance").asc(), F.col("chunk_id").asc())
+
+
+def lexical_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_id, n): chunks that hold all terms as words, and how often they do."""
+    words = F.split(F.lower(F.concat_ws(" ", "identifier", "display_content")), r"[^a-z0-9]+")
+    held = lambda t: F.size(F.filter("_w", lambda w: w == t))
+    counts = [held(t) for t in dict.fromkeys(terms)]
+    if not counts:
+        return chunks.select("chunk_id", F.lit(0).cast("long").alias("n")).limit(0)
+    return chunks.select("chunk_id", words.alias("_w")).filter(reduce(lambda a, b: a & b, [c > 0 for c in counts])).select("chunk_id", sum(counts[1:], counts[0]).cast("long").alias("n"))
+
+
+def entity_lane(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, query: str, lane: int, least: float = 0.35, k: int = LEXICAL_K) -> DataFrame:
+    """Chunks that mention an entity named in the query, or named like it."""
+    plain = text.normal_name(F.lit(query))
+    score = text.similarity(F.col("canonical_name"), F.lit(query))
+    name = text.normal_name(F.col("canonical_name"))
+    hit = entities.select("entity_id", score.alias("score"), ((name != "") & F.contains(plain, name)).alias("named")).filter("named or score >= " + str(least))
+    best = mentions.join(hit, "entity_id").join(chunks.select("chunk_id"), "chunk_id").groupBy("chunk_id").agg(F.round(F.max("score"), 9).alias("score"))
+    return ranked(best, k, lane, F.col("score").desc(), F.col("chunk_id").asc())
+
+
+def fuse(lanes: list[DataFrame], k: int = FUSION_K, rrf_k: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion (chunk_id, rrf_score, first); ties go to the lane, then the rank, met first."""
+    every = reduce(DataFrame.unionByName, lanes)
+    summed = every.groupBy("chunk_id").agg(
+        F.round(F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))), 9).alias("rrf_score"), F.min(F.col("lane_id") * 1_000_000 + F.col("rank")).alias("first")
+    )
+    return summed.orderBy(F.col("rrf_score").desc(), F.col("first").asc()).limit(k)
+
+
+def neighbours(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits with the chunks before and after them in their version."""
+    part = hits.select("chunk_id")
+    versions = chunks.join(part, "chunk_id", "left_semi").select("version_id").distinct()
+    near = Window.partitionBy("version_id").orderBy("chunk_seq")
+    around = chunks.join(versions, "version_id", "left_semi").select(
+        "chunk_id", F.lag("chunk_id").over(near).alias("previous_chunk_id"), F.lead("chunk_id").over(near).alias("next_chunk_id")
+    )
+    return hits.join(around, "chunk_id")
+
+
+def first_vector(embeddings: DataFrame, vec_id: int = 7) -> list[float]:
+    """The vector of one id stands for an embedded query."""
+    row = embeddings.filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return [] if row is None else [float(x) for x in row[0]]
