@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import admin, search  # noqa: F401
+from . import admin, content, search  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -6,7 +6,7 @@ that the two can't drift. ``NOW`` is the fixed present of all queries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import read
@@ -150,16 +150,18 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     """Stack frames (trace_id, frame_seq, class_name, method_name, is_app) of line items."""
     part = F.col("l_partkey")
     owner = F.concat(F.lit("com.acme.b"), (part % 25).cast("string"), F.lit(".Svc"), (part % 40).cast("string"), F.when(part % 5 == 0, "$Inner").otherwise(""))
-    return read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").select(
+    # line numbers repeat within an order; part and supplier tell lines apart
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").select(
         F.col("l_orderkey").alias("trace_id"),
-        F.col("l_linenumber").cast("long").alias("frame_seq"),
+        F.row_number().over(order).cast("long").alias("frame_seq"),
         F.when(part % 9 == 0, "java.util.ArrayList").otherwise(owner).alias("class_name"),
         F.concat(F.lit("m"), (part % 12).cast("string")).alias("method_name"),
     )
 
 
 FRAMES = """v_frames AS (
-  SELECT l_orderkey AS trace_id, l_linenumber::BIGINT AS frame_seq,
+  SELECT l_orderkey AS trace_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS frame_seq,
     CASE WHEN l_partkey % 9 = 0 THEN 'java.util.ArrayList' ELSE 'com.acme.b' || (l_partkey % 25) || '.Svc' || (l_partkey % 40) || CASE WHEN l_partkey % 5 = 0 THEN '$Inner' ELSE '' END END AS class_name,
     'm' || (l_partkey % 12) AS method_name
   FROM lineitem)"""
