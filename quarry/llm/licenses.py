@@ -105,9 +105,8 @@ def rules() -> tuple[Rule, ...]:
             for v in versions:
                 number = v.removesuffix(".0").replace(".", " ")
                 number = f"{number}(?: 0)?" if v.endswith(".0") else number
-                versioned = f"{name}(?: licen[cs]e)?(?: version| v|)? {number}(?! [0-9])"
-                versioned = f"{name}(?: licen[cs]e)?(?: international| unported|)?(?: version| v|) {number}(?! [0-9])"
-                made.append(Rule(f"{name} {v} or later", f"{versioned} or (?:\\(at your option\\) )?(?:any )?(?:later|newer)", f"{label}-{v}-or-later", keyword, 4))
+                versioned = f"{name}(?: licen[cs]e)?(?: international| unported)?(?: version | v | v| ){number}(?! [0-9])"
+                made.append(Rule(f"{name} {v} or later", f"{versioned} or (?:at your option )?(?:any )?(?:later|newer)", f"{label}-{v}-or-later", keyword, 4))
                 made.append(Rule(f"{name} {v}", versioned, f"{label}-{v}", keyword, 3))
             made.append(Rule(name, name, label, keyword, 2))
         tag = label.replace("-", " ")

@@ -1,0 +1,270 @@
+"""The training-data operators on small fixtures: brute force, edge cases, round trips."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, html_extract, licenses, line_dedup, near_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _k string, word int"
+WORDS = [f"w{k}" for k in range(400)]
+
+
+def some_docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", None, None, "clash", 1) for i, t in texts], DOCS)
+
+
+def prose(rng, n, per_line=12):
+    words = [rng.choice(WORDS) for _ in range(n)]
+    return "\n".join(" ".join(words[k : k + per_line]) for k in range(0, n, per_line))
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t\n "), (None, "null id here"), (5, "same"), (5, "same"), (6, "x" * 200_000), (7, "é " * 30_000), (8, "...")]
+
+
+@pytest.mark.parametrize("apply", [
+    lambda d: line_dedup.dedup_lines(d, info=True), near_dedup.near_classes, near_dedup.keep_one, quality_rules.ledger, quality_rules.keep_good, licenses.scan,
+], ids=["lines", "near", "one", "ledger", "keep", "licenses"])
+def test_odd_and_empty_tables(spark, apply):
+    assert apply(some_docs(spark, ODD)).count() >= 0
+    assert apply(some_docs(spark, [])).count() == 0
+
+
+def test_odd_tables_of_operators_with_two_inputs(spark):
+    bench = lambda rows: spark.createDataFrame(rows, "item_id long, text string, _k string")
+    items = bench([(1, None, "x"), (2, "", "x"), (None, "null id here", "x"), (3, "same", "x")])
+    odd = some_docs(spark, ODD)
+    found = {(r.doc_id, r.n_words): (r.n_hit, r["items"]) for r in decontaminate.contamination(odd, items).collect()}
+    assert found[5, 1] == (1, ["3"]) and found[1, 0] == (0, []) and found[None, 3][0] == 3
+    assert decontaminate.contamination(odd, bench([])).filter("n_hit > 0").count() == 0
+    assert decontaminate.contamination(some_docs(spark, []), items).count() == 0
+    labels = spark.createDataFrame([(5, None), (None, 1), (2, 0)], "doc_id long, quality int")
+    scored = pairwise_quality.score(odd, labels)
+    assert scored.count() == len(ODD) and scored.filter("score is null or abs(score - 0.5) > 1e-9").count() == 0
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(3)
+    passages = [prose(rng, 60) for _ in range(6)]
+    texts = []
+    for i in range(60):
+        parts = [prose(rng, rng.randint(10, 80)) for _ in range(3)]
+        if i % 2:
+            parts.insert(rng.randint(0, 3), rng.choice(passages))
+        texts.append((i, "\n".join(parts)))
+    texts += [(100, texts[0][1]), (101, "w1"), (102, "w1")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(some_docs(spark, texts)).collect()}
+    lines = {i: [x.strip(" ") for x in t.split("\n") if re.search(r"\S", x)] for i, t in texts}
+    first, last = {}, {}
+    for i in sorted(lines):
+        for x in lines[i]:
+            first.setdefault(x, i)
+            last[x] = i
+    for i, t in texts:
+        at = [k for k, x in enumerate(lines[i]) if first[x] != last[x]]
+        hit = set()
+        for f in {first[lines[i][k]] for k in at} - {i}:
+            theirs = [x for x in lines[f] if first[x] != last[x]]
+            found = line_dedup.align(theirs, [lines[i][k] for k in at])
+            hit |= set(line_dedup.blocks(found, at, [len(lines[i][k].split()) for k in at], line_dedup.MIN_WORDS))
+        assert got[i] == (line_dedup.without_lines(t, hit) if hit else t)
+    assert got[100] == "" and got[102] == "w1"
+
+
+def test_patience_alignment():
+    assert line_dedup.patience([1, 2, 3, 4], [0, 1, 2, 9, 4]) == [(0, 1), (1, 2), (3, 4)]
+    assert line_dedup.align([1, 2, 3], [3, 1, 2]) == [0, 1, 2]
+    assert line_dedup.align([7, 7], [7, 7, 7]) == [0, 1]
+
+
+def test_quality_rules_match_brute_force(spark):
+    rng = random.Random(5)
+    texts = [(i, prose(rng, rng.randint(0, 60))) for i in range(40)]
+    texts += [(50 + k, f"{prose(rng, 20)}\n" * 3 + prose(rng, 9)) for k in range(5)] + [(60, "a # b $ " * 40)]
+    book = quality_rules.apply_policy(quality_rules.ledger(some_docs(spark, texts)), quality_rules.POLICIES[-1])
+    got = {r.doc_id: r for r in book.collect()}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        covered = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 8)}
+        assert (got[i].n_words, got[i].n_repeat_words, got[i].word_chars) == (len(w), len(covered), sum(map(len, w)))
+    assert not got[60].kept
+    patterns = {(r.version, r.rule): (r.n_failed, r.n_failed_alone) for r in quality_rules.ablation(book).collect()}
+    assert patterns["base", "few_words"][0] == sum(r.n_words < 20 for r in got.values())
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(7)
+    items = [(k, prose(rng, n)) for k, n in enumerate([40, 25, 10, 9, 4, 2, 1])]
+    texts = []
+    for i in range(50):
+        t = prose(rng, rng.randint(0, 60)).split()
+        if i % 3 == 0:
+            w = rng.choice(items)[1].split()
+            k = rng.randint(0, max(0, len(w) - 12))
+            t[5:5] = w[k : k + rng.randint(8, 14)]
+        texts.append((i, " ".join(t).upper()))
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(some_docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window=10).collect()}
+    for i, t in texts:
+        w, hit, ids = t.lower().split(), set(), set()
+        for k, item in items:
+            v = item.split()
+            n = min(10, len(v))
+            wanted = {tuple(v[x : x + n]) for x in range(len(v) - n + 1)}
+            for x in range(len(w) - n + 1):
+                if tuple(w[x : x + n]) in wanted:
+                    hit |= set(range(x, x + n))
+                    ids.add(str(k))
+        assert got[i] == (len(hit), sorted(ids))
+
+
+def test_near_classes_match_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(25):
+        base = prose(rng, rng.randint(30, 120)).split()
+        texts.append((len(texts), " ".join(base)))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            texts.append((len(texts), " ".join(copy).upper()))
+    # texts that share a long passage, but not enough
+    core = prose(rng, 60).split()
+    texts += [(200 + k, " ".join(core + [rng.choice(WORDS) for _ in range(14)])) for k in range(90)]
+    units = {i: set(near_dedup.units(near_dedup.word_hashes(t)).tolist()) for i, t in texts}
+    parent = {i: i for i in units}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in units:
+        for b in units:
+            s = len(units[a] & units[b])
+            if a < b and s >= 0.8 * (len(units[a]) + len(units[b]) - s):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(some_docs(spark, texts)).collect()}
+    assert got == {i: find(i) for i in units}
+
+
+def test_copies_and_case_are_one_class(spark):
+    rows = [(3, "One two three"), (1, "one TWO three"), (2, None), (4, ""), (5, "!"), (6, "?"), (None, "one two three")]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(some_docs(spark, rows)).collect()}
+    assert got == {3: 1, 1: 1, None: 1, 2: 2, 4: 2, 5: 5, 6: 6}
+    assert near_dedup.keep_one(some_docs(spark, rows)).count() == 4
+
+
+def test_licenses(spark):
+    text = "Licensed under the Apache License, Version 2.0. MIT license MIT License; CC BY-NC 4.0. GNU General Public License v3 or later"
+    r = licenses.scan(some_docs(spark, [(1, text), (2, None), (3, "nothing here")])).orderBy("doc_id").collect()
+    assert (r[0].n_base, r[0].first_word, r[0].base) == (5, 3, ["apache", "cc-by", "gpl", "mit"])
+    assert {"apache-2.0", "cc-by-nc-4.0", "gpl-3.0-or-later"} <= set(r[0].labels)
+    # "gpl-3.0" lies inside "gpl-3.0-or-later"
+    assert "gpl-3.0" not in r[0].labels and r[0].score == 1.0
+    assert (r[1].labels, r[1].score, r[2].labels, r[2].n_words) == ([], 0.0, [], 2)
+    assert 200 < len(licenses.rules()) < 1000
+
+
+def test_base_scan_matches_brute_force(spark):
+    rng = random.Random(13)
+    words = "mit license cc by gnu general public apache x é".split()
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    for r in licenses.scan(some_docs(spark, texts)).collect():
+        w = dict(texts)[r.doc_id].split()
+        places = [k for p, _ in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        assert (r.n_base, r.first_word, r.last_word) == (len(places), min(places, default=None), max(places, default=None))
+
+
+def test_preferences(spark):
+    schema = "conv_id long, turn long, role string, text string, chosen string"
+    rows = [(1, 0, "user", "q", ""), (1, 1, "assistant", "good", ""), (2, 0, "user", "q", ""), (2, 1, "assistant", "bad", ""), (3, 0, None, None, ""), (1, 1, "assistant", "good", ""), (None, None, "user", "z", "")]
+    got = {r.pair_id: r for r in preferences.formatted(preferences.pairs(spark.createDataFrame(rows, schema))).collect()}
+    assert set(got) == {1, 2, 3, None} and got[2].chosen_id == 1 and got[2].n_prompt_turns == 1
+    assert got[2].prompt == "<|user|>\nq\n<|end|>\n"
+    assert [(x["text"], x["mask"]) for x in got[2].rejected] == [("<|assistant|>\nbad\n<|end|>\n", 1)]
+    assert [x["text"] for x in got[1].rejected] == ["<|assistant|>\n\n<|end|>\n"]
+    assert preferences.pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pieces_are_the_library_s(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(17)
+    alphabet = [" ", "  ", "\n", "\t", "▁", "a", "the", "ing", "é", "漢", "🙂", "1", ".", ",", "'s", "<s>", "<0x41>", "\x00", "aaa", "Hello"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [" " * n + "x" for n in range(40)]
+    rows = [*enumerate(texts), (-1, None), (-2, ""), (-3, "long text. " * 50_000)]
+    coded = pieces.encode(some_docs(spark, rows), path, keep=["doc_id", "text"])
+    for r in pieces.decode(coded, path).collect():
+        ids = sp.encode(r.text or "") + [sp.eos_id()]
+        assert list(r.ids) == ids and r.decoded == sp.decode(ids)
+
+
+def test_cache_and_slices_do_not_change_ids(monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    v = pieces.load(tokenizers.path("piece_bpe_32k.model"))
+    whole, small = pieces.Coder(v), pieces.Coder(v)
+    texts = [f"Ersh{k} theated onreing. ouwhthe" for k in range(50)]
+    a = [whole.encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHE_ENTRIES", 3)
+    assert [small.encode(t) for t in texts] == a
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class="ad">Buy this now.</div>
+<article><h1>Big &amp; news</h1><p>The first   paragraph tells what happened on the day.<p>A second one follows, and it is as long as the first.</article><footer>&copy; me</footer>"""
+
+
+def test_html_main_text(spark):
+    schema = "page_id long, url string, html string, text string"
+    rows = [(i, f"http://h/{i}", PAGE.replace("day", f"day {i}"), "clash") for i in range(30)] + [(100, None, None, ""), (101, "u", "", ""), (None, "u", "<p", "")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, schema)).collect()}
+    assert got[3] == "Big & news\nThe first paragraph tells what happened on the day 3.\nA second one follows, and it is as long as the first."
+    assert got[100] == got[101] == ""
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_html_layouts_held_out():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 40))).capitalize() + "." for _ in range(300)]
+    pages = [html_extract.laid_out(rng.sample(texts, 6), texts, rng) for _ in range(260)]
+    model = html_extract.fit(pages[:200], steps=120)
+    wrong = sum(a != b for found, labels in pages[200:] for a, b in zip(model.decode(found), labels))
+    assert wrong < 0.03 * sum(len(labels) for _, labels in pages[200:])
+
+
+def test_ranking_separates_held_out_documents(spark):
+    rng = random.Random(19)
+    good = [(i, prose(rng, rng.randint(30, 120))) for i in range(150)]
+    bad = [(1000 + i, " ".join(f"{rng.choice(WORDS)}###" for _ in range(60))) for i in range(50)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad], "doc_id long, quality int")
+    scored = pairwise_quality.score(some_docs(spark, good + bad + [(5000, None)]), labels, held_out=F.col("doc_id") % 4 == 2).collect()
+    right = [r.predicted == int(r.doc_id < 1000) for r in scored if r.doc_id < 5000]
+    assert len(scored) == 201 and sum(right) >= 0.98 * len(right) and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_warc_round_trip(spark):
+    schema = "page_id long, url string, html string, key string"
+    long, other = "<p>é" + "x" * 1500, "<p>" + "y\r\n\r\n" * 400
+    rows = [(1, "http://a.example.com/x?q=1#f", long, ""), (2, "https://user@b.example.com:80/", long, ""), (3, None, None, ""), (4, "http://a.example.com/x?q=1", "short", ""), (5, "u", "short", ""), (6, "\"\n\\", other, ""), (7, "http://a.example.com/x?q=1#f", long, "")]
+    rows += [(100 + k, f"http://hot.example.com/{k % 7}", f"page {k}", "") for k in range(900)]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == len(rows)
+    for i, url, html, _ in rows:
+        raw = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert got[i].url == (url or "")
+    assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 7, 4, 5)] == [("revisit", 7), ("revisit", 7), ("response", None), ("response", None), ("response", None)]
+    assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_reversed_host_keys(spark):
+    keys = spark.createDataFrame([("https://www.Example.com:8080/a?b#c",), ("http://x.org",), (None,)], "url string").select(warc.url_key(F.col("url"))).collect()
+    assert [r[0] for r in keys] == ["com,example,www)/a?b", "org,x)/", ")/"]
