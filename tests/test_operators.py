@@ -95,3 +95,31 @@ def test_lines_of_the_graph_protocol(spark):
     assert parsed("E|k|Name|system|core|3|said|more", "description") == "said|more"
     assert parsed("R|a|b|sends_to|1|how", "type") == "sends_to"
     assert parsed("E|short|row", "kind") is None
+
+
+def test_paragraph_cuts():
+    from quarry.operators.chunking import cut, packed
+
+    assert [len(x) for x in cut("a" * 3001)] == [3000, 1] and cut("a" * 3000) == ["a" * 3000]
+    assert cut("a" * 1500 + "\n" + "b" * 2000)[1][0] == "\n" and len(cut("a" * 900 + "\n" + "b" * 2500)[0]) == 3000
+    assert packed(["a", " b "]) == ["a\n\n b "] and packed(["a" * 2999, "b"]) == ["a" * 2999, "b"]
+
+
+def test_semantic_chunks(spark):
+    from quarry.operators.chunking import semantic
+
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(1, 0, "A", words(30)), (1, 1, "B", words(30)), (1, 2, None, words(30)), (1, 3, "C", words(30))]
+    got = semantic(spark.createDataFrame(rows, "doc_id int, position int, heading string, text string"), 100, 150).orderBy("seq").collect()
+    assert [(r.heading, len(r.content.split())) for r in got] == [("B", 60), ("C", 60)]
+
+
+def test_streams_work_off_a_folder(spark, tmp_path):
+    from quarry.streaming import ingest
+
+    rows = [(1, "x", datetime.datetime(2024, 1, 1)), (1, "x", datetime.datetime(2024, 1, 1)), (2, "x", datetime.datetime(2024, 1, 2)), (1, "y", datetime.datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "asset_id int, text string, created_at timestamp")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = ingest.first_by_content(ingest.uploads(spark, f"{tmp_path}/in", df.schema))
+    ingest.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
