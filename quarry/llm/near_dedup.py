@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, row_key, written
+from .common import RAW_WORD, row_key, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,7 +51,7 @@ BAND_ROUNDS = 2
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _PLACES = np.array([2 * k + 1 for k in range(SHINGLE)], dtype=_U) * _GOLD | _U(1)
-_WORD = re.compile(WORD)
+_WORD = re.compile(RAW_WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -68,7 +68,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(word.translate(_LOWER))
         return value
 
 
@@ -76,66 +76,86 @@ _HASHES = _Hashes()
 
 
 def word_list(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
+    """Words as they stand; their hashes do not see the case of A-Z."""
+    return _WORD.findall(text or "")
 
 
-def units(words: list[str]) -> np.ndarray:
-    """One hash for each unit of weight: a shingle that occurs c times has c of them."""
-    if not words:
+def word_hashes(text: str | None) -> np.ndarray:
+    words = word_list(text)
+    return np.fromiter(map(_HASHES.__getitem__, words), _U, len(words))
+
+
+def units(w: np.ndarray) -> np.ndarray:
+    """One hash for each unit of weight, from the hashes of words: a shingle that occurs c times has c of them."""
+    if not len(w):
         return np.empty(0, _U)
-    w = np.fromiter(map(_HASHES.__getitem__, words), _U, len(words))
     with np.errstate(over="ignore"):
         if len(w) < SHINGLE:
             shingles = _mix((w * _PLACES[: len(w)]).sum(keepdims=True, dtype=_U) + _U(len(w)))
         else:
             n = len(w) - SHINGLE + 1
-            shingles = _mix(sum((w[k : k + n] * _PLACES[k] for k in range(SHINGLE)), np.zeros(n, _U)))
+            shingles = w[:n] * _PLACES[0]
+            for k in range(1, SHINGLE):
+                shingles += w[k : k + n] * _PLACES[k]
+            shingles = _mix(shingles)
         shingles.sort()
-        starts = np.flatnonzero(np.concatenate(([True], shingles[1:] != shingles[:-1])))
+        again = shingles[1:] == shingles[:-1]
+        if not again.any():
+            return shingles
+        starts = np.flatnonzero(np.concatenate(([True], ~again)))
         copy = np.arange(len(shingles)) - np.repeat(starts, np.diff(np.append(starts, len(shingles))))
-        return np.sort(_mix(shingles + copy.astype(_U) * _GOLD))
+        return np.sort(np.where(copy == 0, shingles, _mix(shingles + copy.astype(_U) * _GOLD)))
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 0.5) / 9007199254740992.0
 
 
-def darts(regions: np.ndarray, weights: np.ndarray | None = None, k: int = COORDINATES) -> np.ndarray:
-    """The signature: for each coordinate, 32 bits of the dart of least rank.
+def darts(regions: np.ndarray, of: np.ndarray, n: int, weights: np.ndarray | None = None, k: int = COORDINATES) -> np.ndarray:
+    """Signatures of n texts at once: for each coordinate 32 bits of the dart of least rank.
 
-    ``regions`` are hashes of units of weight; ``weights`` (0 to 1 each, default 1) leaves
-    only a part of a unit, for weights that aren't whole numbers.
+    ``regions`` are hashes of units of weight and ``of`` the texts (0 to n - 1) that have
+    them; ``weights`` (0 to 1 each, default 1) leaves only a part of a unit, for weights
+    that aren't whole numbers. Every text has a unit at least.
     """
-    total = float(len(regions) if weights is None else weights.sum())
+    total = np.bincount(of, weights, n)
     reach = (k * math.log(k) + 2 * k) / total
-    while True:
-        ranks, names = [], []
-        key, rank, part = regions, np.zeros(len(regions)), weights
+    found = np.zeros((n, k), np.uint32)
+    todo = np.ones(n, bool)
+    while todo.any():
+        ranks, names, texts = [], [], []
+        on = todo[of]
+        key, text, part = regions[on], of[on], None if weights is None else weights[on]
+        rank, end = np.zeros(len(key)), reach[text]
         throw = 0
         with np.errstate(over="ignore"):
             while len(key):
                 throw += 1
                 h = _mix(key + _U(throw) * _C1)
                 rank = rank - np.log(_uniform(h))
-                inside = rank < reach
-                key, rank = key[inside], rank[inside]
+                inside = rank < end
+                key, rank, text, end = key[inside], rank[inside], text[inside], end[inside]
                 name = _mix(h[inside] + _GOLD)
-                if part is not None:
+                if part is None:
+                    hit = slice(None)
+                else:
                     part = part[inside]
                     hit = _uniform(_mix(name ^ _C2)) < part
-                    ranks.append(rank[hit])
-                    names.append(name[hit])
-                else:
-                    ranks.append(rank)
-                    names.append(name)
-        rank, name = np.concatenate(ranks), np.concatenate(names)
-        place = (name >> _U(32)) % _U(k)
-        order = np.lexsort((rank, place))
-        place = place[order]
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else place
-        if len(first) == k:
-            return (name[order][first] & _U(0xFFFFFFFF)).astype(np.uint32)
-        reach *= 2  # a coordinate without a dart: throw further
+                ranks.append(rank[hit])
+                names.append(name[hit])
+                texts.append(text[hit])
+            rank, name, text = np.concatenate(ranks), np.concatenate(names), np.concatenate(texts)
+            cell = text.astype(_U) * _U(k) + (name >> _U(32)) % _U(k)
+            # cell and rank in one number: 20 bits for the cells, 44 for ranks of up to 2^12
+            order = np.argsort(cell << _U(44) | (np.minimum(rank, 4095.0) * 4294967296.0).astype(_U))
+        cell = cell[order]
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, int)
+        cells = cell[first].astype(np.int64)
+        full = np.bincount(cells // k, minlength=n) == k
+        found.reshape(-1)[cells] = (name[order][first] & _U(0xFFFFFFFF)).astype(np.uint32)
+        todo &= ~full
+        reach = np.where(todo, reach * 2, reach)  # a coordinate without a dart: throw further
+    return found
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -148,23 +168,43 @@ def bands(signature: np.ndarray) -> np.ndarray:
         return key
 
 
+#: Texts, and units of weight, whose signatures are made at once; cells of 1000 texts fit in 20 bits.
+TOGETHER, UNITS = 1000, 400_000
+
+
+def _signatures(each: list[np.ndarray]) -> list[np.ndarray]:
+    """A signature for each text, empty for texts without units."""
+    made = [np.empty(0, np.int32)] * len(each)
+    todo = [i for i, u in enumerate(each) if len(u)]
+    while todo:
+        part, size = [], 0
+        while todo and len(part) < TOGETHER and (not part or size + len(each[todo[-1]]) <= UNITS):
+            i = todo.pop()
+            part.append(i)
+            size += len(each[i])
+        of = np.repeat(np.arange(len(part)), [len(each[i]) for i in part])
+        for i, sig in zip(part, darts(np.concatenate([each[i] for i in part]), of, len(part))):
+            made[i] = sig.view(np.int32)
+    return made
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text: node (hash of its words), number of units, signature (empty without words)."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            part = batch.slice(begin, 500)
-            nodes, sizes, signatures = [], [], []
+        for begin in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(begin, TOGETHER)
+            nodes, each = [], []
             for text in part.column("_text").to_pylist():
-                words = word_list(text)
-                u = units(words)
-                exact = "\x00" + (text or "") if not words else " ".join(words)
-                nodes.append(int.from_bytes(hashlib.md5(exact.encode()).digest()[:8], "big", signed=True))
-                sizes.append(len(u))
-                signatures.append(darts(u).view(np.int32) if len(u) else np.empty(0, np.int32))
+                w = word_hashes(text)
+                exact = w.tobytes() if len(w) else b"\x00" + (text or "").encode()
+                nodes.append(int.from_bytes(hashlib.md5(exact).digest()[:8], "big", signed=True))
+                each.append(units(w))
+            signatures = _signatures(each)
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
             flat = pa.array(np.concatenate(signatures) if signatures else np.empty(0, np.int32), pa.int32())
+            sizes = pa.array([len(u) for u in each], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("_k", "_none", "_id")), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                [*(part.column(c) for c in ("_k", "_none", "_id")), pa.array(nodes, pa.int64()), sizes, pa.ListArray.from_arrays(pa.array(offsets), flat)],
                 ["_k", "_none", "_id", "node", "n", "sig"],
             )
 
@@ -184,7 +224,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 500):
             part = batch.slice(begin, 500)
-            found = [units(word_list(t)).view(np.int64) for t in part.column("_text").to_pylist()]
+            found = [units(word_hashes(t)).view(np.int64) for t in part.column("_text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(u) for u in found]))).astype(np.int32)
             flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "units"])
