@@ -11,7 +11,7 @@ Signatures are cut into bands; texts with an equal band share a bucket. Copies o
 are one node from the start. Buckets are never expanded into all pairs: in each round a
 bucket's members are compared with its pivot, links merge classes, and buckets that lie
 within one class are done. Pairs whose signatures leave no doubt are decided by them; the
-others by their exact similarity. What two rounds leave open (texts that share much but
+others by their exact similarity. What one round leaves open (texts that share much but
 not enough, such as a long passage) goes through an exact prefix join: only the rarest
 shingles, one of which any similar pair must share, make buckets, and rounds go on until
 no bucket holds untested members of two classes. So no link is dropped, and no bucket is
@@ -46,7 +46,9 @@ COORDINATES = ROWS * BANDS
 #: (six and five standard deviations); between them shingles are compared.
 LOW, HIGH = 90, 144
 #: Rounds with buckets of bands before the exact prefix join takes over.
-BAND_ROUNDS = 2
+BAND_ROUNDS = 1
+#: Shingles of more open texts than this are common: texts that share no other must consist of common ones.
+COMMON = 64
 
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -264,7 +266,10 @@ def similar(pairs: DataFrame, sketches: DataFrame, exact: DataFrame) -> DataFram
 
 
 def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame, exact: DataFrame, most: int | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Compares members of buckets (key, node, n) with pivots. Returns (classes, members of open buckets)."""
+    """Compares members of buckets (key, node, n, most) with pivots. Returns (classes, members of open buckets).
+
+    ``n`` is a text's number of units, ``most`` how many of them it can share with others through this bucket.
+    """
     pivots = 1
     turn = 0
     while most is None or turn < most:
@@ -274,9 +279,12 @@ def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame,
         # as many pivots as there are salts, each the least of its share of the bucket
         mixed = live.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key")
         live = written(live.join(mixed, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(pivots))), "open-buckets")
-        heads = live.groupBy("key", "salt").agg(F.min(F.struct("node", "n", "cls")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.cls").alias("ca"))
+        heads = live.groupBy("key", "salt").agg(F.min(F.struct("node", "n", "most", "cls")).alias("p")).select(
+            "key", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.most").alias("ma"), F.col("p.cls").alias("ca")
+        )
+        # units that similar texts must share, against those that these two can share at most
         met = live.join(heads, "key").filter(
-            (F.col("cls") != F.col("ca")) & (F.least("n", "na") >= SIMILARITY * F.greatest("n", "na"))
+            (F.col("cls") != F.col("ca")) & (F.least("most", "ma") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("na")) - 1e-6)
         ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         links = written(similar(met, sketches, exact), "links")
         if links.limit(1).count():
@@ -293,7 +301,7 @@ def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame,
                 moved = classes.join(to, "cls", "left").select("node", F.coalesce("to", "cls").alias("cls"))
                 new = merged.join(classes, "node", "left_anti").select("node", "cls")
                 classes = written(moved.unionByName(new), "classes")
-        members = written(live.join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n"), "members")
+        members = written(live.join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "most"), "members")
         if not members.limit(1).count():
             return classes, None
         pivots *= 4
@@ -301,13 +309,20 @@ def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame,
 
 
 def _prefixes(nodes: DataFrame, exact: DataFrame) -> DataFrame:
-    """Buckets (key: a shingle, node, n) of the rarest shingles; a similar pair shares one of them at least."""
+    """Buckets (key: a shingle, node, n, most) of the rarest shingles.
+
+    The rarest shingle that a similar pair shares is among the rarest of both. If it is a
+    common one, the pair shares common ones only, so a text of which too little is common
+    has no partner in that bucket.
+    """
     each = exact.join(nodes, "node", "left_semi").select("node", F.size("units").alias("n"), F.explode("units").alias("key"))
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(common, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
     need = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
-    prefix = ranked.select("node", "n", F.explode(F.slice("order", F.lit(1), need.cast("int"))).alias("o"))
-    return prefix.filter("o.df > 1").select(F.col("o.key").alias("key"), "node", "n")
+    n_common = F.size(F.filter("order", lambda o: o["df"] > COMMON))
+    prefix = ranked.select("node", "n", n_common.alias("c"), F.explode(F.slice("order", F.lit(1), need.cast("int"))).alias("o")).filter("o.df > 1")
+    most = F.when(F.col("o.df") > COMMON, F.col("c")).otherwise(F.col("n"))
+    return prefix.select(F.col("o.key").alias("key"), "node", "n", most.alias("most")).filter(F.col("most") >= SIMILARITY * F.col("n") - 1e-6)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,11 +340,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     banded = nodes.filter("n > 0").select("node", "n", "sig").mapInArrow(_banded, "key long, node long, n int")
     full = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    members = written(banded.join(full, "key"), "members")
+    members = written(banded.join(full, "key").withColumn("most", F.col("n")), "members")
     linked = members.select("node").distinct()
     chosen = written(nodes.join(linked, "node", "left_semi").select("node", "sig", F.col("first.k").alias("_k")), "chosen")
-    texts = keyed.select("_k", "_text").join(chosen.select("_k", "node"), "_k").select("node", "_text")
-    exact = written(texts.mapInArrow(_unit_rows, "node long, units array<long>"), "units").dropDuplicates(["node"])
+    texts = keyed.select("_k", "_text").join(chosen.select("_k", "node"), "_k").dropDuplicates(["_k"]).select("node", "_text")
+    exact = written(texts.mapInArrow(_unit_rows, "node long, units array<long>"), "units")
     sketches = chosen.select("node", "sig")
     found, rest = _rounds(members, None, sketches, exact, BAND_ROUNDS)
     if rest is not None:
