@@ -81,3 +81,29 @@ def markdown_class(line: Column) -> Column:
         F.when(line.rlike(r"^```"), "fence").when(line.rlike(r"^#{1,6} "), "heading").when(line.rlike(r"^(?:---+|\*\*\*+)$"), "rule")
         .when(line.rlike(r"^\s*[-*] "), "bullet").when(line.rlike(r"^\s*[0-9]+[.)] "), "numbered").when(F.trim(line) == "", "blank").otherwise("text")
     )
+
+
+def cover_density(words: Column, terms: list[str], near: int = 16) -> Column:
+    """Sum over the shortest stretches that hold all terms: 1, or ``near`` / length for longer ones; 0 without terms.
+
+    A stretch ends where the earliest of the terms' last places moves on, and begins there.
+    """
+    if not terms:
+        return F.lit(0.0)
+    terms = list(dict.fromkeys(terms))
+    which = F.array(*map(F.lit, terms))
+    places = F.filter(
+        F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(which, w).cast("int").alias("t"))), lambda x: x["t"] > 0
+    )
+    state = "struct<last:array<int>,from:int,score:double>"
+    start = F.struct(F.array(*[F.lit(-1) for _ in terms]).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("score")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.transform(s["last"], lambda v, i: F.when(i + 1 == x["t"], x["at"]).otherwise(v))
+        first = F.array_min(last)
+        new = first > s["from"]
+        length = x["at"] - first + 1
+        gain = F.when(new, F.when(length > near, F.lit(float(near)) / length).otherwise(1.0)).otherwise(0.0)
+        return F.struct(last.alias("last"), F.greatest(first, s["from"]).alias("from"), (s["score"] + gain).alias("score")).cast(state)
+
+    return F.aggregate(places, start, step)["score"]

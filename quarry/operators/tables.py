@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +43,31 @@ def scores(grid: DataFrame) -> DataFrame:
     n = grid.groupBy("table_id").agg(F.avg((F.trim("text") != "").cast("int")).alias("fill"), (F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
     score = F.lit(0.55) + F.least(F.col("fill"), F.lit(1.0)) * 0.35 - F.when((F.col("rows") <= 1) | (F.col("cols") <= 1), 0.2).otherwise(0.0)
     return n.select("table_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9).alias("score"), (F.col("fill") < 0.25).alias("low_fill"))
+
+
+def chunks(rows: DataFrame, tokens: int = 900, most_rows: int = 30, overlap: int = 1) -> DataFrame:
+    """(table_id, seq, r): rows (table_id, r, fact) in groups of bounded size; a group begins with the last row of the one before."""
+    state = "struct<groups:array<array<int>>,now:array<int>,sizes:array<int>,tokens:int>"
+    ordered = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("r", F.greatest(F.lit(1), F.floor(F.length("fact") / 2)).cast("int").alias("t")))).alias("f"))
+    start = F.struct(F.array().alias("groups"), F.array().alias("now"), F.array().alias("sizes"), F.lit(0).alias("tokens")).cast(state)
+
+    def step(s, x):
+        full = (F.size(s["now"]) > 0) & ((F.size(s["now"]) >= most_rows) | (s["tokens"] + x["t"] > tokens))
+        tail = lambda a: F.slice(a, F.greatest(F.size(a) - (overlap - 1), F.lit(1)), F.lit(overlap))
+        held, sizes = F.when(full, tail(s["now"])).otherwise(s["now"]), F.when(full, tail(s["sizes"])).otherwise(s["sizes"])
+        return F.struct(
+            F.when(full, F.array_append(s["groups"], s["now"])).otherwise(s["groups"]).alias("groups"), F.array_append(held, x["r"]).alias("now"), F.array_append(sizes, x["t"]).alias("sizes"),
+            (F.aggregate(sizes, F.lit(0), lambda a, b: a + b) + x["t"]).alias("tokens"),
+        ).cast(state)
+
+    folded = ordered.select("table_id", F.aggregate("f", start, step).alias("s"))
+    return folded.select("table_id", F.posexplode(F.array_append("s.groups", F.col("s.now"))).alias("seq", "g")).select("table_id", "seq", F.explode("g").alias("r"))
+
+
+def continued(pairs: DataFrame, least: float = 0.72) -> DataFrame:
+    """Pairs of tables (a_header, b_header, page_gap, a_cols, b_cols) that are one table over a page break."""
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
+
+    fit = pairs.filter(F.col("page_gap").isin(0, 1) & (F.col("a_cols") == F.col("b_cols")))
+    return fit.withColumn("ratio", F.pandas_udf(ratio, "double")("a_header", "b_header")).filter(F.col("ratio") >= least)

@@ -218,3 +218,44 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     lines = V.chunks(spark, d)
     heading = F.when(F.col("chunk_seq") % 4 == 0, F.substring("display_content", 1, 40))
     return C.semantic(lines.select(F.col("asset_id").alias("doc_id"), F.col("chunk_seq").alias("position"), heading.alias("heading"), F.col("display_content").alias("text")), 70, 100)
+
+
+@query()
+def lexical_cover_density(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with both terms, by how close together these stand; the first forty."""
+    words = F.split(F.lower(F.concat_ws(" ", "identifier", "display_content")), r"[^a-z0-9]+")
+    scored = search._shown(spark, d).select("chunk_id", F.round(text.cover_density(words, ["the", "of"]), 9).alias("score"))
+    return scored.filter("score > 0").orderBy(F.col("score").desc(), "chunk_id").limit(R.LEXICAL_K)
+
+
+@query()
+def table_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return T.chunks(content.row_facts(spark, d), 40, 4)
+
+
+@query()
+def table_continuation(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring tables with like headers: tables are paired by their number."""
+    heads = T.header_paths(T.expand(content._cells(spark, d))).groupBy("table_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "path"))), lambda x: x["path"]), " | ").alias("header"), F.count(F.lit(1)).alias("cols")
+    )
+    side = lambda p, shift: heads.select((F.col("table_id") + shift).alias("k"), F.col("table_id").alias(p), F.col("header").alias(f"{p}_header"), F.col("cols").alias(f"{p}_cols"))
+    pairs = side("a", 1).join(side("b", 0), "k").withColumn("page_gap", F.lit(1))
+    return T.continued(pairs).select("a", "b", F.round("ratio", 9).alias("ratio"))
+
+
+@query("""SELECT trace_id, frame_seq, 'at ' || class_name || '.' || method_name AS raw, class_name, method_name FROM v_frames""", "frames")
+def java_frames_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Frames written as text and read again."""
+    raw = F.concat(F.lit("at "), F.col("class_name"), F.lit("."), F.col("method_name"))
+    pattern = r"^at ([\w.$]+)\.([\w$<>]+)$"
+    return V.frames(spark, d).withColumn("raw", raw).select("trace_id", "frame_seq", "raw", F.regexp_extract("raw", pattern, 1).alias("class_name"), F.regexp_extract("raw", pattern, 2).alias("method_name"))
+
+
+@query("""SELECT symbol_id, CASE WHEN symbol_id % 3 = 0 THEN ['PayException', 'java.io.IOException'] ELSE [] END AS declared, 'Svc' || (symbol_id % 40) || 'Exception' AS thrown FROM v_symbols""", "symbols")
+def java_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """What a method's text declares and throws."""
+    k = F.col("symbol_id")
+    code = F.concat(F.lit("void "), F.col("symbol_name"), F.lit("()"), F.when(k % 3 == 0, " throws java.io.IOException, PayException").otherwise(""), F.lit(" { throw new "), F.col("class_name"), F.lit("Exception(); }"))
+    declared = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_extract(code, r"\) throws ([\w., ]+)", 1), F.lit(r"[\w.]+"), F.lit(0))))
+    return V.symbols(spark, d).select("symbol_id", declared.alias("declared"), F.regexp_extract(code, r"throw new ([\w.]+)", 1).alias("thrown"))

@@ -123,3 +123,31 @@ def test_streams_work_off_a_folder(spark, tmp_path):
     stream = ingest.first_by_content(ingest.uploads(spark, f"{tmp_path}/in", df.schema))
     ingest.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_cover_density_matches_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for terms in (["a"], ["a", "b"], ["a", "b", "c"], []):
+        for _ in range(6):
+            words = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))]
+            covers = [(i, j) for i, j in itertools.combinations_with_replacement(range(len(words)), 2) if terms and set(terms) <= set(words[i : j + 1])]
+            least = [c for c in covers if not any(x != c and c[0] <= x[0] and x[1] <= c[1] for x in covers)]
+            want = sum(1.0 if j - i + 1 <= 16 else 16 / (j - i + 1) for i, j in least)
+            got = one(spark, text.cover_density(F.split(F.lit(" ".join(words)), " "), terms))
+            assert abs(got - want) < 1e-9
+
+
+def test_table_chunks_overlap_by_a_row(spark):
+    rows = spark.createDataFrame([(1, k, "x" * 10) for k in range(7)], "table_id int, r int, fact string")
+    got = {}
+    for x in tables.chunks(rows, 900, 3).orderBy("seq", "r").collect():
+        got.setdefault(x.seq, []).append(x.r)
+    assert got == {0: [0, 1, 2], 1: [2, 3, 4], 2: [4, 5, 6]}
+
+
+def test_continued_tables(spark):
+    pairs = spark.createDataFrame([("k | v", "k | v", 1, 2, 2), ("k | v", "k | v", 2, 2, 2), ("k | v", "other", 1, 2, 2), ("k | v", "k | v", 0, 2, 3)], "a_header string, b_header string, page_gap int, a_cols int, b_cols int")
+    assert tables.continued(pairs).count() == 1
