@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +46,6 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A run without one (tests) gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        import tempfile
-
         path = tempfile.mkdtemp(prefix="quarry-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -53,12 +53,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that this process has written to the shared folder.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    import uuid
+    """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors.
 
+    Results read these tables when they run; ``clear`` deletes them once results are stored.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` has made so far, in whatever store they lie."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -268,3 +268,13 @@ def test_warc_round_trip(spark):
 def test_reversed_host_keys(spark):
     keys = spark.createDataFrame([("https://www.Example.com:8080/a?b#c",), ("http://x.org",), (None,)], "url string").select(warc.url_key(F.col("url"))).collect()
     assert [r[0] for r in keys] == ["com,example,www)/a?b", "org,x)/", ")/"]
+
+
+def test_tables_of_the_shared_folder_are_cleared(spark):
+    from quarry.llm import common
+
+    path = common.written(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
+    assert open(path, "rb").read(4) == b"PAR1"
+    common.clear(spark)
+    with pytest.raises(FileNotFoundError):
+        open(path, "rb")
