@@ -45,7 +45,7 @@ m AS (
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 f AS (
   SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
     + CASE WHEN 100 * n_upper > 60 * word_chars THEN 64 ELSE 0 END + CASE WHEN 100 * n_exclaim > 60 * n_words THEN 128 ELSE 0 END
     + CASE WHEN 100 * n_digits > 50 * word_chars THEN 256 ELSE 0 END)::BIGINT AS fail_bits

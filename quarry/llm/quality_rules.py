@@ -47,7 +47,8 @@ def rules() -> list[Rule]:
         "few_words": c("n_words") < 20,
         "repeated_windows": 100 * c("n_repeat_words") > 30 * c("n_words"),
         "symbols": 100 * c("n_symbols") > 30 * c("n_words"),
-        "repeated_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        # one line that comes twice in a short text is no fault
+        "repeated_lines": (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 20 * c("n_words"),
         "shouting": 100 * c("n_upper") > 60 * c("word_chars"),
