@@ -265,9 +265,6 @@ def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 250, rate: floa
     return Model(tuple(map(float, theta[: len(NAMES)])), tuple(tuple(map(float, r)) for r in s))
 
 
-_REST = re.compile(r"comment|\bad\b|advert|share|related|newsletter|cookie|sidebar", re.I)
-
-
 def own_labels(page: str) -> tuple[list[Block], list[int]] | None:
     """Blocks of a page that marks its article by tags; None if it doesn't."""
     found = blocks(page)
@@ -424,8 +421,13 @@ def _extract(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataF
 
 
 def sample_pages(pages: DataFrame, max_pages: int) -> list[str]:
-    """At most ``max_pages`` pages, by a hash of their ids."""
-    rows = pages.filter(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(max_pages).select("html").collect()
+    """At most ``max_pages`` pages, by a hash of their ids.
+
+    The hashes are chosen first, so that tasks send ``max_pages`` numbers and not as many pages.
+    """
+    hashed = pages.filter(F.col("html").isNotNull()).select(F.xxhash64("page_id", "url").alias("h"), "html")
+    chosen = hashed.select("h").distinct().orderBy("h").limit(max_pages)
+    rows = hashed.join(F.broadcast(chosen), "h").orderBy("h", F.length("html")).limit(max_pages).select("html").collect()
     return [r[0] for r in rows]
 
 
