@@ -4,7 +4,8 @@ A text is reduced to its lower-cased words, one space between them. Rules are re
 expressions over those words; each has a keyword that must occur before the expression is
 tried, a label, and a priority: an SPDX tag or a name with version and "or later" (4),
 a name with its version (3), a name (2), a loose mention (1). A detection whose words lie
-inside those of a detection of higher priority is suppressed.
+inside those of a detection of higher priority, or of a longer one of equal priority, is
+suppressed; of detections with the same words and priority the first rule's stays.
 
 Four base phrases are looked for apart from the rules; their labels always stay.
 
@@ -112,7 +113,8 @@ def rules() -> tuple[Rule, ...]:
         tag = label.replace("-", " ")
         for v in versions:
             number = v.replace(".", " ")
-            made.append(Rule(f"spdx {label}-{v}", f"spdx license identifier {tag} {number}(?: only| or later)?", f"{label}-{v}", "spdx", 4))
+            made.append(Rule(f"spdx {label}-{v} or later", f"spdx license identifier {tag} {number} or later", f"{label}-{v}-or-later", "spdx", 4))
+            made.append(Rule(f"spdx {label}-{v}", f"spdx license identifier {tag} {number}(?: only)?", f"{label}-{v}", "spdx", 4))
         made.append(Rule(f"spdx {label}", f"spdx license identifier {tag}", label, "spdx", 3))
     made += [Rule(f"mention {regex}", regex, label, keyword, 1) for regex, label, keyword in MENTIONS]
     return tuple(sorted(made, key=lambda r: (-r.priority, -len(r.regex), r.name)))
@@ -183,7 +185,9 @@ def detections(lines: DataFrame) -> DataFrame:
     before = Window.partitionBy("_k").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     higher = [F.max(F.when(F.col("priority") > p, F.col("end"))).over(before) for p in (1, 2, 3)]
     reach = F.when(F.col("priority") == 1, higher[0]).when(F.col("priority") == 2, higher[1]).when(F.col("priority") == 3, higher[2])
-    return found.withColumn("suppressed", F.coalesce(reach >= F.col("end"), F.lit(False)))
+    # of equal priority all that could hold a detection stand before it: earlier, or as early and longer, or of an earlier rule
+    equal = Window.partitionBy("_k", "priority").orderBy("start", F.col("end").desc(), "rule").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("suppressed", F.coalesce(F.greatest(reach, F.max("end").over(equal)) >= F.col("end"), F.lit(False)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,6 +171,36 @@ def test_licenses(spark):
     assert 200 < len(licenses.rules()) < 1000
 
 
+def test_a_longer_license_of_equal_priority_suppresses(spark):
+    cases = {
+        "GNU Lesser General Public License": ["lgpl"],
+        "GNU Lesser General Public License v3": ["lgpl-3.0"],
+        "GNU Affero General Public License version 3 or any later version": ["agpl-3.0-or-later"],
+        "Creative Commons Attribution NonCommercial ShareAlike": ["cc-by-nc-sa"],
+        "the modified BSD license": ["bsd-3-clause"],
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["gpl-2.0-or-later"],
+        "SPDX-License-Identifier: LGPL-2.1-only": ["lgpl-2.1"],
+        # base labels stay
+        "CC BY-NC-SA 4.0": ["cc-by", "cc-by-nc-sa-4.0"],
+        # apart from a longer name, a name counts
+        "GNU Lesser General Public License, general public license": ["gpl", "lgpl"],
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(some_docs(spark, list(enumerate(cases)))).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_suppression_matches_brute_force(spark):
+    rng = random.Random(17)
+    words = "gnu lesser affero general public license gpl v3 or later spdx identifier cc by nc sa 4 0 modified bsd creative commons attribution".split()
+    lines = [(str(i), " " + " ".join(rng.choice(words) if rng.random() < 0.5 else rng.choice(["general public license", "cc by nc", "gnu lesser", "or later"]) for _ in range(40)) + " ") for i in range(30)]
+    found = licenses.detections(spark.createDataFrame(lines, "_k string, _line string")).collect()
+    holds = lambda a, b: a._k == b._k and a.start <= b.start and a.end >= b.end and (
+        a.priority > b.priority or a.priority == b.priority and ((a.end - a.start) > (b.end - b.start) or (a.end - a.start) == (b.end - b.start) and a.rule < b.rule)
+    )
+    assert any(r.suppressed for r in found)
+    assert all(r.suppressed == any(holds(x, r) for x in found) for r in found)
+
+
 def test_base_scan_matches_brute_force(spark):
     rng = random.Random(13)
     words = "mit license cc by gnu general public apache x é".split()
