@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunking as C
 from ..operators import graph as G
+from ..operators import logs as L
 from ..operators import retrieval as R
 from ..operators import tables as T
 from ..sources import views as V
@@ -72,6 +73,18 @@ def incident_evidence_order(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(rest)
 
 
+@query("""SELECT log_id, 0::BIGINT AS position, line_no, line AS evidence FROM (
+    SELECT *, bool_or(regexp_matches(line, 'ERROR|FATAL|Exception|Caused by')) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS near FROM v_log_lines) WHERE near
+  UNION ALL SELECT asset_id, chunk_seq + 1, NULL, display_content FROM v_chunks WHERE asset_id IN (SELECT log_id FROM v_log_lines WHERE regexp_matches(line, 'ERROR|FATAL|Exception|Caused by'))""", "chunks log_lines")
+def incident_evidence_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines near a log's markers come first, one row each and none cut, then the chunks."""
+    lines = V.log_lines(spark, d)
+    first = L.around_markers(lines).select("log_id", F.lit(0).cast("long").alias("position"), "line_no", F.col("line").alias("evidence"))
+    marked = lines.filter(F.col("line").rlike(L.MARKER)).select(F.col("log_id").alias("asset_id"))
+    rest = V.chunks(spark, d).join(marked, "asset_id", "left_semi").select(F.col("asset_id").alias("log_id"), (F.col("chunk_seq") + 1).alias("position"), F.lit(None).cast("long").alias("line_no"), F.col("display_content").alias("evidence"))
+    return first.unionByName(rest)
+
+
 @query("SELECT asset_id, CASE asset_type WHEN 'source_code' THEN 'code' WHEN 'error_trace' THEN 'log' WHEN 'incident' THEN 'incident' ELSE 'text' END AS parser FROM v_assets", "assets")
 def parser_dispatch(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("asset_type")
