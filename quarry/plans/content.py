@@ -284,6 +284,12 @@ def dedupe_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return V.log_lines(spark, d).groupBy("log_id", start.alias("s")).agg(F.min_by("line", "line_no").alias("line")).select("log_id", "line")
 
 
+@query("SELECT log_id, min(line_no) AS line_no, line FROM v_log_lines GROUP BY log_id, line", "log_lines")
+def dedupe_whole_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A log's lines, each once and where it stands first; lines are the same if they are equal to their ends."""
+    return V.log_lines(spark, d).groupBy("log_id", "line").agg(F.min("line_no").alias("line_no")).select("log_id", "line_no", "line")
+
+
 @query("SELECT symbol_id, unnest(range(start_line, end_line + 1, 12)) AS first_line FROM v_symbols", "symbols")
 def code_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 12 lines over each definition."""

@@ -32,3 +32,11 @@ def test_evidence_has_all_errors_of_a_log(spark, planted):
     log = sorted((r.line_no, r.evidence) for r in got if r.position == 0)
     assert [e.split()[1] for _, e in log] == [f"PAY{k:04d}" for k in range(60)]
     assert sorted((r.log_id, r.position, r.evidence) for r in got if r.position > 0) == [(1, 1, "a"), (1, 2, "b")]
+
+
+def test_lines_that_differ_late_are_kept(spark, planted):
+    # one code, seven exceptions; then copies of the first line
+    d = planted({1: "a"}, [(1, 10010 + k) for k in range(7)] + [(1, 10010), (1, 10010)])
+    got = sorted((r.line_no, r.line) for r in run(spark, "dedupe_whole_lines", d))
+    assert [n for n, _ in got] == [3 * k for k in range(7)] and len({x for _, x in got}) == 7
+    assert len({x[:30] for _, x in got}) == 1
