@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import budget as B
 from ..operators import chunking as C
 from ..operators import graph as G
 from ..operators import logs as L
@@ -134,10 +135,15 @@ def incident_fields(spark: SparkSession, d: str) -> DataFrame:
     return keyed.groupBy("doc_id").agg(last("title").alias("title"), last("cause").alias("cause"), (F.countDistinct("key") >= 2).alias("structured"))
 
 
+def architecture_points() -> Column:
+    """Three for each word of an architecture in ``display_content``, less three for each of an activity."""
+    held = lambda words: sum((F.contains(F.lower("display_content"), F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))
+    return 3 * held(ARCHITECTURE) - 3 * held(ACTIVITY)
+
+
 @query("""SELECT chunk_id, 3 * (contains(t, 'the')::BIGINT + contains(t, 'of')::BIGINT + contains(t, 'and')::BIGINT) - 3 * (contains(t, 'in')::BIGINT + contains(t, 'to')::BIGINT) AS score FROM (SELECT chunk_id, lower(display_content) AS t FROM v_chunks)""", "chunks")
 def architecture_score(spark: SparkSession, d: str) -> DataFrame:
-    held = lambda words: sum((F.contains(F.lower("display_content"), F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))
-    return V.chunks(spark, d).select("chunk_id", (3 * held(ARCHITECTURE) - 3 * held(ACTIVITY)).alias("score"))
+    return V.chunks(spark, d).select("chunk_id", architecture_points().alias("score"))
 
 
 @query("""SELECT asset_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY contains(display_content, 'the') DESC, chunk_seq) AS n FROM v_chunks) WHERE n <= 6""", "chunks")
@@ -147,6 +153,29 @@ def select_items(spark: SparkSession, d: str) -> DataFrame:
     return V.chunks(spark, d).withColumn("n", F.row_number().over(order)).filter("n <= 6").select("asset_id", "chunk_id")
 
 
+@query(""", scored AS (SELECT asset_id, chunk_id, chunk_seq, 3 * (contains(t, 'the')::BIGINT + contains(t, 'of')::BIGINT + contains(t, 'and')::BIGINT) - 3 * (contains(t, 'in')::BIGINT + contains(t, 'to')::BIGINT) AS score FROM (SELECT *, lower(display_content) AS t FROM v_chunks)),
+  ranked AS (SELECT *, count(*) OVER (PARTITION BY asset_id) AS n, row_number() OVER (PARTITION BY asset_id ORDER BY score DESC, chunk_seq) AS k FROM scored),
+  taken AS (SELECT *, count(*) FILTER (k <= 3 AND score > 0) OVER (PARTITION BY asset_id) AS m FROM ranked),
+  kinds AS (SELECT *, CASE WHEN k <= 3 AND score > 0 THEN 0 WHEN n <= 6 OR list_contains(list_transform(range(0, 6 - m), lambda p: round_even(p * (n - 1) / (5 - m), 0)::BIGINT), chunk_seq) THEN 1 ELSE 2 END AS kind FROM taken)
+  SELECT asset_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY kind, CASE WHEN kind = 1 THEN chunk_seq ELSE k END) AS place FROM kinds) WHERE place <= 6""", "chunks")
+def select_items_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Of each asset six chunks: up to three that score best, the others at even positions from first to last.
+
+    A position that scored already leaves its place to the next best. The reference work spreads six positions, of which
+    those that find no place any more are the last ones; here only as many are spread as there are places.
+    """
+    most, seq = 6, F.col("chunk_seq")
+    asset = Window.partitionBy("asset_id")
+    rows = V.chunks(spark, d).select("asset_id", "chunk_id", "chunk_seq", architecture_points().alias("score"))
+    rows = rows.withColumn("k", F.row_number().over(asset.orderBy(F.col("score").desc(), "chunk_seq"))).withColumn("total", F.count(F.lit(1)).over(asset))
+    best = (F.col("k") <= most // 2) & (F.col("score") > 0)
+    rows = rows.withColumn("taken", F.count_if(best).over(asset))
+    spread = F.coalesce(*[F.when(F.col("taken") == t, B.even(F.col("total"), most - t)) for t in range(most // 2 + 1)])
+    kind = F.when(best, 0).when(F.array_contains(spread, seq), 1).otherwise(2)
+    order = asset.orderBy("kind", F.when(F.col("kind") == 1, seq).otherwise(F.col("k")))
+    return rows.withColumn("kind", kind).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("asset_id", "chunk_id")
+
+
 @query("SELECT target_id, string_agg(source_id || ' -[' || relation_type || ']-> ' || target_id, chr(10) ORDER BY source_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY source_id) AS n FROM v_relations) WHERE n <= 50 GROUP BY target_id", "relations")
 def relation_context_text(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty relations of each target as sentences."""

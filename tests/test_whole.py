@@ -40,3 +40,12 @@ def test_lines_that_differ_late_are_kept(spark, planted):
     got = sorted((r.line_no, r.line) for r in run(spark, "dedupe_whole_lines", d))
     assert [n for n, _ in got] == [3 * k for k in range(7)] and len({x for _, x in got}) == 7
     assert len({x[:30] for _, x in got}) == 1
+
+
+def test_items_come_from_the_whole_document(spark, planted):
+    scored = {5, 6, 7, 8, 9, 10}
+    d = planted({1: "\n".join("the" if k in scored else "x" for k in range(101)), 2: "\n".join("x" * 101), 3: "x\nthe\nx"})
+    got = {}
+    for r in run(spark, "select_items_spread", d):
+        got.setdefault(r.asset_id, set()).add(int(r.chunk_id.split("-")[1]))
+    assert got == {1: {5, 6, 7, 0, 50, 100}, 2: {0, 20, 40, 60, 80, 100}, 3: {0, 1, 2}}
