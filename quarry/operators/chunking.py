@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARAGRAPH, LEAST_CUT = 3000, 1000
@@ -72,3 +72,17 @@ def semantic(blocks: DataFrame, target: int = 700, most: int = 1000) -> DataFram
     last = F.when(F.size("s.texts") > 0, F.array(F.struct(F.col("s.heading").alias("heading"), F.array_join("s.texts", "\n").alias("content"))))
     every = F.concat(F.col("s.done"), F.coalesce(last, F.array().cast("array<struct<heading:string,content:string>>")))
     return folded.select("doc_id", F.posexplode(every).alias("seq", "c")).select("doc_id", "seq", "c.heading", "c.content")
+
+
+def windows(lines: Column, most: int) -> Column:
+    """(seq, line_start, line_end, content) of windows of ``most`` lines over an array of lines."""
+
+    def cut(ls: Column) -> Column:
+        last = F.floor((F.size(ls) - 1) / most).cast("long")
+        return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(
+            i.alias("seq"), (i * most + 1).alias("line_start"), F.least(i * most + most, F.size(ls).cast("long")).alias("line_end"),
+            F.array_join(F.slice(ls, (i * most + 1).cast("int"), most), "\n").alias("content"),
+        ))
+
+    # an array of one array, so that the lines are split once and not for each window
+    return F.flatten(F.transform(F.array(lines), cut))

@@ -249,6 +249,14 @@ def code_windows_120(spark: SparkSession, d: str) -> DataFrame:
     return seqs.select("doc_id", "seq", F.concat(F.lit("w"), F.col("seq").cast("string")).alias("content"))
 
 
+@query("""SELECT doc_id, i AS seq, i * 120 + 1 AS line_start, least(i * 120 + 120, len(ls)) AS line_end, array_to_string(ls[i * 120 + 1:i * 120 + 120], chr(10)) AS content
+  FROM (SELECT doc_id, ls, unnest(range(0, (len(ls) + 119) // 120)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))""")
+def code_windows_text(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 120 lines over files: the lines themselves, and the numbers of the first and the last."""
+    docs = read(spark, d, "documents", "doc_id", "text").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.explode(C.windows(F.split("text", "\n"), 120)).alias("w")).select("doc_id", "w.*")
+
+
 @query()
 def paragraph_pack_3000(spark: SparkSession, d: str) -> DataFrame:
     return C.paragraphs(read(spark, d, "documents", "doc_id", "text"))

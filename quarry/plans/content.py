@@ -296,6 +296,13 @@ def code_windows(spark: SparkSession, d: str) -> DataFrame:
     return V.symbols(spark, d).select("symbol_id", F.explode(F.sequence("start_line", "end_line", F.lit(12).cast("long"))).alias("first_line"))
 
 
+@query("SELECT symbol_id, i AS first_line, least(i + 11, end_line) AS last_line FROM (SELECT *, unnest(range(start_line, end_line + 1, 12)) AS i FROM v_symbols)", "symbols")
+def code_window_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 12 lines over each definition, with the last line of each; symbols have no text here."""
+    rows = V.symbols(spark, d).withColumn("first_line", F.explode(F.sequence("start_line", "end_line", F.lit(12).cast("long"))))
+    return rows.select("symbol_id", "first_line", F.least(F.col("first_line") + 11, "end_line").alias("last_line"))
+
+
 @query("SELECT asset_id, (('0x' || substr(sha256, 1, 15))::BIGINT) AS lock_key FROM v_versions WHERE is_current", "versions")
 def lock_key(spark: SparkSession, d: str) -> DataFrame:
     return V.versions(spark, d).filter("is_current").select("asset_id", F.conv(F.substring("sha256", 1, 15), 16, 10).cast("long").alias("lock_key"))

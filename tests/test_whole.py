@@ -49,3 +49,11 @@ def test_items_come_from_the_whole_document(spark, planted):
     for r in run(spark, "select_items_spread", d):
         got.setdefault(r.asset_id, set()).add(int(r.chunk_id.split("-")[1]))
     assert got == {1: {5, 6, 7, 0, 50, 100}, 2: {0, 20, 40, 60, 80, 100}, 3: {0, 1, 2}}
+
+
+def test_windows_hold_all_lines(spark, planted):
+    text = "\n".join(f"line {k}" for k in range(1, 251))
+    d = planted({1: text, 2: "", 3: "\n".join("x" * 120)})
+    got = sorted((r.doc_id, r.seq, r.line_start, r.line_end, r.content) for r in run(spark, "code_windows_text", d))
+    assert [x[:4] for x in got] == [(1, 0, 1, 120), (1, 1, 121, 240), (1, 2, 241, 250), (2, 0, 1, 1), (3, 0, 1, 120)]
+    assert "\n".join(x[4] for x in got if x[0] == 1) == text
