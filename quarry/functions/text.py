@@ -107,3 +107,52 @@ def cover_density(words: Column, terms: list[str], near: int = 16) -> Column:
         return F.struct(last.alias("last"), F.greatest(first, s["from"]).alias("from"), (s["score"] + gain).alias("score")).cast(state)
 
     return F.aggregate(places, start, step)["score"]
+
+
+#: Names of an incident's fields as they are written.
+INCIDENT_FIELDS = {
+    "장애번호": "incident_id", "incident_id": "incident_id", "시스템": "system", "system": "system", "제품": "product", "product": "product", "버전": "version", "version": "version",
+    "증상": "symptom", "symptom": "symptom", "원인": "cause", "cause": "cause", "조치": "action", "action": "action", "결과": "result", "result": "result",
+}
+_LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+_KEYED = r"(?U)^\s*([^:：]{1,40})\s*[:：]\s*(.+?)\s*$"
+JAVA_EXCEPTION = r"(?U)\b(?:[A-Za-z_$][\w.$]*)?(?:Exception|Error|Throwable)\b"
+JAVA_CODE = r"(?U)\b(?:ORA-\d{5}|SQLSTATE[=: ]+[0-9A-Z]{5}|[A-Z]{3,8}\d{3,6}[A-Z]?|SQLCODE[=: ]+-?\d+)\b"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def blocks(text: Column) -> Column:
+    """Parts of a text between blank lines, stripped; empty ones don't count."""
+    return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda b: b != "")
+
+
+def incident_fields(block: Column) -> Column:
+    """An incident's eight fields from ``key: value`` lines, as an array of one struct; the last of a key wins."""
+    known = F.create_map(*[F.lit(x) for pair in INCIDENT_FIELDS.items() for x in pair])
+    pairs = F.transform(F.split(block, _LINE_END), lambda ln: F.struct(
+        F.try_element_at(known, F.lower(strip(F.regexp_extract(ln, _KEYED, 1)))).alias("key"), strip(F.regexp_extract(ln, _KEYED, 2)).alias("value"),
+    ))
+    of = lambda ps, k: F.try_element_at(F.filter(ps, lambda p: p["key"] == k), F.lit(-1))["value"]
+    # an array of one array, so that lines are read once and not for each field
+    return F.transform(F.array(pairs), lambda ps: F.struct(*[of(ps, k).alias(k) for k in dict.fromkeys(INCIDENT_FIELDS.values())]))
+
+
+def java_diagnostics(code: Column, signature: Column, symbol_name: Column, symbol_type: Column) -> dict[str, Column]:
+    """Exceptions that Java code refers to, declares, throws and catches, its error codes, and whether it is an exception."""
+    known = lambda c: F.array_sort(F.array_distinct(c))
+    every = lambda c, pattern, group=0: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    inside = lambda c, pattern: known(F.flatten(F.transform(every(c, pattern, 1), lambda x: every(x, JAVA_EXCEPTION))))
+    searchable = F.concat(F.coalesce(signature, F.lit("")), F.lit("\n"), code)
+    extends = F.concat(F.lit(r"(?U)\bclass\s+\Q"), symbol_name, F.lit(r"\E\b[^{;]*\bextends\s+[\w.$]*(?:Exception|Error|Throwable)\b"))
+    named = (symbol_type == "class") & (symbol_name != "") & (symbol_name.rlike("(?:Exception|Error|Throwable)$") | F.regexp_like(code, extends))
+    return {
+        "exception_types": known(every(searchable, JAVA_EXCEPTION)),
+        "declared_exceptions": inside(searchable, r"(?U)\bthrows\s+([^{;\n]+)"),
+        "thrown_exceptions": known(every(code, r"(?U)\bthrow\s+new\s+([A-Za-z_$][\w.$]*(?:Exception|Error|Throwable))\b", 1)),
+        "caught_exceptions": inside(code, r"(?U)\bcatch\s*\(([^)]*)\)"),
+        "error_codes": known(every(code, JAVA_CODE)),
+        "is_exception_class": F.coalesce(named, F.lit(False)),
+    }

@@ -135,6 +135,22 @@ def incident_fields(spark: SparkSession, d: str) -> DataFrame:
     return keyed.groupBy("doc_id").agg(last("title").alias("title"), last("cause").alias("cause"), (F.countDistinct("key") >= 2).alias("structured"))
 
 
+@query()
+def incident_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each block of each text with the fields that its ``key: value`` lines give; two fields make an incident."""
+    blocks = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(text.blocks(F.col("text"))).alias("block", "content"))
+    rows = blocks.select("doc_id", "block", "content", F.explode(text.incident_fields(F.col("content"))).alias("f")).select("doc_id", "block", "content", "f.*")
+    return rows.withColumn("structured", sum((F.col(k).isNotNull().cast("int") for k in set(text.INCIDENT_FIELDS.values())), F.lit(0)) >= 2)
+
+
+@query()
+def java_text_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Diagnostics of each text as Java code; its first class is the symbol."""
+    docs = read(spark, d, "documents", "doc_id", "text").filter("text IS NOT NULL").withColumn("name", F.regexp_extract("text", r"\bclass\s+([A-Za-z_$][\w$]*)", 1))
+    found = text.java_diagnostics(F.col("text"), F.lit(None).cast("string"), F.col("name"), F.when(F.col("name") != "", "class"))
+    return docs.select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
 def architecture_points() -> Column:
     """Three for each word of an architecture in ``display_content``, less three for each of an activity."""
     held = lambda words: sum((F.contains(F.lower("display_content"), F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))

@@ -57,3 +57,26 @@ def test_windows_hold_all_lines(spark, planted):
     got = sorted((r.doc_id, r.seq, r.line_start, r.line_end, r.content) for r in run(spark, "code_windows_text", d))
     assert [x[:4] for x in got] == [(1, 0, 1, 120), (1, 1, 121, 240), (1, 2, 241, 250), (2, 0, 1, 1), (3, 0, 1, 120)]
     assert "\n".join(x[4] for x in got if x[0] == 1) == text
+
+
+def test_incident_fields_of_a_text(spark, planted):
+    d = planted({1: "장애번호: A-1\n 시스템 ： pay \nnote: x\nCause: first: disk\ncause: second\n \nsystem: only one\n\n\nfree text", 2: ""})
+    got = sorted(run(spark, "incident_blocks", d), key=lambda r: r.block)
+    assert [(r.doc_id, r.block, r.structured) for r in got] == [(1, 0, True), (1, 1, False), (1, 2, False)]
+    assert (got[0].incident_id, got[0].system, got[0].cause, got[0].product, got[0].result) == ("A-1", "pay", "second", None, None)
+    assert got[1].system == "only one" and got[2].content == "free text"
+
+
+def test_java_diagnostics_of_a_text(spark, planted):
+    code = """public class PayFailure extends base.PayException {
+  void a() throws java.io.IOException, PayException {
+    try { b(); } catch (final SQLException | TimeoutError e) { throw new com.acme.RetryException("ORA-00942 PAY1234"); }
+  }
+}"""
+    d = planted({1: code, 2: "class Plain { }", 3: "no code"})
+    got = {r.doc_id: r for r in run(spark, "java_text_diagnostics", d)}
+    assert got[1].exception_types == ["PayException", "SQLException", "TimeoutError", "base.PayException", "com.acme.RetryException", "java.io.IOException"]
+    assert got[1].declared_exceptions == ["PayException", "java.io.IOException"]
+    assert got[1].thrown_exceptions == ["com.acme.RetryException"] and got[1].caught_exceptions == ["SQLException", "TimeoutError"]
+    assert got[1].error_codes == ["ORA-00942", "PAY1234"]
+    assert [got[k].is_exception_class for k in (1, 2, 3)] == [True, False, False] and got[2].exception_types == []
