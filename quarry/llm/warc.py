@@ -1,50 +1,64 @@
 """WARC archives with a two-level capture index.
 
-Archives: Spark's own text writer makes the files, so they can lie in any store that Spark
-writes and a lost task is simply run again. Each record is a gzip member of its own; a
-member's last byte is the writer's line separator (a zero, which the size of a payload
-below 16 MB ends with; longer members are followed by an empty one). The files are WARC
-files of gzip members, whatever their names.
+Archives: Spark's own text writer makes the files, so a lost task is simply run again and
+commits its file once. Each record is a gzip member of its own; a member's last byte is the
+writer's line separator (a zero, which the size of a record below 16 MB ends with; longer
+members are followed by an empty one). The files are WARC/1.1 files of gzip members,
+whatever their names. A page's html is shuffled once, to the archive it goes to.
 
 Of records with equal payloads of at least 1000 bytes, the one with the largest page id is
-a ``response``, the others are ``revisit`` records that name it and hold no payload.
-
-Index: a scan of the archives gives (reversed-host URL key, id, file, offset, length) for
-each record; sorted by key, they are compressed in blocks of ``BLOCK`` entries, and a
-sparse directory keeps the first key of each block. Blocks and directory are tables. A
-look-up finds the partition of a key by the partitions' first keys (as many as there are
-partitions, a bounded number), binary-searches that partition's directory, opens the block
-and binary-searches the entries; records are then read by their byte ranges, file by file.
-
-Defined results: a null html is an empty payload, a null url the empty key; null page ids
-come first among ids; rows equal in all columns are one record each; equal payloads of
-equal ids: one of them is the response; an empty table gives no archive and no rows.
+a ``response``, the others are ``revisit`` records that name it and hold no payload. Which
+is which is decided from ids, digests and sizes alone.
+
+Index: a scan of the archives, member by member, gives (reversed-host URL key, id, file,
+offset, length) for each record. Sorted by key over all partitions, they are compressed in
+blocks of ``BLOCK`` entries, which lie in files as the records do. The sparse directory
+keeps each block's first key, file, offset and length, in a folder for each range of keys;
+there are at most ``MAX_PARTS`` of these, whose first keys go to every look-up task. A
+look-up searches those, then one folder of the directory, then the block that it reads by
+its range. Records are read by their ranges too: tasks open archives with Arrow's file
+systems (local or mounted folders, HDFS, S3, GCS, ABFS) and never load one whole.
+
+Defined results: a null html is an empty payload, a null url the empty one; null page ids
+come first among ids, and a revisit of such a record has a null ``refers_to``; rows equal
+in all columns are one record each, and of those with equal payloads and ids one is the
+response (rows are numbered as they are scanned, so ``pages`` has to be a table); an empty
+table gives no archive and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
+import re
 import uuid
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import partial
+from dataclasses import dataclass
+from functools import lru_cache, partial
+from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, written
 
 REVISIT_BYTES = 1000
-#: Payload bytes in an archive file, about; and index entries in a block.
-FILE_BYTES = 8_000_000
+#: Entries in a block of the index, and in a range of its keys until there are MAX_PARTS ranges.
 BLOCK = 256
-#: Partitions of the index; the first key of each goes to every look-up task.
-INDEX_PARTITIONS = 64
+PART_ENTRIES = 8192
+MAX_PARTS = 1000
+#: Bytes of archives that one task reads, about, where there are more than shuffle partitions.
+READ_BYTES = 128_000_000
+#: Bytes that are inflated at once in a scan.
+_STEP = 1 << 18
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + b"\x00" * 8
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
 
 def url_key(url: Column) -> Column:
@@ -56,220 +70,327 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), path)
 
 
-def _member(record: bytes) -> bytes:
+def member(data: bytes) -> bytes:
+    """A gzip member that ends with a zero byte."""
     z = zlib.compressobj(4, zlib.DEFLATED, 31)
-    made = z.compress(record) + z.flush()
+    made = z.compress(data) + z.flush()
     return made if made[-1] == 0 else made + _EMPTY
 
 
-def record(row: dict) -> bytes:
-    """A WARC record: headers, payload (none for a revisit), two line ends."""
-    payload = b"" if row["refers_to"] is not None else (row["html"] or "").encode()
+def _record_id(page_id: int | None, digest: str, row: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {page_id} {digest} {row}')}>"
+
+
+def record(row: dict, date: str) -> bytes:
+    """A WARC record: headers, the HTTP response (for a revisit its head alone), two line ends."""
+    payload, response = (row["html"] or "").encode(), row["record_type"] == "response"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    url = row["url"] or ""
+    target = re.sub(r"[^\x21\x23-\x3b\x3d\x3f-\x7e]", lambda m: quote(m[0], safe=""), url) or "about:blank"
+    block = http + payload if response else http
     head = {
-        "WARC-Type": "response" if row["refers_to"] is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(row['page_id']) + ' ' + row['payload_digest'])}>",
-        "WARC-Target-URI": json.dumps(row["url"] or ""),
+        "WARC-Type": row["record_type"],
+        "WARC-Record-ID": _record_id(row["page_id"], row["payload_digest"], row["_row"]),
+        "WARC-Date": date,
+        "WARC-Target-URI": target,
         "WARC-Payload-Digest": f"sha1:{row['payload_digest']}",
+        "Content-Type": "application/http; msgtype=response",
+        "Content-Length": str(len(block)),
         "X-Page-ID": "" if row["page_id"] is None else str(row["page_id"]),
-        "X-Key": json.dumps(row["key"]),
-        "X-Payload-Length": str(row["payload_bytes"]),
-        "Content-Type": "text/html; charset=utf-8",
-        "Content-Length": str(len(payload)),
     }
-    if row["refers_to"] is not None:
-        head["WARC-Refers-To"] = str(row["refers_to"])
+    if target != url:  # what a header can't hold
+        head["X-URL"] = json.dumps(url)
+    if not response:
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        head["WARC-Refers-To"] = _record_id(row["refers_to"], row["payload_digest"], row["_refers_row"])
+        head["X-Refers-To-Page-ID"] = "" if row["refers_to"] is None else str(row["refers_to"])
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
-    return f"WARC/1.1\r\n{lines}\r\n".encode() + payload + b"\r\n\r\n"
+    return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def headers(raw: bytes) -> dict[str, str]:
+    """Headers of a record, from its beginning."""
+    return dict(line.split(": ", 1) for line in raw[: raw.index(b"\r\n\r\n")].decode().split("\r\n")[1:])
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of a record."""
-    end = raw.index(b"\r\n\r\n")
-    head = dict(line.split(": ", 1) for line in raw[:end].decode().split("\r\n")[1:])
-    return head, raw[end + 4 : end + 4 + int(head["Content-Length"])]
+    """Headers and payload (without the HTTP head) of a record."""
+    head, begin = headers(raw), raw.index(b"\r\n\r\n") + 4
+    end = begin + int(head["Content-Length"])
+    return head, raw[raw.index(b"\r\n\r\n", begin) + 4 : end]
+
+
+def _url(head: dict[str, str]) -> str:
+    return json.loads(head["X-URL"]) if "X-URL" in head else head["WARC-Target-URI"]
+
+
+def _number(text: str) -> int | None:
+    return int(text) if text else None
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    """Each row's record as a member, without its last byte."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            made = [_member(record(row))[:-1] for row in batch.slice(k, 200).to_pylist()]
+        for k in range(0, batch.num_rows, 100):
+            made = [member(record(row, date))[:-1] for row in batch.slice(k, 100).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
 
+def _as_files(members: DataFrame, path: str) -> None:
+    """Writes members one behind the other; the separator of lines is each member's last byte."""
+    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").option("compression", "none").text(path)
+
+
 def typed(pages: DataFrame) -> DataFrame:
-    """Pages with key, payload length, digest, and the id that a revisit refers to (null: response)."""
+    """Pages with payload length and digest, record type, and the page (and row) that a revisit refers to."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
-        F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), url_key(F.col("url")).alias("key"),
-        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"),
-    )
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    # only ids and digests go into the search for equal payloads; reduced before the shuffle
+        "page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest")
+    ).withColumn("_row", F.monotonically_increasing_id())
+    # reduced before the shuffle; html is neither read into it nor shuffled for it
     last = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(
         F.max(F.struct("page_id", "_row")).alias("_last"), F.count(F.lit(1)).alias("_n")
-    ).filter("_n > 1")
-    joined = rows.join(last.select("payload_digest", "_last"), "payload_digest", "left")
-    mine = F.struct("page_id", "_row").eqNullSafe(F.col("_last"))
+    ).filter("_n > 1").select("payload_digest", "_last")
+    # read from a table, so that a digest with many rows can be split among tasks
+    joined = rows.join(written(last, "last-of-payload").hint("shuffle_hash"), "payload_digest", "left")
+    revisit = (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("_last").isNotNull() & ~F.struct("page_id", "_row").eqNullSafe(F.col("_last"))
     return joined.select(
-        "page_id", "url", "html", "key", "payload_bytes", "payload_digest",
-        F.when((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("_last").isNotNull() & ~mine, F.coalesce(F.col("_last.page_id"), F.lit(-1))).alias("refers_to"),
+        "page_id", "url", "html", "payload_bytes", "payload_digest", "_row",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisit, F.col("_last.page_id")).alias("refers_to"),
+        F.when(revisit, F.col("_last._row")).alias("_refers_row"),
     )
 
 
-def write(pages: DataFrame, path: str | None = None) -> str:
-    """Writes the archives and returns their folder."""
-    spark = pages.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    rows = written(typed(pages), "warc-pages")
-    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, total // FILE_BYTES)
-    members = rows.repartition(int(files)).mapInArrow(_records, "value binary")
-    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
+def write(pages: DataFrame, path: str | None = None, date: str | None = None) -> str:
+    """Writes the archives, with ``date`` (default: now) as the records' date, and returns their folder."""
+    path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    _as_files(typed(pages).mapInArrow(partial(_members, date=date), "value binary"), path)
     return path
 
 
-def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            rows = []
-            for offset, length in _ranges(content):
-                head, _ = parse(_inflate(content, offset, length))
-                rows.append((json.loads(head["X-Key"]), head["X-Page-ID"], head["WARC-Type"], path, offset, length))
-            yield pd.DataFrame(rows, columns=["key", "page", "type", "path", "offset", "length"])
+def _open(uri: str):
+    """A file for reads at any place."""
+    if uri.startswith("file:") or "://" not in uri:
+        return LocalFileSystem().open_input_file(re.sub("^file:(//)?(?=/)", "", uri))
+    fs, at = FileSystem.from_uri(uri)
+    return fs.open_input_file(at)
+
+
+def scan(file, ends: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and beginning (as far as ``ends`` at least) of each thing in a file of gzip members.
+
+    The file is read and inflated in steps, so that neither it nor a member is held whole.
+    """
+    z, start, at, size, head, waiting = zlib.decompressobj(31), 0, 0, 0, b"", None
+    data = file.read(_STEP)
+    while data:
+        out = z.decompress(data, _STEP)
+        rest = z.unused_data if z.eof else z.unconsumed_tail
+        at += len(data) - len(rest)
+        size += len(out)
+        if ends not in head:
+            head += out
+        if z.eof:
+            if size or waiting is None:
+                if waiting:
+                    yield waiting
+                waiting = (start, at - start, head)
+            else:  # an empty member belongs to the one before
+                waiting = (waiting[0], at - waiting[0], waiting[2])
+            z, start, size, head = zlib.decompressobj(31), at, 0, b""
+        data = rest or file.read(_STEP)
+    if waiting:
+        yield waiting
+
+
+def _inflate(file, offset: int, length: int) -> bytes:
+    return zlib.decompressobj(31).decompress(file.read_at(length, offset))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files of a folder; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, sizes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of at most 1000 rows and, by the length of the column ``sizes``, 16 MB or a row."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 0 if sizes is None else len(row[sizes] or "")
+        if len(held) == 1000 or size > 16_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
 
+_CAPTURE = pa.schema([("url", pa.string()), ("page", pa.string()), ("type", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_ENTRY = ("key", "page", "type", "path", "offset", "length")
 
-def _ranges(content: bytes) -> list[tuple[int, int]]:
-    """Offsets and lengths of the records of a file, found by inflating member after member."""
-    found: list[tuple[int, int]] = []
-    at = 0
-    while at < len(content):
-        z, to, empty = zlib.decompressobj(31), at, True
-        while not z.eof and to < len(content):
-            part = content[to : to + 65536]
-            empty &= not z.decompress(part)
-            to += len(part)
-        to -= len(z.unused_data)
-        if empty and found:
-            found[-1] = (found[-1][0], to - found[-1][0])
-        else:
-            found.append((at, to - at))
-        at = to
-    return found
 
+def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with _open(path) as file:
+                    for offset, length, begin in scan(file, b"\r\n\r\n"):
+                        head = headers(begin)
+                        yield _url(head), head["X-Page-ID"], head["WARC-Type"], path, offset, length
 
-def _inflate(content: bytes, offset: int, length: int) -> bytes:
-    return zlib.decompressobj(31).decompress(content[offset : offset + length])
+    yield from _batches(rows(), _CAPTURE)
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """(key, page, type, path, offset, length) of each record of the archives."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(_captures, "key string, page string, type string, path string, offset long, length long")
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compressed blocks of a partition's sorted entries."""
-    held: list[tuple] = []
-    columns = ["key", "page", "type", "path", "offset", "length"]
-
-    def block(rows):
-        return (rows[0][0], rows[0][1], len(rows), zlib.compress(json.dumps(rows).encode(), 6))
-
-    made = []
-    for pdf in batches:
-        held += list(zip(*(pdf[c].tolist() for c in columns)))
-        while len(held) >= BLOCK:
-            made.append(block(held[:BLOCK]))
-            held = held[BLOCK:]
-        if len(made) >= 256:
-            yield pd.DataFrame(made, columns=["first_key", "first_page", "n", "data"])
-            made = []
-    if held:
-        made.append(block(held))
-    if made:
-        yield pd.DataFrame(made, columns=["first_key", "first_page", "n", "data"])
+    found = _files(spark, path).mapInArrow(_captures, "url string, page string, type string, path string, offset long, length long")
+    return found.select(url_key(F.col("url")).alias("key"), *_ENTRY[1:])
 
 
-def build_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index of archives: rows (part, first_key, first_page, n, data), a row for each block."""
-    found = written(captures(spark, path), "captures")
-    ranged = found.repartitionByRange(INDEX_PARTITIONS, "key", "page").sortWithinPartitions("key", "page")
-    blocks = ranged.mapInPandas(_blocks, "first_key string, first_page string, n int, data binary")
-    return written(blocks.select(F.spark_partition_id().alias("part"), "*"), "capture-index")
-
-
-def _search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Looks the keys of one partition up in its blocks."""
-    out = ["key", "page", "path", "offset", "length"]
-    directory = right.sort_values(["first_key", "first_page"])
-    firsts = list(zip(directory["first_key"], directory["first_page"]))
-    data = directory["data"].tolist()
-    opened: dict[int, list] = {}
-    rows = []
-    for k, page in sorted(set(zip(left["key"], left["page"]))):
-        b = max(bisect_right(firsts, (k, page)) - 1, 0)
-        # entries equal to the key may have begun in a block before
-        while b > 0 and firsts[b] == (k, page):
-            b -= 1
-        while b < len(data) and firsts[b] <= (k, page):
-            if b not in opened:
-                opened = {b: json.loads(zlib.decompress(data[b]))}
-            entries = opened[b]
-            at = bisect_left(entries, [k, page])
-            while at < len(entries) and entries[at][:2] == [k, page]:
-                rows.append((k, page, entries[at][3], entries[at][4], entries[at][5]))
-                at += 1
-            b += 1
-    return pd.DataFrame(rows, columns=out)
-
-
-def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, page, path, offset, length) for rows (key, page) of ``wanted``."""
-    # the first key of each partition: as many rows as the index has partitions
-    starts = sorted((tuple(r) for r in index.groupBy("part").agg(F.min(F.struct("first_key", "first_page")).alias("f")).select("f.first_key", "f.first_page", "part").collect()))
-    if not starts:
-        return wanted.sparkSession.createDataFrame([], "key string, page string, path string, offset long, length long")
-    at = F.struct(F.col("key"), F.col("page"))
-    bounds = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("page"), F.lit(n).alias("part")) for k, p, n in starts])
-    found = F.filter(bounds, lambda b: F.struct(b["key"], b["page"]) <= at)
-    routed = wanted.select("key", "page", F.coalesce(F.try_element_at(found, F.lit(-1))["part"], F.lit(starts[0][2])).alias("part"))
-    return routed.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(_search, "key string, page string, path string, offset long, length long")
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for content, ranges in zip(pdf["content"], pdf["ranges"]):
-            rows = []
-            for r in ranges:
-                head, payload = parse(_inflate(content, r["offset"], r["length"]))
-                kind = head["WARC-Type"]
-                rows.append((
-                    None if head["X-Page-ID"] == "" else int(head["X-Page-ID"]),
-                    json.loads(head["WARC-Target-URI"]),
-                    len(payload) if kind == "response" else int(head["X-Payload-Length"]),
-                    hashlib.sha1(payload).hexdigest() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha1:"),
-                    kind,
-                    None if kind == "response" else int(head["WARC-Refers-To"]),
-                    payload.decode() if kind == "response" else None,
-                ))
-            made = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
-            yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-def read_ranges(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
-    """Records at byte ranges (path, offset, length); a file is opened once for all its ranges."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    wanted = ranges.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
-    return files.join(wanted, "path").select("content", "ranges").mapInPandas(
-        _read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
-    )
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of up to BLOCK of a partition's sorted entries, a line each."""
+
+    def rows():
+        held: list[list] = []
+        for batch in batches:
+            for entry in zip(*(batch.column(c).to_pylist() for c in _ENTRY)):
+                held.append(entry)
+                if len(held) == BLOCK:
+                    yield (member("\n".join(map(json.dumps, held)).encode() + b"\n")[:-1],)
+                    held = []
+        if held:
+            yield (member("\n".join(map(json.dumps, held)).encode() + b"\n")[:-1],)
+
+    yield from _batches(rows(), pa.schema([("value", pa.binary())]), sizes=0)
+
+
+_PLACE = pa.schema([("first_key", pa.string()), ("first_page", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def _directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with _open(path) as file:
+                    for offset, length, begin in scan(file, b"\n"):
+                        key, page, *_ = json.loads(begin[: begin.index(b"\n")])
+                        yield key, page, path, offset, length
+
+    yield from _batches(rows(), _PLACE)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """The sparse directory's folder, and (first key, first id, number) of its parts, at most MAX_PARTS."""
+
+    folder: str
+    tops: tuple[tuple[str, str, int], ...]
+    entries: int
+
+    def find(self, wanted: Iterator[tuple[str, str]]) -> Iterator[tuple]:
+        """(key, page, path, offset, length) of all captures with these keys and ids; in a task, best in order."""
+
+        @lru_cache(2)
+        def directory(part: int) -> list[tuple]:
+            fs, at = (LocalFileSystem(), re.sub("^file:(//)?(?=/)", "", self.folder)) if self.folder.startswith("file:") or "://" not in self.folder else FileSystem.from_uri(self.folder)
+            rows = pa.dataset.dataset(f"{at}/part={part}", filesystem=fs, format="parquet").to_table(columns=_PLACE.names)
+            return sorted(zip(*(c.to_pylist() for c in rows.columns)))
+
+        @lru_cache(4)
+        def block(path: str, offset: int, length: int) -> list[list]:
+            with _open(path) as file:
+                return list(map(json.loads, _inflate(file, offset, length).splitlines()))
+
+        for want in wanted:
+            p = max(bisect_left(self.tops, want) - 1, 0)  # the part before may end with the key
+            while p < len(self.tops) and self.tops[p][:2] <= want:
+                places = directory(self.tops[p][2])
+                b = max(bisect_left(places, want) - 1, 0)
+                while b < len(places) and places[b][:2] <= want:
+                    entries = block(*places[b][2:])
+                    e = bisect_left(entries, [*want])
+                    while e < len(entries) and entries[e][:2] == [*want]:
+                        yield (*want, *entries[e][3:])
+                        e += 1
+                    b += 1
+                p += 1
+
+
+def build_index(spark: SparkSession, path: str) -> Index:
+    """Sorts the captures of the archives into blocks and keeps the directory of them."""
+    found = written(captures(spark, path), "captures")
+    n = found.count()
+    parts = min(MAX_PARTS, -(-n // PART_ENTRIES) or 1)
+    folder = f"{shared_dir(spark).rstrip('/')}/capture-index-{uuid.uuid4().hex}"
+    order = ["key", "page", "path", "offset"]
+    _as_files(found.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks, "value binary"), f"{folder}/blocks")
+    places = _files(spark, f"{folder}/blocks").mapInArrow(_directory, "first_key string, first_page string, path string, offset long, length long")
+    # a part of the directory has the blocks of one file
+    places = places.withColumn("part", F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int"))
+    places.write.partitionBy("part").parquet(f"{folder}/directory")
+    if not n:
+        return Index(f"{folder}/directory", (), 0)
+    tops = spark.read.parquet(f"{folder}/directory").groupBy("part").agg(F.min(F.struct("first_key", "first_page")).alias("f"))
+    return Index(f"{folder}/directory", tuple(sorted(map(tuple, tops.select("f.first_key", "f.first_page", "part").collect()))), n)
+
+
+def _found(batches: Iterator[pa.RecordBatch], index: Index, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    wanted = ((k, p) for batch in batches for k, p in zip(batch.column("key").to_pylist(), batch.column("page").to_pylist()))
+    yield from _batches(index.find(wanted), schema)
+
+
+def look_up(index: Index, wanted: DataFrame) -> DataFrame:
+    """(key, page, path, offset, length) for rows (key, page) of ``wanted``, equal rows once."""
+    spark = wanted.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), index.entries // 1_000_000)
+    # in the order of keys a task meets each part of the directory and each block once
+    ordered = wanted.select("key", "page").distinct().repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page")
+    schema = pa.schema([("key", pa.string()), *list(_PLACE)[1:]]).set(1, pa.field("page", pa.string()))
+    return ordered.mapInArrow(partial(_found, index=index, schema=schema), "key string, page string, path string, offset long, length long")
+
+
+_RECORD = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string()),
+])
+
+
+def _read(batches: Iterator[pa.RecordBatch], html: bool) -> Iterator[pa.RecordBatch]:
+    def rows():
+        path, file = None, None
+        for batch in batches:
+            for to, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length"))):
+                if to != path:
+                    if file:
+                        file.close()
+                    path, file = to, _open(to)
+                head, payload = parse(raw := _inflate(file, offset, length))
+                if response := head["WARC-Type"] == "response":
+                    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                else:  # of the payload that it does not hold
+                    size = int(re.search(rb"\r\n\r\nHTTP[^\0]*?Content-Length: (\d+)", raw)[1])
+                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                refers = None if response else _number(head["X-Refers-To-Page-ID"])
+                yield _number(head["X-Page-ID"]), _url(head), size, digest, head["WARC-Type"], refers, payload.decode() if html and response else None
+
+    yield from _batches(rows(), _RECORD, sizes=6)
+
+
+def read_ranges(ranges: DataFrame, html: bool = True, n: int | None = None) -> DataFrame:
+    """Records at byte ranges (path, offset, length), with their html unless told not to; ``n`` tasks read them."""
+    n = n or int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ranges.select("path", "offset", "length").repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset")
+    return ordered.mapInArrow(partial(_read, html=html), RECORD)
+
+
+def round_trip(pages: DataFrame, html: bool = True) -> DataFrame:
     """Writes all pages, indexes the archives, looks every page up and reads its record."""
     spark = pages.sparkSession
     path = write(pages)
     index = build_index(spark, path)
-    wanted = pages.select(url_key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page")).distinct()
-    return read_ranges(spark, path, look_up(index, wanted))
+    wanted = pages.select(url_key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"))
+    size = _files(spark, path).agg(F.sum("length")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // READ_BYTES)
+    return read_ranges(look_up(index, wanted), html, n)

@@ -292,9 +292,47 @@ def test_warc_round_trip(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert got[i].url == (url or "")
     assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 7, 4, 5)] == [("revisit", 7), ("revisit", 7), ("response", None), ("response", None), ("response", None)]
+    assert {i: (got[i].html if got[i].record_type == "response" else None) for i, *_ in rows} == {i: (html or "") if i not in (1, 2) else None for i, _, html, _ in rows}
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_warc_odd_rows(spark):
+    schema = "page_id long, url string, html string"
+    same, big = "s" * 1200, random.Random(4).randbytes(9_000_000).hex()
+    rows = [(None, "u", same), (None, "v", same), (5, "u", same), (5, "u", same), (7, "w", big), (8, "w", None), (8, "w", ""), (None, None, "t" * 2000), (None, None, "t" * 2000)]
+    got = [tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, schema)).collect()]
+    kinds = sorted((r[0] is None, r[0] or 0, r[2], r[4], r[5] is None, r[5] or 0) for r in got)
+    assert kinds == sorted([
+        (True, 0, 1200, "revisit", False, 5), (True, 0, 1200, "revisit", False, 5), (False, 5, 1200, "revisit", False, 5), (False, 5, 1200, "response", True, 0),
+        (False, 7, 18_000_000, "response", True, 0), (False, 8, 0, "response", True, 0), (False, 8, 0, "response", True, 0), (True, 0, 2000, "response", True, 0), (True, 0, 2000, "revisit", True, 0),
+    ])
+    assert next(r[6] for r in got if r[0] == 7) == big
+
+
+def test_warc_records_are_valid():
+    row = {"page_id": 3, "url": "http://h/a b", "html": "<p>é", "record_type": "response", "payload_digest": "d", "_row": 0, "refers_to": None, "_refers_row": None}
+    raw = warc.record(row, "2024-01-01T00:00:00Z")
+    head, payload = warc.parse(raw)
+    assert payload == "<p>é".encode() and raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith(b"\r\n\r\n")
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= head.keys() and head["WARC-Target-URI"] == "http://h/a%20b"
+    block = raw[raw.index(b"\r\n\r\n") + 4 : -4]
+    assert len(block) == int(head["Content-Length"]) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+    again, empty = warc.parse(warc.record(row | {"record_type": "revisit", "refers_to": 9, "_refers_row": 4}, "2024-01-01T00:00:00Z"))
+    assert empty == b"" and again["WARC-Refers-To"] == warc._record_id(9, "d", 4) and again["X-Refers-To-Page-ID"] == "9"
+
+
+def test_capture_index_finds_keys_that_span_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART_ENTRIES", 700)
+    rows = [(k % 40, f"http://h.org/{k % 3}", f"page {k}") for k in range(4000)] + [(9000, "http://a.org", "only")]
+    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    index = warc.build_index(spark, path)
+    assert len(index.tops) > 3 and index.entries == len(rows)
+    wanted = spark.createDataFrame([("org,h)/1", "7"), ("org,a)/", "9000"), ("org,a)/", "1"), ("", ""), ("zzz", "1")], "key string, page string")
+    found = warc.read_ranges(warc.look_up(index, wanted)).collect()
+    expected = sorted(h for i, u, h in rows if (i, u) == (7, "http://h.org/1") or i == 9000)
+    assert sorted(r.html for r in found) == expected
+
+
 def test_reversed_host_keys(spark):
     keys = spark.createDataFrame([("https://www.Example.com:8080/a?b#c",), ("http://x.org",), (None,)], "url string").select(warc.url_key(F.col("url"))).collect()
     assert [r[0] for r in keys] == ["com,example,www)/a?b", "org,x)/", ")/"]
