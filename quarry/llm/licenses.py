@@ -1,28 +1,34 @@
 """License scan by ordered signature rules.
 
-A text is reduced to its lower-cased words, one space between them. Rules are regular
-expressions over those words; each has a keyword that must occur before the expression is
-tried, a label, and a priority: an SPDX tag or a name with version and "or later" (4),
-a name with its version (3), a name (2), a loose mention (1). A detection whose words lie
-inside those of a detection of higher priority, or of a longer one of equal priority, is
-suppressed; of detections with the same words and priority the first rule's stays.
+A text is reduced to its lower-cased words, one space between them. Some hundreds of
+hand-written signatures (``license_rules``) are regular expressions over those words; each
+has a keyword that must occur before the expression is tried, a label, and a priority: a
+tag of a file header (4), a name with its version (3), a name or a license's own text (2),
+a loose mention (1). A detection whose words lie inside those of a detection of higher
+priority, or of a longer one of equal priority, is suppressed; of detections with the same
+words and priority the first rule's stays.
+
+Everything happens to a row where it is read: texts without any keyword are not looked at
+further; others are scanned in pieces of ``SPAN``
+words, each of which answers for the detections that start in its first ``STEP`` words, so
+that no text is too long; only detections, numbers and ids are shuffled.
 
 Four base phrases are looked for apart from the rules; their labels always stay.
 
-Defined results: null and empty texts have no words, no labels and score 0; rows equal in
-id and text share one result; null ids are kept; further columns are ignored. Texts
-without any gate word are never matched against a rule.
+Defined results: null and empty texts have no words, no labels and score 0; every row has
+a result of its own, repeated rows and null ids included; further columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cache
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, row_key, words
+from .common import RAW_WORD, n_words, words
+from .license_rules import PLUS, RULES, TAG, TAGGED, VERSIONED
 
 #: Phrase and label of the base scan.
 BASE = (
@@ -31,114 +37,41 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
+#: Words of a piece, and words whose detections it answers for: no signature is longer than the difference.
+SPAN, STEP = 512, 448
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PLUS = rf"(?<=[0-9])\+(?!{RAW_WORD})"
 
-#: Label, names in words, versions, keyword of each family of licenses.
-FAMILIES = (
-    ("gpl", ("gnu general public license", "general public license", "gnu gpl", "gpl"), ("1.0", "2.0", "3.0"), "g"),
-    ("lgpl", ("gnu lesser general public license", "gnu library general public license", "lesser general public license", "gnu lgpl", "lgpl"), ("2.0", "2.1", "3.0"), "l"),
-    ("agpl", ("gnu affero general public license", "affero general public license", "gnu agpl", "agpl"), ("1.0", "3.0"), "a"),
-    ("gfdl", ("gnu free documentation license", "free documentation license", "gfdl"), ("1.1", "1.2", "1.3"), "f"),
-    ("apache", ("apache software license", "apache license"), ("1.0", "1.1", "2.0"), "apache"),
-    ("mpl", ("mozilla public license",), ("1.0", "1.1", "2.0"), "mozilla"),
-    ("epl", ("eclipse public license",), ("1.0", "2.0"), "eclipse"),
-    ("cddl", ("common development and distribution license", "cddl"), ("1.0", "1.1"), "cddl"),
-    ("eupl", ("european union public licence", "european union public license", "eupl"), ("1.0", "1.1", "1.2"), "eupl"),
-    ("osl", ("open software license",), ("1.0", "2.0", "2.1", "3.0"), "open software"),
-    ("afl", ("academic free license",), ("1.1", "2.0", "2.1", "3.0"), "academic"),
-    ("artistic", ("artistic license",), ("1.0", "2.0"), "artistic"),
-    ("psf", ("python software foundation license", "psf license"), ("2.0",), "psf"),
-    ("ofl", ("sil open font license", "open font license"), ("1.0", "1.1"), "font"),
-    ("ms-pl", ("microsoft public license",), (), "microsoft"),
-    ("boost", ("boost software license",), ("1.0",), "boost"),
-    ("zpl", ("zope public license",), ("1.1", "2.0", "2.1"), "zope"),
-    ("lppl", ("latex project public license",), ("1.0", "1.1", "1.2", "1.3"), "latex"),
-    ("bsd-2-clause", ("bsd 2 clause license", "simplified bsd license", "freebsd license"), (), "bsd"),
-    ("bsd-3-clause", ("bsd 3 clause license", "new bsd license", "modified bsd license"), (), "bsd"),
-    ("bsd", ("bsd license", "bsd style license", "berkeley software distribution license"), (), "bsd"),
-    ("mit", ("mit license", "mit x11 license", "expat license"), (), "license"),
-    ("isc", ("isc license",), (), "isc"),
-    ("zlib", ("zlib license", "zlib libpng license"), (), "zlib"),
-    ("unlicense", ("the unlicense", "unlicense"), (), "unlicense"),
-    ("wtfpl", ("do what the fuck you want to public license", "wtfpl"), ("2.0",), "w"),
-    ("cc0", ("cc0", "creative commons zero"), ("1.0",), "c"),
-    ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution noncommercial sharealike"), ("1.0", "2.0", "2.5", "3.0", "4.0"), "c"),
-    ("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution noncommercial noderivatives"), ("1.0", "2.0", "2.5", "3.0", "4.0"), "c"),
-    ("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial"), ("1.0", "2.0", "2.5", "3.0", "4.0"), "c"),
-    ("cc-by-nd", ("cc by nd", "creative commons attribution noderivatives"), ("1.0", "2.0", "2.5", "3.0", "4.0"), "c"),
-    ("cc-by-sa", ("cc by sa", "creative commons attribution sharealike"), ("1.0", "2.0", "2.5", "3.0", "4.0"), "c"),
-    ("cc-by", ("cc by", "creative commons attribution"), ("1.0", "2.0", "2.5", "3.0", "4.0"), "c"),
-)
 
-#: Loose mentions: expression over words, label, keyword.
-MENTIONS = (
-    (r"all rights reserved", "all-rights-reserved", "reserved"),
-    (r"(?:in|into|to) the public domain", "public-domain", "public domain"),
-    (r"public domain (?:dedication|work)", "public-domain", "public domain"),
-    (r"permission is hereby granted free of charge to any person obtaining a copy", "mit", "hereby granted"),
-    (r"redistribution and use in source and binary forms", "bsd", "redistribution"),
-    (r"neither the name of .{1,80} nor the names of its contributors", "bsd-3-clause", "neither the name"),
-    (r"permission to use copy modify and or distribute this software for any purpose", "isc", "permission to use"),
-    (r"creative commons", "creative-commons", "creative commons"),
-    (r"(?:licen[cs]ed|released|distributed|available|published) under (?:an? |the )?open source licen[cs]e", "open-source", "open source"),
-    (r"proprietary (?:and confidential|licen[cs]e|software)", "proprietary", "proprietary"),
-)
+def _gate() -> str:
+    """An expression that finds a keyword or base phrase, with whatever stands between its words, in lower-cased text."""
+    rests = defaultdict(set)
+    for keyword in {r.keyword for r in RULES} | {phrase for phrase, _ in BASE}:
+        rests[keyword[0]].add(keyword[1:].replace(" ", _BETWEEN) + ("" if keyword.endswith("licen") else "(?![a-uw-z])"))  # a version may follow
+    return "(?<![0-9a-z])(?:" + "|".join(f"{first}(?:{'|'.join(sorted(rest))})" for first, rest in sorted(rests.items())) + ")"
+
 
-#: A text without any of these holds no base phrase and no rule can match it.
-GATE = r"(?i)licen[cs]|cc|spdx|gpl|gfdl|public\P{L}+domain|creative|reserved|redistribution|neither|granted|permission|cddl|eupl|wtfpl|proprietary|lgpl|agpl"
-
-
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    regex: str
-    label: str
-    keyword: str
-    priority: int
-
-
-@cache
-def rules() -> tuple[Rule, ...]:
-    """The ordered table, generated from the families: some hundreds of rules, most specific first."""
-    made = []
-    for label, names, versions, _ in FAMILIES:
-        for name in names:
-            keyword = max(name.split(), key=len)
-            for v in versions:
-                number = v.removesuffix(".0").replace(".", " ")
-                number = f"{number}(?: 0)?" if v.endswith(".0") else number
-                versioned = f"{name}(?: licen[cs]e)?(?: international| unported)?(?: version | v | v| ){number}(?! [0-9])"
-                made.append(Rule(f"{name} {v} or later", f"{versioned} or (?:at your option )?(?:any )?(?:later|newer)", f"{label}-{v}-or-later", keyword, 4))
-                made.append(Rule(f"{name} {v}", versioned, f"{label}-{v}", keyword, 3))
-            made.append(Rule(name, name, label, keyword, 2))
-        tag = label.replace("-", " ")
-        for v in versions:
-            number = v.replace(".", " ")
-            made.append(Rule(f"spdx {label}-{v} or later", f"spdx license identifier {tag} {number} or later", f"{label}-{v}-or-later", "spdx", 4))
-            made.append(Rule(f"spdx {label}-{v}", f"spdx license identifier {tag} {number}(?: only)?", f"{label}-{v}", "spdx", 4))
-        made.append(Rule(f"spdx {label}", f"spdx license identifier {tag}", label, "spdx", 3))
-    made += [Rule(f"mention {regex}", regex, label, keyword, 1) for regex, label, keyword in MENTIONS]
-    return tuple(sorted(made, key=lambda r: (-r.priority, -len(r.regex), r.name)))
-
-
-def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, r.keyword, rf"(?<= ){r.regex}(?= )", r.label, r.priority) for k, r in enumerate(rules())]
-    return spark.createDataFrame(rows, "rule int, keyword string, regex string, label string, priority int")
+#: A text in which this is not found holds no base phrase, and no rule can match it.
+GATE = _gate()
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def spaced(text: Column) -> Column:
+    """The words of a text; a plus behind a number stays with it."""
+    return words(F.regexp_replace(text, _PLUS, PLUS))
+
+
 def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, _k, n_words, base counts and places, ``_line`` (spaced words; null where no gate word occurs)."""
+    """Per row: doc_id, _row (its number), n_words, base counts and places, ``_w`` (words; null where no gate word occurs)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(
-        F.col(id_col).alias("doc_id"),
-        row_key(F.col(id_col), F.col(text_col)).alias("_k"),
-        n_words(text).alias("n_words"),
-        F.when(text.rlike(GATE), words(text)).alias("_w"),
+        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), text.alias("_text"), F.when(F.lower(text).rlike(GATE), spaced(text)).alias("_w")
     )
     # every word stands between spaces of its own, so that places that touch are all counted
+    df = df.withColumn("n_words", F.when(F.col("_w").isNull(), n_words(F.col("_text"))).otherwise(F.size("_w").cast("long")))
     df = df.withColumn("_own", F.when(F.col("_w").isNotNull(), F.concat(F.lit(" "), F.array_join("_w", "  "), F.lit(" "))))
     own = F.col("_own")
     counts, firsts, lasts, labels = [], [], [], []
@@ -151,58 +84,88 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         lasts.append(F.when(n > 0, F.col("n_words") - _spaces(F.substring_index(own, key, -1)) / 2 - k).cast("long"))
         labels.append(F.when(n > 0, F.lit(label)))
     return df.select(
-        "doc_id", "_k", "n_words",
+        "doc_id", "_row", "n_words",
         sum(counts[1:], counts[0]).alias("n_base"),
         F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"),
         F.array_sort(F.array_compact(F.array(*labels))).alias("base"),
-        F.when(F.size("_w") > 0, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))).alias("_line"),
+        "_w",
     )
 
 
-def detections(lines: DataFrame) -> DataFrame:
-    """(_k, rule, label, priority, start, end, suppressed) for rows (_k, _line); words are counted from 0."""
-    spark = lines.sparkSession
-    table = rule_table(spark)
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules()})])
-    gated = lines.distinct().select("_k", "_line", F.explode(F.filter(keywords, lambda k: F.contains(F.col("_line"), k))).alias("keyword"))
-    # the rules are a fixed table of this module, a few hundred rows
-    tried = gated.join(F.broadcast(table), "keyword")
-    tried = tried.select(
-        "_k", "rule", "label", "priority",
-        F.expr("regexp_extract_all(_line, regex, 0)").alias("_found"), F.expr("split(_line, regex, -1)").alias("_between"),
-    ).filter(F.size("_found") > 0)
-    # the words before a detection are the spaces before it, less the one in front of the first word
-    walked = F.aggregate(
-        F.arrays_zip(F.slice("_between", 1, F.size("_found")).alias("b"), F.col("_found").alias("f")),
-        F.struct(F.lit(0).alias("seen"), F.array().cast("array<struct<start:int,end:int>>").alias("at")),
+def _walk(found: Column, between: Column, at: Column) -> Column:
+    """Places (start, end, words) of a rule's detections in a piece that begins at word ``at``.
+
+    The words before a detection are the spaces before it, less the one in front of the first word.
+    """
+    return F.aggregate(
+        F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f")),
+        F.struct(F.lit(0).alias("seen"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("at")),
         lambda a, x: F.struct(
             (a["seen"] + _spaces(x["b"]) + _spaces(x["f"])).alias("seen"),
-            F.array_append(a["at"], F.struct((a["seen"] + _spaces(x["b"]) - 1).alias("start"), (a["seen"] + _spaces(x["b"]) + _spaces(x["f"])).alias("end"))).alias("at"),
+            F.when(
+                a["seen"] + _spaces(x["b"]) <= STEP,
+                F.array_append(a["at"], F.struct(
+                    (at + a["seen"] + _spaces(x["b"]) - 1).alias("start"), (at + a["seen"] + _spaces(x["b"]) + _spaces(x["f"])).alias("end"), x["f"].alias("found")
+                )),
+            ).otherwise(a["at"]).alias("at"),
         ),
     )["at"]
-    found = tried.select("_k", "rule", "label", "priority", F.explode(walked).alias("at")).select("_k", "rule", "label", "priority", "at.start", "at.end")
-    before = Window.partitionBy("_k").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+
+
+def detections(df: DataFrame) -> DataFrame:
+    """Rows (_row, _w, ...) with each row's detections: rule, label, priority, start, end, suppressed; words are counted from 0.
+
+    ``_w`` goes; a row without detections stays once, with nulls.
+    """
+    keep = [c for c in df.columns if c != "_w"]
+    n = F.size("_w")
+    pieces = F.when(n > 0, F.transform(
+        F.sequence(F.lit(0), n - 1, F.lit(STEP)),
+        lambda i: F.struct(i.alias("at"), F.concat(F.lit(" "), F.array_join(F.slice("_w", i + 1, SPAN), " "), F.lit(" ")).alias("line")),
+    ))
+    df = df.select(*keep, F.explode_outer(pieces).alias("_piece"))
+    # the rules' literals, in one expression: each is compiled once
+    tried = ", ".join(
+        f"CASE WHEN contains(_piece.line, ' {r.keyword}') AND rlike(_piece.line, r'(?<= )(?:{r.regex})(?= )') THEN named_struct('rule', {k}, 'label', '{r.label}', 'priority', {r.priority},"
+        f" 'regex', r'^(?:{r.regex if r.versioned else '()()'})$', 'found', regexp_extract_all(_piece.line, r'(?<= )(?:{r.regex})(?= )', 0), 'between', split(_piece.line, r'(?<= )(?:{r.regex})(?= )', -1)) END"
+        for k, r in enumerate(RULES)
+    )
+    df = df.select(*keep, F.col("_piece.at").alias("_at"), F.explode_outer(F.expr(f"filter(array({tried}), x -> x IS NOT NULL)")).alias("_hit"))
+    df = df.select(*keep, "_at", F.col("_hit").dropFields("found", "between").alias("_rule"), F.explode_outer(_walk(F.col("_hit.found"), F.col("_hit.between"), F.col("_at"))).alias("_d"))
+    # each row stays at least once: for its first piece
+    df = df.filter(F.col("_d").isNotNull() | F.coalesce(F.col("_at") == 0, F.lit(True)))
+    number, later = (F.expr(f"regexp_extract(_d.found, _rule.regex, {group})") for group in (1, 2))
+    version = F.when(number != "", F.concat(F.lit("-"), F.replace(number, F.lit(" "), F.lit(".")), F.when(F.contains(number, F.lit(" ")), "").otherwise(".0")))
+    label = F.concat("_rule.label", F.coalesce(version, F.lit("")), F.when(version.isNotNull() & (later != ""), "-or-later").otherwise(""))
+    priority = F.when(F.startswith("_d.found", F.lit(TAG)), TAGGED).when(version.isNotNull(), VERSIONED).otherwise(F.col("_rule.priority"))
+    none = F.col("_d").isNull()
+    df = df.select(
+        *keep, F.when(~none, F.col("_rule.rule")).alias("rule"), F.when(~none, label).alias("label"), F.when(~none, priority).alias("priority"),
+        F.col("_d.start").alias("start"), F.col("_d.end").alias("end"),
+    )
+    before = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     higher = [F.max(F.when(F.col("priority") > p, F.col("end"))).over(before) for p in (1, 2, 3)]
     reach = F.when(F.col("priority") == 1, higher[0]).when(F.col("priority") == 2, higher[1]).when(F.col("priority") == 3, higher[2])
     # of equal priority all that could hold a detection stand before it: earlier, or as early and longer, or of an earlier rule
-    equal = Window.partitionBy("_k", "priority").orderBy("start", F.col("end").desc(), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("suppressed", F.coalesce(F.greatest(reach, F.max("end").over(equal)) >= F.col("end"), F.lit(False)))
+    equal = Window.partitionBy("_row", "priority").orderBy("start", F.col("end").desc(), "rule").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("suppressed", F.coalesce(F.greatest(reach, F.max("end").over(equal)) >= F.col("end"), F.lit(False)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: base counts and labels, all labels, the detections that stay, and a score (0 to 1)."""
-    base = base_scan(docs, id_col, text_col)
-    stay = detections(base.filter(F.col("_line").isNotNull()).select("_k", "_line")).filter(~F.col("suppressed"))
-    per_doc = stay.groupBy("_k").agg(
-        F.collect_set("label").alias("_labels"),
-        F.max("priority").alias("_top"),
-        F.sort_array(F.collect_set(F.struct("start", "end", "label", "priority"))).alias("spans"),
+    base = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base")
+    found = detections(base_scan(docs, id_col, text_col))
+    stays = ~F.col("suppressed") & F.col("rule").isNotNull()
+    per_doc = found.groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in base],
+        F.collect_set(F.when(stays, F.col("label"))).alias("_labels"),
+        F.max(F.when(stays, F.col("priority"))).alias("_top"),
+        F.sort_array(F.collect_set(F.when(stays, F.struct("start", "end", "label", "priority")))).alias("spans"),
     )
-    none = F.array().cast("array<string>")
-    return base.drop("_line").join(per_doc, "_k", "left").select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base",
-        F.array_sort(F.array_union("base", F.coalesce("_labels", none))).alias("labels"),
+    return per_doc.select(
+        *base,
+        F.array_sort(F.array_union("base", "_labels")).alias("labels"),
         "spans",
         F.greatest(F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)), F.coalesce(F.col("_top"), F.lit(0)) / 4.0).alias("score"),
     )
