@@ -1,19 +1,26 @@
 """Line dedup by pairwise alignment.
 
-Lines of a document that an earlier document (by id) has too are found through their
-hashes: each line shared by documents pairs every later holder with the first one, so the
-pairs grow with the shared lines and not with their square. A line's rarity is the number
-of its holders; a pair is worth aligning only if it shares a line, and each document of
-a pair sends its line hashes, not its text. The two line sequences are aligned by patience
-diff (lines that are unique in both anchor the alignment, which then grows to both sides
-and goes on between anchors); what is left over is aligned again, so that blocks that
-have moved are found as well. Aligned blocks of at least ``min_words`` words are deleted
-from the later document.
+Overlapping documents are found through shared rare hashes: a line of few words is common
+and no key by itself; it is joined with its neighbours, once forwards and once backwards,
+until the run has ``min_words`` words. Each run shared by documents pairs every later holder
+with the first one (by id), so pairs grow with the shared runs and not with their square,
+and whatever a document has in common with any earlier one, it has in common with one it is
+paired with. A document sends the hashes (of 128 bits) of its shared lines, not its text.
+
+The two line sequences of a pair are aligned by patience diff: lines that are unique in both
+anchor the alignment, which then grows to both sides and goes on between anchors. Aligned
+blocks, which are consecutive in both documents and have ``min_words`` words at least, are
+deleted from the later document; what is left is aligned again with the whole earlier
+document, so that blocks that have moved or occur more often are found as well, and runs
+that overlap a block already found are looked up at the end. So a line goes exactly if it
+lies in a run of consecutive lines of ``min_words`` words or more that some earlier document
+has too.
 
 Defined results: null and empty texts have no lines and stay as they are; blank lines are
-neither aligned nor deleted; rows equal in id and text are one document and all keep the
-result of that one; null ids come after all others; a document all of whose lines were
-deleted keeps a row with the empty text; further columns are kept by ``dedup_lines``.
+neither aligned nor deleted, and do not end a block; white space around a line does not
+count; rows equal in id and text are one document and all keep the result of that one; null
+ids come after all others; a document all of whose lines were deleted keeps a row with the
+empty text; an empty table gives an empty table; further columns are kept by ``dedup_lines``.
 """
 
 from __future__ import annotations
@@ -102,47 +109,52 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def align(first: list[int], later: list[int]) -> list[int]:
-    """Places in ``later`` that align with ``first``; leftovers are aligned again until nothing is found."""
-    at_a, at_b = list(range(len(first))), list(range(len(later)))
-    hit: list[int] = []
-    while at_a and at_b:
-        found = patience([first[i] for i in at_a], [later[j] for j in at_b])
-        if not found:
+def runs(n_words: list[int], at: list[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the shortest runs of consecutive lines with enough words that begin, or end, at each place."""
+    for k in range(len(at)):
+        for step in (1, -1):
+            end, total = k, n_words[k]
+            while total < min_words and 0 <= end + step < len(at) and at[end + step] == at[end] + step:
+                end += step
+                total += n_words[end]
+            if total >= min_words:
+                yield min(k, end), max(k, end) + 1
+
+
+def align(first: list, at_first: list[int], later: list, at_later: list[int], n_words: list[int], min_words: int) -> list[int]:
+    """Line numbers of ``later`` in blocks aligned with ``first``; ``at_...`` are the numbers of the lines."""
+    hit: set[int] = set()
+    rest = list(range(len(later)))
+    while rest:
+        found = patience(first, [later[j] for j in rest])
+        new: list[int] = []
+        block: list[tuple[int, int]] = []
+        for i, k in [*found, (-1, -1)]:
+            j = rest[k]
+            if block and (i < 0 or at_first[i] != at_first[block[-1][0]] + 1 or at_later[j] != at_later[block[-1][1]] + 1):
+                if sum(n_words[y] for _, y in block) >= min_words:
+                    new += [y for _, y in block]
+                block = []
+            block.append((i, j))
+        if not new:
             break
-        hit += [at_b[j] for _, j in found]
-        gone_a, gone_b = {i for i, _ in found}, {j for _, j in found}
-        at_a = [v for k, v in enumerate(at_a) if k not in gone_a]
-        at_b = [v for k, v in enumerate(at_b) if k not in gone_b]
-        kept = {first[i] for i in at_a} & {later[j] for j in at_b}
-        at_a = [i for i in at_a if first[i] in kept]
-        at_b = [j for j in at_b if later[j] in kept]
-    return sorted(hit)
-
-
-def blocks(hit: list[int], at: list[int], n_words: list[int], min_words: int) -> list[int]:
-    """Line numbers of those runs of neighbouring aligned lines that have enough words.
-
-    ``hit`` are places in ``at`` and ``n_words``, the numbers and sizes of the shared lines.
-    """
-    kept: list[int] = []
-    run: list[int] = []
-    for j in [*hit, None]:
-        if run and (j is None or at[j] != at[run[-1]] + 1):
-            if sum(n_words[x] for x in run) >= min_words:
-                kept += [at[x] for x in run]
-            run = []
-        if j is not None:
-            run.append(j)
-    return kept
+        hit.update(new)
+        known = set(first)
+        rest = [j for j in rest if j not in hit and later[j] in known]
+    if len(hit) < len(later):
+        size = dict(zip(later, n_words))
+        theirs = {tuple(first[b:e]) for b, e in runs([size.get(x, 0) for x in first], at_first, min_words)}
+        for b, e in runs(n_words, at_later, min_words):
+            if tuple(later[b:e]) in theirs:
+                hit.update(range(b, e))
+    return sorted(at_later[j] for j in hit)
 
 
 def _aligned(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFrame]:
+    key = lambda lines: [(x["h"], x["g"]) for x in lines]
+    at = lambda lines: [x["i"] for x in lines]
     for pdf in batches:
-        found = [
-            blocks(align([x["h"] for x in a], [x["h"] for x in b]), [x["i"] for x in b], [x["w"] for x in b], min_words)
-            for a, b in zip(pdf["first_lines"], pdf["lines"])
-        ]
+        found = [align(key(a), at(a), key(b), at(b), [x["w"] for x in b], min_words) for a, b in zip(pdf["first_lines"], pdf["lines"])]
         yield pd.DataFrame({"_k": pdf["_k"], "hit": found})
 
 
@@ -150,19 +162,40 @@ def _order(doc_id: Column, key: Column) -> Column:
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), key.alias("k"))
 
 
+def _runs_of(lines: Column, min_words: int) -> Column:
+    """Of an array of lines (i, h, g, w) the shortest runs with enough words that begin or end at each, as arrays."""
+    w = lambda i: F.get(lines, i)["w"]
+
+    def size(i, step):
+        total, case = w(i), F.when(w(i) >= min_words, 1)
+        for m in range(1, min_words):
+            total = total + F.when((i + step * m) >= 0, w(i + step * m))
+            case = case.when(total >= min_words, m + 1)
+        return case
+
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    forwards = F.transform(places, lambda i: F.slice(lines, i + 1, F.coalesce(size(i, 1), F.lit(0))))
+    # one that begins here too is a line by itself
+    backwards = F.transform(F.filter(places, lambda i: w(i) < min_words), lambda i: F.slice(lines, i + 2 - F.coalesce(size(i, -1), F.lit(1)), F.coalesce(size(i, -1), F.lit(0))))
+    return F.filter(F.concat(forwards, backwards), lambda r: F.size(r) > 0)
+
+
 def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_k, hit: numbers among the non-blank lines, to be deleted) for rows (_k, _order, _text)."""
     solid = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"), lambda x: x.rlike(NOT_BLANK))
-    each = docs.select("_k", "_order", F.posexplode(solid).alias("i", "_line"))
-    each = each.select("_k", "_order", "i", F.xxhash64(F.trim("_line")).alias("h"), F.regexp_count("_line", F.lit(NOT_BLANK)).alias("w"))
-    # a line's first holder, where it has others; reduced before the shuffle
-    first = each.groupBy("h").agg(F.min("_order").alias("first"), F.max("_order").alias("last")).filter("first <> last").select("h", "first")
-    shared = written(each.join(first, "h").select("_k", "i", "h", "w", F.col("first.k").alias("_first")), "shared-lines")
+    bare = F.transform(solid, lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(" \t\x0b\f\r")).alias("t"), F.regexp_count(x, F.lit(NOT_BLANK)).alias("w")))
+    lines = docs.select("_k", "_order", F.transform(bare, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit(1), x["t"]).alias("g"), x["w"].alias("w"))).alias("_lines"))
+    lines = lines.filter(F.size("_lines") > 0).select("_k", "_order", F.explode(_runs_of(F.col("_lines"), min_words)).alias("run"))
+    keys = F.transform("run", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g")))
+    each = lines.select("_k", "_order", "run", F.xxhash64(keys).alias("h"), F.xxhash64(F.lit(1), keys).alias("g"))
+    # a run's first holder, where it has others; reduced before the shuffle, and read from a table, so that a run with many holders can be split
+    first = each.groupBy("h", "g").agg(F.min("_order").alias("first"), F.max("_order").alias("last")).filter("first <> last").select("h", "g", F.col("first.k").alias("_first"))
+    shared = written(each.select("_k", "run", "h", "g").join(written(first, "first-holders"), ["h", "g"]).select("_k", "run", "_first"), "shared-runs")
     pairs = shared.filter("_k <> _first").select("_k", "_first").distinct()
-    ends = shared.groupBy("_k").agg(F.sort_array(F.collect_set(F.struct("i", "h", "w"))).alias("lines"))
+    ends = written(shared.groupBy("_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("run")))).alias("lines")), "line-ends")
     aligned = pairs.join(ends, "_k").join(ends.select(F.col("_k").alias("_first"), F.col("lines").alias("first_lines")), "_first")
     found = aligned.select("_k", "lines", "first_lines").mapInPandas(partial(_aligned, min_words=min_words), "_k long, hit array<int>")
-    return found.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit")).filter(F.size("hit") > 0)
+    return written(found.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit")).filter(F.size("hit") > 0), "deleted-lines")
 
 
 def without_lines(text: str, hit) -> str:

@@ -46,6 +46,20 @@ def test_odd_tables_of_operators_with_two_inputs(spark):
     assert scored.count() == len(ODD) and scored.filter("score is null or abs(score - 0.5) > 1e-9").count() == 0
 
 
+def lines_left(texts):
+    """Every document without the lines of runs of 4 words or more that an earlier one has: all runs against all."""
+    seen, left = set(), {}
+    for i, t in sorted(texts):
+        at = [k for k, x in enumerate(t.split("\n")) if x.strip()]
+        bare = [t.split("\n")[k].strip() for k in at]
+        spans = [(b, e) for b in range(len(bare)) for e in range(b + 1, min(len(bare), b + 60) + 1) if sum(len(x.split()) for x in bare[b:e]) >= 4]
+        gone = {at[k] for b, e in spans if tuple(bare[b:e]) in seen for k in range(b, e)}
+        rest = [x for k, x in enumerate(t.split("\n")) if k not in gone]
+        left[i] = t if not gone else "\n".join(rest) if any(x.strip() for x in rest) else ""
+        seen |= {tuple(bare[b:e]) for b, e in spans}
+    return left
+
+
 def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(3)
     passages = [prose(rng, 60) for _ in range(6)]
@@ -56,28 +70,21 @@ def test_line_dedup_matches_brute_force(spark):
             parts.insert(rng.randint(0, 3), rng.choice(passages))
         texts.append((i, "\n".join(parts)))
     texts += [(100, texts[0][1]), (101, "w1"), (102, "w1")]
+    # lines of one to three words, of which blocks only exist together; CRLF; copies inside a document
+    short = [f"s{k}" + " x" * (k % 3) for k in range(9)]
+    texts += [(200 + i, rng.choice(["\n", "\r\n", "\n\n", "  \n\t"]).join(rng.choice(short) for _ in range(rng.randint(1, 14)))) for i in range(120)]
+    texts += [(400, "x1 x2\nfoo"), (401, "y1 y2\nbar"), (402, "x1 x2\ny1 y2\nqqq"), (403, "x1 x2\ny1 y2\nrrr"), (404, "a b c d\nz\na b c d\na b c d"), (405, "a b c d\na b c d\nz")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(some_docs(spark, texts)).collect()}
-    lines = {i: [x.strip(" ") for x in t.split("\n") if re.search(r"\S", x)] for i, t in texts}
-    first, last = {}, {}
-    for i in sorted(lines):
-        for x in lines[i]:
-            first.setdefault(x, i)
-            last[x] = i
-    for i, t in texts:
-        at = [k for k, x in enumerate(lines[i]) if first[x] != last[x]]
-        hit = set()
-        for f in {first[lines[i][k]] for k in at} - {i}:
-            theirs = [x for x in lines[f] if first[x] != last[x]]
-            found = line_dedup.align(theirs, [lines[i][k] for k in at])
-            hit |= set(line_dedup.blocks(found, at, [len(lines[i][k].split()) for k in at], line_dedup.MIN_WORDS))
-        assert got[i] == (line_dedup.without_lines(t, hit) if hit else t)
-    assert got[100] == "" and got[102] == "w1"
+    assert got == lines_left(texts)
+    assert got[100] == "" and got[102] == "w1" and got[402] == texts[-4][1] and got[403] == "rrr"
 
 
 def test_patience_alignment():
     assert line_dedup.patience([1, 2, 3, 4], [0, 1, 2, 9, 4]) == [(0, 1), (1, 2), (3, 4)]
-    assert line_dedup.align([1, 2, 3], [3, 1, 2]) == [0, 1, 2]
-    assert line_dedup.align([7, 7], [7, 7, 7]) == [0, 1]
+    at = lambda lines: list(range(len(lines)))
+    go = lambda a, b, w=4: line_dedup.align(a, at(a), b, at(b), [w] * len(b), 4)
+    assert go([1, 2, 3], [3, 1, 2]) == [0, 1, 2] and go([7, 7], [7, 7, 7]) == [0, 1, 2]
+    assert go([1, 2, 3, 4], [1, 2, 9, 3, 4], 2) == [0, 1, 3, 4] and go([1, 9, 2], [1, 2], 2) == []
 
 
 def test_quality_rules_match_brute_force(spark):
@@ -119,6 +126,20 @@ def test_decontamination_matches_brute_force(spark):
                     hit |= set(range(x, x + n))
                     ids.add(str(k))
         assert got[i] == (len(hit), sorted(ids))
+    # the other way, and texts of several pieces
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    long = [(i, " ".join(t for _, t in texts[i : i + 20])) for i in range(30)]
+    keyed = some_docs(spark, long).select(F.col("doc_id").alias("_k"), F.col("text").alias("_text"))
+    ways = [sorted(map(tuple, decontaminate.matches(keyed, bench, broadcast_limit=n).distinct().collect())) for n in (500_000, 0)]
+    expected = set()
+    for i, t in long:
+        w = t.lower().split()
+        for k, item in items:
+            v = item.split()
+            n = min(10, len(v))
+            wanted = {tuple(v[x : x + n]) for x in range(len(v) - n + 1)}
+            expected |= {(i, x, n, k) for x in range(len(w) - n + 1) if tuple(w[x : x + n]) in wanted}
+    assert ways[0] == ways[1] == sorted(expected)
 
 
 def test_near_classes_match_brute_force(spark):
