@@ -5,15 +5,16 @@ words is one window). A window is a set of 3-word shingles, all of which a docum
 hold, so under exact containment the necessary prefix of a window is one shingle: the
 rarest in the corpus. Steps:
 
-1. one pass over the documents keeps the places of shingles that some item has, each with
-   the words around it (as many as a window can reach);
-2. these places, counted, order the shingles by rarity;
-3. the rarest shingle of each window is joined with its places; positional and length
-   bounds drop places where the window would leave the document;
+1. one pass over the documents counts the shingles that some window has; the counts order
+   them by rarity (a window with a shingle that is nowhere can't occur);
+2. a second pass joins the documents' shingles with the prefixes alone, one for each window;
+3. positional and length bounds drop places where the window would leave the document;
 4. the words at the place are compared with the window, word for word.
 
-Only shingles and windows of the benchmark are broadcast, after they have been counted;
-beyond ``broadcast_limit`` the same joins are shuffled.
+Documents are cut into pieces of ``STEP`` words, with the words around them that a window
+can reach, so that no row carries a long text. Prefixes are broadcast after they have been
+counted; beyond ``broadcast_limit`` of them ids and hashes of shingles are shuffled instead,
+and the places found are joined with their pieces. Both ways give the same rows.
 
 Defined results: null or empty texts have no words and are never hit; items without words
 are ignored; rows equal in id and text share one result; null ids are documents like any
@@ -29,6 +30,8 @@ from .common import n_words, row_key, words, written
 
 WINDOW = 10
 SHINGLE = 3
+#: Words of a document that a row holds, besides those around them.
+STEP = 256
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -45,41 +48,52 @@ def _shingles(w: Column, size: Column | int, last: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(w, i + 1, size)))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_limit: int = 500_000) -> DataFrame:
+def pieces(docs: DataFrame, window: int) -> DataFrame:
+    """(_k, n: words of the document, piece: number, base: place of the first word, _p: words) for rows (_k, _text)."""
+    w = docs.select("_k", words(F.col("_text")).alias("_w")).withColumn("n", F.size("_w"))
+    each = w.select("_k", "n", "_w", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STEP).cast("int")))).alias("piece"))
+    base = F.greatest(F.col("piece") * STEP - window, F.lit(0))
+    return each.select("_k", "n", "piece", base.alias("base"), F.slice("_w", base + 1, F.lit(STEP + 2 * window)).alias("_p"))
+
+
+def _places(docs: DataFrame, window: int, sizes: list[int]) -> DataFrame:
+    """(_k, n, base, _p, pos, size, s) of every shingle of these sizes in the documents."""
+    cut = pieces(docs, window)
+    begin = F.col("piece") * STEP
+    each = cut.select("_k", "n", "base", "_p", F.explode(F.sequence(begin, F.least(begin + STEP, F.col("n")) - 1)).alias("pos"))
+    each = each.withColumn("size", F.explode(F.lit(sizes)) if len(sizes) > 1 else F.lit(sizes[0])).filter(F.col("pos") + F.col("size") <= F.col("n"))
+    return each.withColumn("s", F.xxhash64(F.slice("_p", F.col("pos") - F.col("base") + 1, F.col("size"))))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_limit: int = 200_000) -> DataFrame:
     """Places (_k, start, len, item_id) of windows in documents; ``docs`` has (_k, _text)."""
     per_window = windows(benchmark, window).withColumn("size", F.least(F.col("len"), F.lit(SHINGLE)))
     cut = per_window.select("item_id", "w", "len", "size", F.posexplode(_shingles(F.col("w"), F.col("size"), F.col("len") - F.col("size"))).alias("offset", "s"))
     cut = written(cut, "benchmark-shingles")
     keys = cut.select("size", "s").distinct()
-    small = cut.count() <= broadcast_limit
-    hint = F.broadcast if small else (lambda x: x)
-    sizes = [r[0] for r in cut.select("size").distinct().collect()]  # SHINGLE values at most
-
-    places = None
-    tokens = docs.select("_k", words(F.col("_text")).alias("_w"))
-    for size in sizes or [SHINGLE]:
-        at = F.when(F.size("_w") >= size, F.sequence(F.lit(0), F.size("_w") - size))
-        one = tokens.select("_k", "_w", F.explode(at).alias("pos"))
-        hashed = F.xxhash64(F.slice("_w", F.col("pos") + 1, size))
-        one = one.withColumn("s", hashed).join(hint(keys.filter(F.col("size") == size).select("s")), "s")
-        low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        one = one.select(
-            "_k", "s", "pos", F.lit(size).alias("size"), low.alias("low"), F.size("_w").alias("n"),
-            F.slice("_w", low + 1, F.lit(2 * window)).alias("near"),
-        )
-        places = one if places is None else places.unionByName(one)
-    places = written(places, "benchmark-places")
-
-    rarity = cut.select("size", "s").distinct().join(places.groupBy("size", "s").count(), ["size", "s"])
-    # a window with a shingle that no document has can't occur; its group is short of shingles
-    ranked = cut.join(rarity, ["size", "s"]).groupBy("item_id", "w", "len", "size").agg(
+    small = keys.count() <= broadcast_limit
+    sizes = sorted(r[0] for r in cut.select("size").distinct().collect()) or [SHINGLE]  # SHINGLE values at most
+
+    shingles = _places(docs, window, sizes)
+    if small:
+        rarity = shingles.join(F.broadcast(keys), ["size", "s"]).groupBy("size", "s").count()
+    else:  # counted before they are shuffled
+        rarity = shingles.groupBy("size", "s").count().join(keys, ["size", "s"])
+    ranked = cut.join(written(rarity, "shingle-counts"), ["size", "s"]).groupBy("item_id", "w", "len", "size").agg(
         F.count(F.lit(1)).alias("present"), F.min(F.struct("count", "offset", "s")).alias("first")
-    ).filter(F.col("present") == F.col("len") - F.col("size") + 1)
-    prefix = ranked.select("item_id", "w", "len", "size", F.col("first.offset").alias("offset"), F.col("first.s").alias("s"))
+    ).filter(F.col("present") == F.col("len") - F.col("size") + 1)  # else a shingle of the window is nowhere
+    prefix = written(ranked.select("item_id", "w", "len", "size", F.col("first.offset").alias("offset"), F.col("first.s").alias("s")), "prefixes")
+
     start = F.col("pos") - F.col("offset")
-    joined = places.join(hint(prefix), ["size", "s"]).filter((start >= 0) & (start + F.col("len") <= F.col("n")))
-    exact = F.slice("near", start - F.col("low") + 1, F.col("len")) == F.col("w")
-    return joined.filter(exact).select("_k", start.alias("start"), "len", "item_id")
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    same = F.slice("_p", F.col("start") - F.col("base") + 1, F.col("len")) == F.col("w")
+    if small:
+        found = shingles.join(F.broadcast(prefix), ["size", "s"]).filter(fits).withColumn("start", start)
+    else:
+        found = shingles.select("_k", "n", "pos", "size", "s").join(prefix, ["size", "s"]).filter(fits)
+        found = found.select("_k", start.alias("start"), "len", "item_id", "w", F.floor(start / STEP).cast("int").alias("piece"))
+        found = found.join(pieces(docs, window).drop("n"), ["_k", "piece"])
+    return found.filter(same).select("_k", "start", "len", "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
