@@ -4,7 +4,7 @@ A text is encoded as the library does it: spaces become the mark U+2581, one mar
 in front, and pieces are those that merging adjacent symbols by score would leave. Instead
 of merging, a stretch of text takes the longest piece at each position (Aho-Corasick) and
 keeps it if it is compatible with the piece before: merging the two pieces' text anew must
-leave just these two. Where none fits, the search steps back; a bitfield marks positions
+leave just these two. Where none fits, the search steps back; a field of marks has positions
 from which no way leads on, so that none is tried twice.
 
 Texts are cut where no piece of the vocabulary crosses (new lines, marks, punctuation that
@@ -95,6 +95,7 @@ class Coder:
         self.trie.make_automaton()
         self.letters = {p for p in self.known if len(p) == 1}
         self.length = [len(p) for p in v.pieces]
+        self.most = max(map(len, self.known), default=1)
         #: For each piece the longest shorter one that it begins with; -1: none.
         self.shorter = [next((self.known[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.known), -1) for p in v.pieces]
         self.compatible: dict[int, bool] = {}
@@ -153,12 +154,12 @@ class Coder:
             return found
         # the first k + 1 pieces are as the search below would take them
         length, shorter, n = self.length, self.shorter, len(text)
-        path, i = found[: k + 1], found[k + 1]
-        pos, failed = sum(length[x] for x in path), 0
+        path, i, most = found[: k + 1], found[k + 1], self.most
+        pos, failed = sum(length[x] for x in path), bytearray(n + 1)
         while True:
             while i >= 0:
                 to = pos + length[i]
-                if not failed >> to & 1 and (not path or kept(path[-1] << 20 | i) or self._fits(path[-1], i)):
+                if not failed[to] and (not path or kept(path[-1] << 20 | i) or self._fits(path[-1], i)):
                     break
                 i = shorter[i]
             if i >= 0:
@@ -166,9 +167,9 @@ class Coder:
                 pos = to
                 if pos == n:
                     return path
-                i = next(longest(text, pos))[1]
+                i = next(longest(text[pos : pos + most]))[1]
             else:  # no way leads on from here: a shorter piece before
-                failed |= 1 << pos
+                failed[pos] = 1
                 i = path.pop()
                 pos -= length[i]
                 i = shorter[i]
