@@ -181,7 +181,7 @@ def _features(text: str, leaf: str, above: tuple, linked: int, size: int, k: int
         on.add("copyright")
     if text.isupper():
         on.add("upper")
-    if 2 * sum(c.isdigit() for c in text[:200]) > len(text[:200]):
+    if 2 * sum(map(str.isdigit, text)) > len(text):
         on.add("digits")
     if k == 0:
         on.add("first")
@@ -388,24 +388,25 @@ def laid_out(article: list[str], other: list[str], rng: random.Random) -> tuple[
     return found, [label for _, label in texts]
 
 
-def train(sample: list[str], seed: int = 7, layouts: int = 500) -> Model:
-    """Fits on the labelled pages of the sample and on new layouts of their blocks."""
+def train(sample: list[str], seed: int = 7, layouts: int = 500, article_blocks: int = 12, other_texts: int = 5000, together: int = 80) -> Model:
+    """Fits on the labelled pages of the sample and on new layouts of their blocks.
+
+    The sample's pages count whole; a sequence of more than ``together`` blocks is fitted in
+    several parts. Only the new layouts are bounded: in number, and each takes at most
+    ``article_blocks`` blocks, chosen anew over the whole length of an article, and the
+    texts around it from ``other_texts`` of all others.
+    """
     rng = random.Random(seed)
     own = [p for p in map(own_labels, sample) if p]
-    articles = [[b.text for b, y in zip(*p) if y] for p in own]
-    others = [b.text for p in own for b, y in zip(*p) if not y]
-    articles = [a[:12] for a in articles] or [list(_FILLER)]
-    others = (others or list(_FILLER))[:5000]
+    articles = [[b.text for b, y in zip(*p) if y] for p in own] or [list(_FILLER)]
+    others = [b.text for p in own for b, y in zip(*p) if not y] or list(_FILLER)
+    others = rng.sample(others, other_texts) if len(others) > other_texts else others
+    some = lambda a: [a[i] for i in sorted(rng.sample(range(len(a)), min(article_blocks, len(a))))]
     made = []
     for k in range(layouts):
-        a = articles[k % len(articles)]
-        if len(others) < 50 or rng.random() < 0.5:
-            pool = others + rng.choice(articles)
-        else:
-            pool = others
-        made.append(laid_out(a, pool, rng))
-    short = lambda p: (p[0][:80], p[1][:80])
-    return fit([short(p) for p in own] + [short(p) for p in made])
+        pool = others + some(rng.choice(articles)) if len(others) < 50 or rng.random() < 0.5 else others
+        made.append(laid_out(some(articles[k % len(articles)]), pool, rng))
+    return fit([(found[k : k + together], labels[k : k + together]) for found, labels in own + made for k in range(0, len(found), together)])
 
 
 def main_text(page: str | None, model: Model) -> str:
