@@ -37,9 +37,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(RAW_WORD)).cast("long")
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows apart where ids are null or repeated. Rows equal in id and text get one key and one result."""
-    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")), F.lit(7))
+def row_key(row_id: Column, text: Column) -> Column:
+    """128 bits that tell rows apart where ids are null or repeated. Rows equal in id and text get one key and one result."""
+    named = F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(named, F.lit("\u0000"), F.coalesce(text, F.lit(""))).cast("binary")))
 
 
 def shared_dir(spark: SparkSession) -> str:

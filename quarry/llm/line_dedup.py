@@ -194,7 +194,7 @@ def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = shared.filter("_k <> _first").select("_k", "_first").distinct()
     ends = written(shared.groupBy("_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("run")))).alias("lines")), "line-ends")
     aligned = pairs.join(ends, "_k").join(ends.select(F.col("_k").alias("_first"), F.col("lines").alias("first_lines")), "_first")
-    found = aligned.select("_k", "lines", "first_lines").mapInPandas(partial(_aligned, min_words=min_words), "_k long, hit array<int>")
+    found = aligned.select("_k", "lines", "first_lines").mapInPandas(partial(_aligned, min_words=min_words), "_k binary, hit array<int>")
     return written(found.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit")).filter(F.size("hit") > 0), "deleted-lines")
 
 
@@ -214,8 +214,8 @@ def _without(text: pd.Series, hit: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else without_lines(t, h) for t, h in zip(text, hit)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, info: bool = False) -> DataFrame:
-    """``docs`` with the deleted blocks gone from the text; with ``info`` also n_lines_deleted."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, info: str | None = None) -> DataFrame:
+    """``docs`` with the deleted blocks gone from the text; ``info`` names a further column, the number of deleted lines."""
     key = row_key(F.col(id_col), F.col(text_col))
     keyed = docs.select(F.struct("*").alias("_row"), key.alias("_k"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     hit = shared_lines(keyed.select("_k", _order(F.col("_id"), F.col("_k")).alias("_order"), "_text"), min_words)
@@ -225,5 +225,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = F.when(F.col("hit").isNull(), text).otherwise(F.pandas_udf(_without, "string")(F.when(F.col("hit").isNotNull(), text), F.col("hit")))
     columns = [new.alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in docs.columns]
     if info:
-        columns.append(F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_lines_deleted"))
+        columns.append(F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias(info))
     return joined.select(*columns)

@@ -9,18 +9,22 @@ K ln K + 2 K darts are thrown for a text of any length, so signatures are fast t
 
 Signatures are cut into bands; texts with an equal band share a bucket. Copies of a text
 are one node from the start. Buckets are never expanded into all pairs: in each round a
-bucket's members are compared with its pivot, links merge classes, and buckets that lie
-within one class are done. Pairs whose signatures leave no doubt are decided by them; the
-others by their exact similarity. What one round leaves open (texts that share much but
+bucket's members are compared with its pivots (one, then four times as many each round, each
+the least of its share of the members), links merge classes, and buckets that lie within one
+class are done. Pairs whose signatures leave no doubt are decided by them; the others by
+their exact similarity. What one round leaves open (texts that share much but
 not enough, such as a long passage) goes through an exact prefix join: only the rarest
 shingles, one of which any similar pair must share, make buckets, and rounds go on until
-no bucket holds untested members of two classes. So no link is dropped, and no bucket is
-capped.
+no bucket holds untested members of two classes; of texts that are not similar only those
+with a rare shingle in common, or with little but common ones, are compared. No bucket is
+capped. A similar pair is missed only if its signatures agree in no band and it shares no
+bucket with others of its class, or by the bounds of ``LOW`` and ``HIGH``.
 
 Defined results: null and empty texts are equal texts and one class; a text of fewer than
 five words is one shingle; texts without words are only copies of equal texts; null ids
-come last in a class; rows equal in id and text are one document; further columns pass
-through ``keep_one``.
+come last in a class; rows equal in id and text are one document, of which ``keep_one``
+keeps the row that is least by its further columns as JSON; these pass through it; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,8 +47,8 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 30
 COORDINATES = ROWS * BANDS
 #: Of signatures of 150 coordinates: fewer agreements than LOW are under 0.8, more than HIGH over it
-#: (six and five standard deviations); between them shingles are compared.
-LOW, HIGH = 90, 144
+#: (a pair at 0.8 gets there with a probability of 1e-13 and 2e-12); between them shingles are compared.
+LOW, HIGH = 80, 147
 #: Rounds with buckets of bands before the exact prefix join takes over.
 BAND_ROUNDS = 1
 #: Shingles of more open texts than this are common: texts that share no other must consist of common ones.
@@ -191,23 +195,23 @@ def _signatures(each: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text: node (hash of its words), number of units, signature (empty without words)."""
+    """For each text: 128 bits that its copies share (of its words), number of units, signature (empty without words)."""
     for batch in batches:
         for begin in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(begin, TOGETHER)
-            nodes, each = [], []
+            copies, each = [], []
             for text in part.column("_text").to_pylist():
                 w = word_hashes(text)
                 exact = w.tobytes() if len(w) else b"\x00" + (text or "").encode()
-                nodes.append(int.from_bytes(hashlib.md5(exact).digest()[:8], "big", signed=True))
+                copies.append(hashlib.md5(exact).digest())
                 each.append(units(w))
             signatures = _signatures(each)
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
             flat = pa.array(np.concatenate(signatures) if signatures else np.empty(0, np.int32), pa.int32())
             sizes = pa.array([len(u) for u in each], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("_k", "_none", "_id")), pa.array(nodes, pa.int64()), sizes, pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["_k", "_none", "_id", "node", "n", "sig"],
+                [*(part.column(c) for c in ("_k", "_none", "_id")), pa.array(copies, pa.binary()), sizes, pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                ["_k", "_none", "_id", "copy", "n", "sig"],
             )
 
 
@@ -332,11 +336,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         row_key(F.col(id_col), text).alias("_k"), F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), text.alias("_text")
     )
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = written(keyed.mapInArrow(_sketches, f"_k long, _none boolean, _id {id_type}, node long, n int, sig array<int>"), "sketches")
+    sketched = written(keyed.mapInArrow(_sketches, f"_k binary, _none boolean, _id {id_type}, copy binary, n int, sig array<int>"), "sketches")
     nodes = written(
-        sketched.groupBy("node").agg(
+        # copies are one node, whose number is fixed when the table is written
+        sketched.groupBy("copy").agg(
             F.min(F.struct(F.col("_none").alias("none"), F.col("_id").alias("id"), F.col("_k").alias("k"))).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")
-        ), "nodes",
+        ).withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
     banded = nodes.filter("n > 0").select("node", "n", "sig").mapInArrow(_banded, "key long, node long, n int")
     full = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
@@ -350,12 +355,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if rest is not None:
         open_nodes = rest.select("node").distinct()
         found, _ = _rounds(written(_prefixes(open_nodes, exact), "prefixes"), found, sketches, exact, None)
-    slim = nodes.select("node", "first")
+    slim = nodes.select("node", "copy", "first")
     if found is not None:
-        named = slim.join(found, "node", "left").select("node", "first", F.coalesce("cls", "node").alias("cls"))
+        named = slim.join(found, "node", "left").select("node", "copy", "first", F.coalesce("cls", "node").alias("cls"))
         heads = named.groupBy("cls").agg(F.min("first").alias("head"))
-        slim = named.join(heads, "cls").select("node", F.col("head").alias("first"))
-    return sketched.select("_k", F.col("_id").alias("doc_id"), "node").join(slim, "node")
+        slim = named.join(heads, "cls").select("node", "copy", F.col("head").alias("first"))
+    # read from a table, so that a text with many copies can be split
+    return sketched.select("_k", F.col("_id").alias("doc_id"), "copy").join(written(slim, "first-of-class"), "copy").drop("copy")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,5 +373,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but the first document of each class."""
     keep = classes(docs, id_col, text_col).filter(F.col("first.k") == F.col("_k")).select("_k").distinct()
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.struct("*").alias("_row"))
-    return keyed.join(keep, "_k", "left_semi").dropDuplicates(["_k"]).select("_row.*")
+    rest = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.struct("*").alias("_row"), F.to_json(F.struct(*rest)).alias("_order"))
+    return keyed.join(keep, "_k", "left_semi").groupBy("_k").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")

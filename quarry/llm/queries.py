@@ -14,7 +14,7 @@ from .oracles import ORACLE_SQL  # noqa: F401
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, info=True).select("doc_id", "text", "n_lines_deleted")
+    return line_dedup.dedup_lines(docs, info="n_lines_deleted").select("doc_id", "text", "n_lines_deleted")
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:

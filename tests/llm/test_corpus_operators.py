@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, html_extract, license_rules, licenses, line_dedup, near_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
+from quarry.llm import common, decontaminate, html_extract, license_rules, licenses, line_dedup, near_dedup, pairwise_quality, pieces, preferences, quality_rules, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _k string, word int"
 WORDS = [f"w{k}" for k in range(400)]
@@ -26,7 +26,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t\n "), (None, "null id here"), (5, "same"),
 
 
 @pytest.mark.parametrize("apply", [
-    lambda d: line_dedup.dedup_lines(d, info=True), near_dedup.near_classes, near_dedup.keep_one, quality_rules.ledger, quality_rules.keep_good, licenses.scan,
+    lambda d: line_dedup.dedup_lines(d, info="n"), near_dedup.near_classes, near_dedup.keep_one, quality_rules.ledger, quality_rules.keep_good, licenses.scan,
 ], ids=["lines", "near", "one", "ledger", "keep", "licenses"])
 def test_odd_and_empty_tables(spark, apply):
     assert apply(some_docs(spark, ODD)).count() >= 0
@@ -396,3 +396,12 @@ def test_tables_of_the_shared_folder_are_cleared(spark):
     common.clear(spark)
     with pytest.raises(FileNotFoundError):
         open(path, "rb")
+
+
+def test_row_keys_and_repeated_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c d e f", "z", "s", 1), (1, "a b c d e f", "b", "s", 1), (2, None, "x", "s", 0), (3, "", None, None, None), (None, "a b c d e f", "q", "s", 1)]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in kept] == [(1, "a b c d e f", "b", "s", 1), (2, None, "x", "s", 0)]
+    keys = spark.createDataFrame([(1, "1"), (11, ""), (None, "-"), (1, None), (1, "")], "i long, t string").select(common.row_key(F.col("i"), F.col("t"))).collect()
+    assert len({bytes(k[0]) for k in keys}) == 4

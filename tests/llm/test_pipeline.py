@@ -33,3 +33,21 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert 50 not in seen["MinHash near-dedup"] and 52 not in seen["benchmark decontamination"]
     last = seen["SentencePiece encoding and decoding"]
     assert all(r.round_trip for r in last.values()) and {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(last)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    text = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(15)) for _ in range(6))
+    a, b, long = text(), text(), "\n".join(text() for _ in range(400))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines_deleted string, _k int, copy string, node string, hit string"
+    rows = [(1, None), (2, ""), (3, " \n "), (None, a), (5, b), (5, b), (6, long)]
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows, expected in ((rows, [None, 5, 6]), ([], [])):
+        docs = spark.createDataFrame([(i, t, None, None, None, "x", 1, "c", "n", "h") for i, t in rows], schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            docs = stage(spark, docs, str(tmp_path))
+            assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+        got = docs.collect()
+        assert sorted((r.doc_id for r in got), key=lambda i: i or 0) == expected and all(r.round_trip for r in got)
