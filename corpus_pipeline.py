@@ -3,6 +3,11 @@
 All stages but the last return the columns of ``documents``. Rules, near-dedup and
 decontamination drop whole documents; line dedup changes texts (and ``n_chars``) and drops
 documents of which it leaves nothing; the last stage returns tokens.
+
+Defined results: null and empty texts have too few words for the rules and go; null ids are
+documents like any other, and count as later than all others; of rows equal in id and text
+one stays; further columns pass through all stages but the last, whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,9 +28,12 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go; so do documents that lose all their text to it."""
-    cut = line_dedup.dedup_lines(docs, info=True)
-    left = cut.filter((F.col("n_lines_deleted") == 0) | F.col("text").rlike(NOT_BLANK))
-    return left.drop("n_lines_deleted").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    gone = "n_lines_deleted"
+    while gone in docs.columns:
+        gone += "_"
+    cut = line_dedup.dedup_lines(docs, info=gone)
+    left = cut.filter((F.col(gone) == 0) | F.col("text").rlike(NOT_BLANK))
+    return left.drop(gone).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
