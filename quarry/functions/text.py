@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns of identifiers, error codes, exceptions and stack frames.
+#: What separates words in any script.
+APART = r"[^\p{L}\p{N}]+"
+#: Patterns of identifiers, error codes, exceptions, levels and times.
 TOKEN = r"(?U)[\w.$/-]{3,}"
 CODE = r"[A-Z]{2,10}-?[0-9]{3,6}[A-Z]?"
 EXCEPTION = r"[A-Za-z_$][A-Za-z0-9_$.]*(?:Exception|Error)"
-LEVEL = r"\b(?:ERROR|WARN|WARNING|INFO|DEBUG|FATAL)\b"
-TIMESTAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}"
+LEVEL = r"(?i)\b(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL|SEVERE)\b"
+MARKER = r"(?i)\b(?:ERROR|FATAL|CRITICAL|SEVERE|WARN(?:ING)?)\b|Traceback|Caused by:|Exception|Throwable|ORA-[0-9]{5}|SQLSTATE|SQLCODE|오류|실패"
+TIMESTAMP = r"\b(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]{1,9})?(?:Z|[+-][0-9]{2}:?[0-9]{2})?|[0-9]{8}\s+[0-9]{6}(?:[.,][0-9]{1,9})?)\b"
+CAUSE = r"(?m)^\s*(?:Caused by:|Suppressed:)\s*((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*(?:Exception|Error|Throwable))(?::\s*(.*))?$"
+JAVA_FRAME = r"(?m)^\s*(?:at\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+)\.([\w$<>]+)\(([^)]*)\)"
+TRACE_CODE = r"\b(?:ORA-[0-9]{5}|SQLSTATE[=: ]+[0-9A-Z]{5}|SQLCODE[=: ]+-?[0-9]+|[A-Z]{2,12}[-_]?[0-9]{3,8}[A-Z]?)\b"
+TRACE_EXCEPTION = r"\b(?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*(?:Exception|Error|Throwable)\b"
 #: Packages whose frames are not the application's.
 PLATFORM = ("java.", "javax.", "jdk.", "sun.", "org.springframework.")
+#: The longer list, of traces that are asked about.
+TRACE_PLATFORM = (
+    "java.", "javax.", "jdk.", "sun.", "com.sun.", "org.springframework.", "org.apache.", "weblogic.", "oracle.", "org.postgresql.",
+    "com.mysql.", "com.microsoft.sqlserver.", "com.ibm.db2.",
+)
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -31,9 +43,9 @@ def normal_name(name: Column) -> Column:
     return F.substring(F.lower(F.regexp_replace(name, r"(?U)\s+", "")), 1, 300)
 
 
-def is_application(class_name: Column) -> Column:
+def is_application(class_name: Column, prefixes: tuple[str, ...] = PLATFORM) -> Column:
     platform = F.lit(False)
-    for prefix in PLATFORM:
+    for prefix in prefixes:
         platform = platform | class_name.startswith(prefix)
     return ~platform
 
@@ -52,7 +64,7 @@ def rough_tokens(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of the words of a text, each with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), APART), lambda w: w != "")
     grams = F.transform(
         words,
         lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3))),
@@ -66,14 +78,51 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
 
 
+#: Forms of headings, the most specific first.
+HEADINGS = {
+    "appendix": r"^\[별표\s*[0-9]+(?:-[0-9]+)?\]\s*.+",
+    "special_clause": r"^[0-9]+(?:-[0-9]+)+\s+.+특별약관",
+    "section": r"^제[0-9]+관\s+.+",
+    "article": r"제\s*[0-9]+(?:조의[0-9]+|조)(?:\s*\([^)]*\))?",
+}
+
+
 def heading(text: Column) -> Column:
-    """The class of a heading line, or null."""
-    return (
-        F.when(text.rlike(r"^(?:별표|부록|Appendix)"), "appendix")
-        .when(text.rlike(r"특별약관"), "special_clause")
-        .when(text.rlike(r"^제 ?[0-9]+ ?[장관절]"), "section")
-        .when(text.rlike(r"^제 ?[0-9]+ ?조"), "article")
-    )
+    """The class of a heading line, or null; white space is collapsed first."""
+    line = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    case = F
+    for name, form in HEADINGS.items():
+        case = case.when(line.rlike(form), name)
+    return case
+
+
+#: What an answer says that found too little.
+INSUFFICIENT = (
+    r"확인할 수 없", r"찾을 수 없", r"포함(?:되어|돼) 있지 않", r"포함되지 않", r"관련 (?:내용|정보|문서).{0,20}(?:없|부족)", r"(?:문서|근거|정보).{0,20}부족",
+    r"does not contain", r"not found in (?:the )?(?:documents|sources)", r"insufficient (?:evidence|context)",
+)
+#: Words of an architecture, and of an activity.
+ARCHITECTURE = (
+    "구성도", "아키텍처", "architecture", "시스템 구성", "연계 구성", "내부망", "외부망", "인터넷망", "dmz", "서버", "engine", "was", "webtob", "database", " db", "api", "중계서버",
+)
+ACTIVITY = ("성능 테스트", "테스트 수행", "검증 수행", "모니터링 수행", "시험 계획")
+
+
+def is_insufficient(answer: Column) -> Column:
+    """Whether an answer says that there is too little evidence; white space is collapsed first."""
+    return F.lower(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)\s+", " ")).rlike("|".join(INSUFFICIENT))
+
+
+def architecture_points(content: Column, from_image: Column) -> Column:
+    """Three for each word of an architecture, eight for text read from an image, less three for each of an activity."""
+    lower = F.lower(content)
+    held = lambda words: sum((F.contains(lower, F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))
+    return 3 * held(ARCHITECTURE) + F.when(from_image, 8).otherwise(0) - 3 * held(ACTIVITY)
+
+
+def ocr_engine(page_kind: Column, table_score: Column) -> Column:
+    """None (null) for native text with a good table or none, the second engine for a bad table, else the first."""
+    return F.when((page_kind == "native_text") & (table_score.isNull() | (table_score >= 0.9)), None).when(table_score < 0.75, "rapidocr").otherwise("easyocr")
 
 
 def markdown_class(line: Column) -> Column:

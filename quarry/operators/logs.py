@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Fixed value: where a record of a log begins.
 BOUNDARY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]|^\[?(?:ERROR|WARN|FATAL)\b"
-MARKER = r"ERROR|FATAL|Exception|Caused by"
+MARKER = text.MARKER
 
 
-def segments(lines: DataFrame, most: int = 250) -> DataFrame:
-    """(log_id, line_no, segment, part): a segment begins at a boundary; parts have at most ``most`` lines."""
+def segments(lines: DataFrame, most: int = 250, before: DataFrame | None = None) -> DataFrame:
+    """Lines with segment and part: a segment begins at a boundary; parts have at most ``most`` lines.
+
+    ``before`` (log_id, segment, n) has the last segment of a log so far and its number of lines, which these go on with.
+    """
     order = Window.partitionBy("log_id").orderBy("line_no")
     begun = lines.withColumn("segment", F.sum(F.col("line").rlike(BOUNDARY).cast("long")).over(order))
     inside = Window.partitionBy("log_id", "segment").orderBy("line_no")
-    return begun.withColumn("part", F.floor((F.row_number().over(inside) - 1) / most).cast("long"))
+    place = F.row_number().over(inside)
+    if before is None:
+        return begun.withColumn("part", F.floor((place - 1) / most).cast("long"))
+    last = before.select("log_id", F.col("segment").alias("_last"), F.col("n").alias("_n"))
+    begun = begun.join(last, "log_id", "left").withColumn("part", F.floor((place - 1 + F.when(F.col("segment") == 0, F.coalesce("_n", F.lit(0))).otherwise(0)) / most).cast("long"))
+    return begun.withColumn("segment", F.col("segment") + F.coalesce("_last", F.lit(0))).drop("_last", "_n")
 
 
 def carried_times(lines: DataFrame) -> DataFrame:
@@ -34,8 +43,8 @@ def around_markers(lines: DataFrame, before: int = 1, after: int = 5) -> DataFra
 
 
 def levels(lines: DataFrame) -> DataFrame:
-    """Lines by level; WARNING counts as WARN, and a line may have several."""
-    each = lines.select(F.explode(F.regexp_extract_all("line", F.lit(text.LEVEL), F.lit(0))).alias("level"))
+    """Lines by level, in any case; WARNING counts as WARN, and a line may have several."""
+    each = lines.select(F.explode(F.regexp_extract_all("line", F.lit(text.LEVEL), F.lit(0))).alias("level")).select(F.upper("level").alias("level"))
     return each.select(F.when(F.col("level") == "WARNING", "WARN").otherwise(F.col("level")).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -52,7 +52,7 @@ def vector_lane(hits: DataFrame, lane: int, farthest: float = MAX_DISTANCE) -> D
 
 def lexical_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """(chunk_id, n): chunks that hold all terms as words, and how often they do."""
-    words = F.split(F.lower(F.concat_ws(" ", "identifier", "display_content")), r"[^a-z0-9]+")
+    words = F.split(F.lower(F.concat_ws(" ", "identifier", "display_content")), text.APART)
     held = lambda t: F.size(F.filter("_w", lambda w: w == t))
     counts = [held(t) for t in dict.fromkeys(terms)]
     if not counts:

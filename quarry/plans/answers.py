@@ -17,18 +17,12 @@ from ..sources.tables import read
 from . import content, search
 from .registry import ORACLE_SQL, query
 
-#: Words that make a chunk likely to describe an architecture, and those that make it unlikely.
-ARCHITECTURE, ACTIVITY = ("the", "of", "and"), ("in", "to")
-#: What an answer says that found too little.
-INSUFFICIENT = (r"확인할 수 없", r"찾을 수 없", r"not enough (?:evidence|information)", r"cannot (?:be )?(?:confirm|determin)", r"no (?:evidence|information)")
-
-
 @query(
     f""", {search._SHOWN}, own AS (SELECT * FROM shown WHERE asset_id IN (1, 2, 12)),
     p1 AS (SELECT 1::BIGINT AS lane_id, row_number() OVER (ORDER BY created_at DESC, chunk_id) AS rank, chunk_id FROM (SELECT * FROM own WHERE identifier = 'DOC0012' OR contains(lower(display_content), 'doc0012') ORDER BY created_at DESC, chunk_id LIMIT 30)),
     p2 AS (SELECT 2::BIGINT AS lane_id, row_number() OVER (ORDER BY n DESC, chunk_id) AS rank, chunk_id FROM (
       SELECT chunk_id, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'of')))::BIGINT AS n
-      FROM (SELECT chunk_id, regexp_split_to_array(lower(identifier || ' ' || display_content), '[^a-z0-9]+') AS w FROM own) WHERE list_contains(w, 'the') AND list_contains(w, 'of') ORDER BY n DESC, chunk_id LIMIT 40)),
+      FROM (SELECT chunk_id, regexp_split_to_array(lower(identifier || ' ' || display_content), '[^\\p{{L}}\\p{{N}}]+') AS w FROM own) WHERE list_contains(w, 'the') AND list_contains(w, 'of') ORDER BY n DESC, chunk_id LIMIT 40)),
     {search._IDENTIFIER.format(lane=11)}, {search._LEXICAL.format(lane=12)},
     every AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM idl UNION ALL SELECT * FROM lex)
     SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9)::DOUBLE AS rrf_score FROM every GROUP BY chunk_id ORDER BY rrf_score DESC, min(lane_id * 1000000 + rank) LIMIT 30""", search._BASE)
@@ -75,8 +69,8 @@ def incident_evidence_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT log_id, 0::BIGINT AS position, line_no, line AS evidence FROM (
-    SELECT *, bool_or(regexp_matches(line, 'ERROR|FATAL|Exception|Caused by')) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS near FROM v_log_lines) WHERE near
-  UNION ALL SELECT asset_id, chunk_seq + 1, NULL, display_content FROM v_chunks WHERE asset_id IN (SELECT log_id FROM v_log_lines WHERE regexp_matches(line, 'ERROR|FATAL|Exception|Caused by'))""", "chunks log_lines")
+    SELECT *, bool_or(regexp_matches(line, '""" + L.MARKER + """')) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS near FROM v_log_lines) WHERE near
+  UNION ALL SELECT asset_id, chunk_seq + 1, NULL, display_content FROM v_chunks WHERE asset_id IN (SELECT log_id FROM v_log_lines WHERE regexp_matches(line, '""" + L.MARKER + """'))""", "chunks log_lines")
 def incident_evidence_whole(spark: SparkSession, d: str) -> DataFrame:
     """All lines near a log's markers come first, one row each and none cut, then the chunks."""
     lines = V.log_lines(spark, d)
@@ -108,19 +102,22 @@ def frame_source_match(spark: SparkSession, d: str) -> DataFrame:
     return frames.join(symbols, ["package_name", "simple", "method_name"], "left").select("trace_id", "frame_seq", F.coalesce("hit", F.lit(False)).alias("matched"))
 
 
-@query("SELECT chunk_id, regexp_matches(display_content, '(?i)확인할 수 없|찾을 수 없|not enough (?:evidence|information)|cannot (?:be )?(?:confirm|determin)|no (?:evidence|information)') AS insufficient FROM v_chunks", "chunks")
+@query("SELECT chunk_id, regexp_matches(lower(regexp_replace(display_content, '\\s+', ' ', 'g')), '" + "|".join(text.INSUFFICIENT) + "') AS insufficient FROM v_chunks", "chunks")
 def insufficient_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return V.chunks(spark, d).select("chunk_id", F.col("display_content").rlike("(?i)" + "|".join(INSUFFICIENT)).alias("insufficient"))
+    return V.chunks(spark, d).select("chunk_id", text.is_insufficient(F.col("display_content")).alias("insufficient"))
 
 
-_HEADS = "CASE doc_id % 5 WHEN 0 THEN '별표 1' WHEN 1 THEN '특별약관' WHEN 2 THEN '제1장' WHEN 3 THEN '제 3 조' ELSE '' END || ' ' || lang"
+_HEADS = "CASE doc_id % 6 WHEN 0 THEN '[별표40-1] ' || lang WHEN 1 THEN '2-4  ' || lang || ' 특별약관' WHEN 2 THEN ' 제1관 ' || lang WHEN 3 THEN lang || ' 제 3조의2 (' || lang || ')' WHEN 4 THEN '특별약관 ' || lang ELSE lang END"
 
 
-@query(f"""SELECT doc_id, CASE WHEN regexp_matches(h, '^(?:별표|부록|Appendix)') THEN 'appendix' WHEN regexp_matches(h, '특별약관') THEN 'special_clause' WHEN regexp_matches(h, '^제 ?[0-9]+ ?[장관절]') THEN 'section'
-  WHEN regexp_matches(h, '^제 ?[0-9]+ ?조') THEN 'article' END AS class FROM (SELECT doc_id, {_HEADS} AS h FROM documents)""")
+@query(f"""SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(h, '{form}') THEN '{name}'" for name, form in text.HEADINGS.items())} END AS class
+  FROM (SELECT doc_id, trim(regexp_replace({_HEADS}, '\\s+', ' ', 'g')) AS h FROM documents)""")
 def heading_class(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 5
-    head = F.concat_ws(" ", F.when(k == 0, "별표 1").when(k == 1, "특별약관").when(k == 2, "제1장").when(k == 3, "제 3 조").otherwise(""), "lang")
+    k, lang = F.col("doc_id") % 6, F.col("lang")
+    head = (
+        F.when(k == 0, F.concat(F.lit("[별표40-1] "), lang)).when(k == 1, F.concat(F.lit("2-4  "), lang, F.lit(" 특별약관"))).when(k == 2, F.concat(F.lit(" 제1관 "), lang))
+        .when(k == 3, F.concat(lang, F.lit(" 제 3조의2 ("), lang, F.lit(")"))).when(k == 4, F.concat(F.lit("특별약관 "), lang)).otherwise(lang)
+    )
     return read(spark, d, "documents", "doc_id", "lang").select("doc_id", text.heading(head).alias("class"))
 
 
@@ -151,13 +148,15 @@ def java_text_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", *[c.alias(k) for k, c in found.items()])
 
 
+_POINTS = "3 * (" + " + ".join(f"contains(t, '{w}')::BIGINT" for w in text.ARCHITECTURE) + ") + CASE WHEN chunk_seq % 9 = 8 THEN 8 ELSE 0 END - 3 * (" + " + ".join(f"contains(t, '{w}')::BIGINT" for w in text.ACTIVITY) + ")"
+
+
 def architecture_points() -> Column:
-    """Three for each word of an architecture in ``display_content``, less three for each of an activity."""
-    held = lambda words: sum((F.contains(F.lower("display_content"), F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))
-    return 3 * held(ARCHITECTURE) - 3 * held(ACTIVITY)
+    """Of a chunk; every ninth stands for one read from an image."""
+    return text.architecture_points(F.col("display_content"), F.col("chunk_seq") % 9 == 8)
 
 
-@query("""SELECT chunk_id, 3 * (contains(t, 'the')::BIGINT + contains(t, 'of')::BIGINT + contains(t, 'and')::BIGINT) - 3 * (contains(t, 'in')::BIGINT + contains(t, 'to')::BIGINT) AS score FROM (SELECT chunk_id, lower(display_content) AS t FROM v_chunks)""", "chunks")
+@query(f"SELECT chunk_id, {_POINTS} AS score FROM (SELECT chunk_id, chunk_seq, lower(display_content) AS t FROM v_chunks)", "chunks")
 def architecture_score(spark: SparkSession, d: str) -> DataFrame:
     return V.chunks(spark, d).select("chunk_id", architecture_points().alias("score"))
 
@@ -169,7 +168,7 @@ def select_items(spark: SparkSession, d: str) -> DataFrame:
     return V.chunks(spark, d).withColumn("n", F.row_number().over(order)).filter("n <= 6").select("asset_id", "chunk_id")
 
 
-@query(""", scored AS (SELECT asset_id, chunk_id, chunk_seq, 3 * (contains(t, 'the')::BIGINT + contains(t, 'of')::BIGINT + contains(t, 'and')::BIGINT) - 3 * (contains(t, 'in')::BIGINT + contains(t, 'to')::BIGINT) AS score FROM (SELECT *, lower(display_content) AS t FROM v_chunks)),
+@query(""", scored AS (SELECT asset_id, chunk_id, chunk_seq, """ + _POINTS + """ AS score FROM (SELECT *, lower(display_content) AS t FROM v_chunks)),
   ranked AS (SELECT *, count(*) OVER (PARTITION BY asset_id) AS n, row_number() OVER (PARTITION BY asset_id ORDER BY score DESC, chunk_seq) AS k FROM scored),
   taken AS (SELECT *, count(*) FILTER (k <= 3 AND score > 0) OVER (PARTITION BY asset_id) AS m FROM ranked),
   kinds AS (SELECT *, CASE WHEN k <= 3 AND score > 0 THEN 0 WHEN n <= 6 OR list_contains(list_transform(range(0, 6 - m), lambda p: round_even(p * (n - 1) / (5 - m), 0)::BIGINT), chunk_seq) THEN 1 ELSE 2 END AS kind FROM taken)
@@ -200,11 +199,11 @@ def relation_context_text(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("target_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["s"]), "\n").alias("context"))
 
 
-@query("SELECT source_id, target_id, relation_type, least(1.0, greatest(0.0, confidence * 1.5 - 0.2))::DOUBLE AS confidence FROM (SELECT DISTINCT ON (source_id, target_id, relation_type) * FROM v_relations) WHERE source_id <> target_id AND source_id IN (SELECT entity_id FROM v_entities) AND target_id IN (SELECT entity_id FROM v_entities)", "entities relations")
+@query("SELECT source_id, target_id, relation_type, least(1.0, greatest(0.0, max(confidence) * 1.5 - 0.2))::DOUBLE AS confidence FROM v_relations WHERE source_id <> target_id AND source_id IN (SELECT entity_id FROM v_entities) AND target_id IN (SELECT entity_id FROM v_entities) GROUP BY source_id, target_id, relation_type", "entities relations")
 def graph_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """Relations between known entities, without loops and copies, confidence from 0 to 1."""
+    """Relations between known entities, without loops; of copies the greatest confidence, from 0 to 1."""
     ids = V.entities(spark, d).select("entity_id")
-    r = V.relations(spark, d).filter("source_id <> target_id").dropDuplicates(["source_id", "target_id", "relation_type"])
+    r = V.relations(spark, d).filter("source_id <> target_id").groupBy("source_id", "target_id", "relation_type").agg(F.max("confidence").alias("confidence"))
     for end in ("source_id", "target_id"):
         r = r.join(ids.withColumnRenamed("entity_id", end), end, "left_semi")
     return r.select("source_id", "target_id", "relation_type", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence").cast("double") * 1.5 - 0.2)).alias("confidence"))
@@ -289,7 +288,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lexical_cover_density(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with both terms, by how close together these stand; the first forty."""
-    words = F.split(F.lower(F.concat_ws(" ", "identifier", "display_content")), r"[^a-z0-9]+")
+    words = F.split(F.lower(F.concat_ws(" ", "identifier", "display_content")), text.APART)
     scored = search._shown(spark, d).select("chunk_id", F.round(text.cover_density(words, ["the", "of"]), 9).alias("score"))
     return scored.filter("score > 0").orderBy(F.col("score").desc(), "chunk_id").limit(R.LEXICAL_K)
 

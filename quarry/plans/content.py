@@ -15,13 +15,13 @@ from ..sources.tables import read
 from .registry import query
 
 
-@query("SELECT CASE WHEN level = 'WARNING' THEN 'WARN' ELSE level END AS level, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '\\b(?:ERROR|WARN|WARNING|INFO|DEBUG|FATAL)\\b')) AS level FROM v_log_lines) GROUP BY 1", "log_lines")
+@query("SELECT CASE WHEN level = 'WARNING' THEN 'WARN' ELSE level END AS level, count(*) AS n FROM (SELECT upper(unnest(regexp_extract_all(line, '" + text.LEVEL + "'))) AS level FROM v_log_lines) GROUP BY 1", "log_lines")
 def log_level_histogram(spark: SparkSession, d: str) -> DataFrame:
     return L.levels(V.log_lines(spark, d))
 
 
-@query("""SELECT log_id, line_no, "at" FROM (SELECT *, last_value(nullif(regexp_extract(line, '[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}'), '') IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no) AS "at" FROM v_log_lines)
-  WHERE regexp_matches(line, 'ERROR|FATAL|Exception|Caused by')""", "log_lines")
+@query("""SELECT log_id, line_no, "at" FROM (SELECT *, last_value(nullif(regexp_extract(line, '""" + text.TIMESTAMP + """'), '') IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no) AS "at" FROM v_log_lines)
+  WHERE regexp_matches(line, '""" + L.MARKER + """')""", "log_lines")
 def error_timestamps_ffill(spark: SparkSession, d: str) -> DataFrame:
     return L.carried_times(V.log_lines(spark, d)).filter(F.col("line").rlike(L.MARKER)).select("log_id", "line_no", "at")
 
@@ -42,7 +42,7 @@ def log_records(spark: SparkSession, d: str) -> DataFrame:
     return records.select("log_id", "segment", "first_line", "n_lines", F.coalesce(F.nullif(code, F.lit("")), F.nullif(thrown, F.lit(""))).alias("identifier"))
 
 
-@query("""SELECT log_id, line_no FROM (SELECT *, max(regexp_matches(line, 'ERROR|FATAL|Exception|Caused by')::INT) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS near FROM v_log_lines) WHERE near = 1""", "log_lines")
+@query("""SELECT log_id, line_no FROM (SELECT *, max(regexp_matches(line, '""" + L.MARKER + """')::INT) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS near FROM v_log_lines) WHERE near = 1""", "log_lines")
 def marker_windows(spark: SparkSession, d: str) -> DataFrame:
     return L.around_markers(V.log_lines(spark, d)).select("log_id", "line_no")
 
@@ -87,7 +87,7 @@ def stack_symbol_lane(spark: SparkSession, d: str) -> DataFrame:
     return keyed.join(V.symbols(spark, d), ["package_name", "class_name", "symbol_name"]).select("trace_id", "frame_seq", "symbol_id").distinct()
 
 
-@query("""SELECT log_id, sha256(substr(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}', 'TIMESTAMP', 'g'), ':[0-9]+\\)', ':LINE)', 'g'), '\\s+', ' ', 'g'), 1, 12000)) AS fingerprint
+@query("""SELECT log_id, sha256(substr(regexp_replace(regexp_replace(regexp_replace(t, '""" + text.TIMESTAMP + """', 'TIMESTAMP', 'g'), ':[0-9]+\\)', ':LINE)', 'g'), '\\s+', ' ', 'g'), 1, 12000)) AS fingerprint
   FROM (SELECT log_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM v_log_lines WHERE contains(line, 'ERROR') GROUP BY log_id)""", "log_lines")
 def trace_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
@@ -303,9 +303,11 @@ def code_window_ranges(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("symbol_id", "first_line", F.least(F.col("first_line") + 11, "end_line").alias("last_line"))
 
 
-@query("SELECT asset_id, (('0x' || substr(sha256, 1, 15))::BIGINT) AS lock_key FROM v_versions WHERE is_current", "versions")
+@query("""SELECT asset_id, CASE WHEN k >= 9223372036854775808 THEN (k - 18446744073709551616)::BIGINT ELSE k::BIGINT END AS lock_key
+  FROM (SELECT asset_id, ('0x' || substr(sha256, 1, 16))::UBIGINT::HUGEINT AS k FROM v_versions WHERE is_current)""", "versions")
 def lock_key(spark: SparkSession, d: str) -> DataFrame:
-    return V.versions(spark, d).filter("is_current").select("asset_id", F.conv(F.substring("sha256", 1, 15), 16, 10).cast("long").alias("lock_key"))
+    """The first 16 digits of a hash as a signed number."""
+    return V.versions(spark, d).filter("is_current").select("asset_id", F.conv(F.substring("sha256", 1, 16), 16, -10).cast("long").alias("lock_key"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS length, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) AS first FROM (
@@ -332,10 +334,13 @@ def asset_context_prefix(spark: SparkSession, d: str) -> DataFrame:
     return V.chunks(spark, d).join(a, "asset_id").select("chunk_id", F.concat_ws("\n", "head", "display_content").alias("embedding_content"))
 
 
-@query("SELECT page_id, CASE WHEN n > 6000 THEN 'none' WHEN n > 2000 THEN 'partial' ELSE 'full' END AS ocr FROM (SELECT page_id, length(html) AS n FROM pages)")
+@query("""SELECT page_id, CASE WHEN kind = 'native_text' AND (score IS NULL OR score >= 0.9) THEN NULL WHEN score < 0.75 THEN 'rapidocr' ELSE 'easyocr' END AS ocr
+  FROM (SELECT page_id, CASE WHEN length(html) > 2000 THEN 'native_text' ELSE 'scanned' END AS kind, CASE WHEN page_id % 3 <> 0 THEN (length(html) % 50 + 50) / 100.0 END AS score FROM pages)""")
 def ocr_route(spark: SparkSession, d: str) -> DataFrame:
+    """By the kind of page (long ones have native text) and the score of its table (every third has none)."""
     n = F.length("html")
-    return read(spark, d, "pages", "page_id", "html").select("page_id", F.when(n > 6000, "none").when(n > 2000, "partial").otherwise("full").alias("ocr"))
+    score = F.when(F.col("page_id") % 3 != 0, (n % 50 + 50) / 100.0)
+    return read(spark, d, "pages", "page_id", "html").select("page_id", text.ocr_engine(F.when(n > 2000, "native_text").otherwise("scanned"), score).alias("ocr"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || '/v1/chat/completions' AS endpoint FROM pages")

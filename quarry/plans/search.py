@@ -27,7 +27,7 @@ vel AS (SELECT {lane}::BIGINT AS lane_id, row_number() OVER (ORDER BY distance,
 _LEXICAL = """lex AS (
   SELECT {lane}::BIGINT AS lane_id, row_number() OVER (ORDER BY n DESC, chunk_id) AS rank, chunk_id FROM (
     SELECT chunk_id, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'of')))::BIGINT AS n
-    FROM (SELECT chunk_id, regexp_split_to_array(lower(identifier || ' ' || display_content), '[^a-z0-9]+') AS w FROM shown)
+    FROM (SELECT chunk_id, regexp_split_to_array(lower(identifier || ' ' || display_content), '[^\\p{{L}}\\p{{N}}]+') AS w FROM shown)
     WHERE list_contains(w, 'the') AND list_contains(w, 'of') ORDER BY n DESC, chunk_id LIMIT 40))"""
 
 
@@ -80,7 +80,7 @@ def lexical_and_match(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(R.lexical_hits(_shown(spark, d), ["the", "of"]), R.LEXICAL_K, 1, F.col("n").desc(), F.col("chunk_id").asc())
 
 
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIMILARITY = f"""sim AS (
   SELECT *, len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0) AS score
   FROM (SELECT *, {_GRAMS.format(x="canonical_name")} AS x, {_GRAMS.format(x="'supplier 000000003 in nation_5'")} AS y FROM v_entities))"""
@@ -132,10 +132,10 @@ _AROUND = """around AS (SELECT chunk_id, lag(chunk_id) OVER w AS previous_chunk_
     FROM (SELECT * FROM fused ORDER BY rrf_score DESC, first LIMIT 10) JOIN around USING (chunk_id) JOIN v_chunks c USING (chunk_id)""", _BASE)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Identifier, lexical and vector lanes, fused; the first ten with their neighbours."""
-    chunks = V.chunks(spark, d)
     order = Window.orderBy(F.col("rrf_score").desc(), F.col("first"))
     top = R.fuse(_lanes(spark, d, _shown(spark, d))).orderBy(F.col("rrf_score").desc(), F.col("first")).limit(10).withColumn("position", F.row_number().over(order).cast("long"))
-    wide = R.neighbours(chunks, top).join(chunks.select("chunk_id", "asset_id", "display_content"), "chunk_id")
+    # ten rows, made once: neighbours and texts come with the chunks, which know what stands next to them
+    wide = V.chunks(spark, d, linked=True).join(F.broadcast(top), "chunk_id")
     return wide.select("chunk_id", "rrf_score", "position", "asset_id", "display_content", "previous_chunk_id", "next_chunk_id")
 
 

@@ -76,18 +76,25 @@ VERSIONS = """v_versions AS (
   FROM (SELECT *, unnest(range(1, last + 1)) AS n FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS last FROM documents)))"""
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
+def chunks(spark: SparkSession, d: str, linked: bool = False) -> DataFrame:
+    """Lines of documents that aren't blank; ``linked``: with the ids of the ones before and after."""
     doc = F.col("doc_id")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    rows = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(lines).alias("seq", "line"))
+    rows = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(lines).alias("n"), F.posexplode(lines).alias("seq", "line"))
+    named = lambda seq: F.concat_ws("-", doc.cast("string"), seq.cast("string"))
+    links = [
+        F.when(F.col("seq") > 0, named(F.col("seq") - 1)).alias("previous_chunk_id"), F.when(F.col("seq") + 1 < F.col("n"), named(F.col("seq") + 1)).alias("next_chunk_id")
+    ] if linked else []
+    vectors = read(spark, d, "embeddings").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     return rows.select(
-        F.concat_ws("-", doc.cast("string"), F.col("seq").cast("string")).alias("chunk_id"),
+        named(F.col("seq")).alias("chunk_id"),
         doc.alias("asset_id"),
         (doc * 10 + F.when(doc % 3 == 0, 2).otherwise(1)).alias("version_id"),
         F.col("seq").cast("long").alias("chunk_seq"),
         F.col("line").alias("display_content"),
         F.concat(F.lit("DOC"), F.lpad((doc % 1000).cast("string"), 4, "0")).alias("identifier"),
-        ((doc * 31 + F.col("seq")) % F.lit(max(read(spark, d, "embeddings").count(), 1))).alias("vec_id"),
+        ((doc * 31 + F.col("seq")) % vectors).alias("vec_id"),
+        *links,
     )
 
 

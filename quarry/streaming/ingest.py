@@ -33,9 +33,13 @@ def run_once(stream: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def segments_once(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Log lines of each batch in segments; a log's lines come in one file."""
+    """Log lines of each batch in segments, which go on where the batches before have ended."""
 
     def put(batch: DataFrame, number: int) -> None:
-        logs.segments(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        before = None
+        if number:
+            old = batch.sparkSession.read.parquet(target).filter(F.col("batch") < number).groupBy("log_id", "segment").agg(F.count(F.lit(1)).alias("n"))
+            before = old.groupBy("log_id").agg(F.max(F.struct("segment", "n")).alias("x")).select("log_id", "x.segment", "x.n")
+        logs.segments(batch, before=before).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
