@@ -82,3 +82,73 @@ def latest(versions: DataFrame) -> DataFrame:
     """One version for each asset: the current one, else the youngest."""
     order = Window.partitionBy("asset_id").orderBy(F.col("is_current").desc(), F.col("created_at").desc(), F.col("version_id").desc())
     return versions.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def gate(jobs: DataFrame, most: int, poll_seconds: int) -> DataFrame:
+    """One row (pending, rejected, retry_after): whether too many jobs wait."""
+    pending = jobs.agg(F.count_if(F.col("status").isin("queued", "processing")).alias("pending"))
+    return pending.select("pending", (F.col("pending") >= most).alias("rejected"), F.when(F.col("pending") >= most, max(1, poll_seconds)).alias("retry_after"))
+
+
+def progress(jobs: DataFrame, worker: str, now: Column, report: str, values: dict[str, Column]) -> DataFrame:
+    """A worker's report merged into those of the jobs that it is processing, as a map; new values win. Others stay."""
+    mine = (F.col("status") == "processing") & (F.col("worker_id") == worker)
+    old = F.coalesce(F.from_json(report, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, v: ~k.isin(*values))
+    new = F.map_concat(kept, F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]))
+    return jobs.withColumns({report: F.when(mine, new).otherwise(old), "heartbeat_at": F.when(mine, now).otherwise(F.col("heartbeat_at"))})
+
+
+def update_set(rows: DataFrame, hit: Column, values: dict[str, object]) -> DataFrame:
+    """Rows with the fields that are set; a field that is None is not."""
+    return rows.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in values.items() if v is not None})
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows by key, each once, unless the key is there."""
+    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+
+
+def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key replaced by new ones."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def delete_rows(rows: DataFrame, hit: Column) -> DataFrame:
+    return rows.filter(~F.coalesce(hit, F.lit(False)))
+
+
+def restore(assets: DataFrame, hit: Column) -> DataFrame:
+    """Deleted assets come back; their jobs are left as they are."""
+    return assets.withColumn("deleted_at", F.when(~F.coalesce(hit, F.lit(False)), F.col("deleted_at")))
+
+
+def edit_chunks(chunks: DataFrame, hit: Column, display: Column, embedding: Column) -> DataFrame:
+    """New texts; what is embedded follows the text unless it is given. ``embed_again``: it has changed."""
+    new = F.coalesce(embedding, display)
+    changed = hit & (new != F.col("embedding_content"))
+    return chunks.select(
+        *[c for c in chunks.columns if c not in ("display_content", "embedding_content")],
+        F.when(hit, display).otherwise(F.col("display_content")).alias("display_content"),
+        F.when(hit, new).otherwise(F.col("embedding_content")).alias("embedding_content"), F.coalesce(changed, F.lit(False)).alias("embed_again"),
+    )
+
+
+def complete(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """Chunks after the versions of ``items`` (version_id, position, display_content) have been replaced, linked in order."""
+    order = Window.partitionBy("version_id").orderBy("position")
+    made = items.withColumn("chunk_seq", (F.row_number().over(order) - 1).cast("long"))
+    made = made.select(F.concat(F.col("version_id").cast("string"), F.lit(":"), F.lpad(F.col("chunk_seq").cast("string"), 6, "0")).alias("chunk_id"), "version_id", "chunk_seq", "display_content")
+    after = chunks.join(items.select("version_id"), "version_id", "left_anti").select(*made.columns).unionByName(made)
+    linked = Window.partitionBy("version_id").orderBy("chunk_seq")
+    return after.withColumns({"previous_chunk_id": F.lag("chunk_id").over(linked), "next_chunk_id": F.lead("chunk_id").over(linked)})
+
+
+def completed(jobs: DataFrame, counts: DataFrame, now: Column) -> DataFrame:
+    """Jobs of assets with counted chunks (asset_id, _n) are completed, if they are being processed."""
+    joined = jobs.join(counts, "asset_id", "left")
+    done = (F.col("status") == "processing") & F.col("_n").isNotNull()
+    return joined.select(
+        *[c for c in jobs.columns if c not in ("status", "heartbeat_at")],
+        F.when(done, "completed").otherwise(F.col("status")).alias("status"), F.when(done, F.col("_n")).alias("chunk_count"), F.when(done, now).otherwise(F.col("heartbeat_at")).alias("heartbeat_at"),
+    )

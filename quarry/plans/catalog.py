@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import admin, answers, content, search  # noqa: F401
+from . import admin, answers, content, lifecycle, search  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
