@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,18 @@ def safe_id(value: Column) -> Column:
 def edge_label(description: Column, kind: Column) -> Column:
     """A short description, else the type."""
     return F.substring(F.when(F.length(F.trim(description)).between(1, 24), F.trim(description)).otherwise(kind), 1, 30)
+
+
+def nodes(entities: DataFrame) -> DataFrame:
+    """(id, label, group) of a diagram's entities (a bounded number); groups are numbered as they are met."""
+    order = Window.orderBy(F.col("is_seed").desc(), "canonical_name", "entity_id")
+    placed = entities.withColumn("p", F.row_number().over(order)).withColumn("f", F.min("p").over(Window.partitionBy("entity_type")))
+    number = F.dense_rank().over(Window.orderBy("f"))
+    return placed.select(safe_id(F.col("entity_id")).alias("id"), F.substring("canonical_name", 1, 80).alias("label"), F.concat(F.lit("group-"), number.cast("string")).alias("group"))
+
+
+def diagram_type(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row: ``flow`` if all relations are ``precedes``, else ``architecture``; null for under two entities or without an edge."""
+    n = entities.agg(F.count(F.lit(1)).alias("n")).scalar()
+    edges = relations.agg(F.count_if(F.col("source_id") != F.col("target_id")).alias("edges"), F.bool_and(F.col("relation_type") == "precedes").alias("flow"))
+    return edges.select(F.when((n < 2) | (F.col("edges") == 0), None).when(F.col("flow"), "flow").otherwise("architecture").alias("type"))

@@ -94,3 +94,15 @@ def first_vector(embeddings: DataFrame, vec_id: int = 7) -> list[float]:
     """The vector of one id stands for an embedded query."""
     row = embeddings.filter(F.col("vec_id") == vec_id).select("embedding").first()
     return [] if row is None else [float(x) for x in row[0]]
+
+
+def context(chunks: DataFrame, window: int) -> DataFrame:
+    """(chunk_id, context): each chunk among those that ``window`` links lead to on both sides, in order."""
+    near = Window.partitionBy("version_id").orderBy("chunk_seq").rowsBetween(-window, window)
+    return chunks.select("chunk_id", F.collect_list("chunk_id").over(near).alias("context"))
+
+
+def reranked(candidates: DataFrame, k: int) -> DataFrame:
+    """(chunk_id, position): the best ``k`` of some candidates (chunk_id, rank, score); equal scores stay in order."""
+    order = [F.col("score").desc(), F.col("rank").asc()]
+    return candidates.orderBy(*order).limit(k).select("chunk_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))

@@ -71,3 +71,9 @@ def continued(pairs: DataFrame, least: float = 0.72) -> DataFrame:
 
     fit = pairs.filter(F.col("page_gap").isin(0, 1) & (F.col("a_cols") == F.col("b_cols")))
     return fit.withColumn("ratio", F.pandas_udf(ratio, "double")("a_header", "b_header")).filter(F.col("ratio") >= least)
+
+
+def signatures(paths: DataFrame) -> DataFrame:
+    """(table_id, signature): a table's header paths in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("c", "path"))), lambda x: x["path"])
+    return paths.groupBy("table_id").agg(F.array_join(ordered, " | ").alias("signature"))
