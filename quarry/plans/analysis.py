@@ -119,3 +119,90 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
 def log_search_query(spark: SparkSession, d: str) -> DataFrame:
     """A search query from each log: question, codes, exceptions, and the first lines with a marker."""
     return L.search_query(V.log_lines(spark, d), "causes?")
+
+
+#: A query with frames, repeated identifiers, words and a name.
+_TEXT = """PAY0012 DOC0012 DOC0012 com.acme.pay.Pay3Exception: the cost of supplier 000000003 in nation_5
+ at com.acme.b12.Svc12.m0(Svc12.java:10)
+ at com.acme.b5.Svc20$Inner.m8(Svc20.java:7)"""
+_Q = R.parsed(_TEXT)
+_TERMS = ["the", "of"]
+_PREFERRED = (1, 2, 12)
+
+
+def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols with the chunk that holds them."""
+    return V.symbols(spark, d).withColumn("chunk_id", F.concat((F.col("symbol_id") % 200).cast("string"), F.lit("-0")))
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of traces: a code and an exception for each order."""
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders", "o_orderkey").select(
+        k.alias("trace_id"), F.concat(F.lit("PAY"), F.lpad((k % 100).cast("string"), 4, "0")).alias("error_code"), F.concat(F.lit("com.acme.pay.Pay"), (k % 7).cast("string"), F.lit("Exception")).alias("exception_class")
+    )
+
+
+def _all_lanes(spark: SparkSession, d: str, shown: DataFrame, first: int, dense: bool) -> list[DataFrame]:
+    """Every lane of the query over some chunks: frames, then two for each identifier, then graph, lexical, vector."""
+    n_frames, n = len(_Q.frames), len(_Q.tokens)
+    vecs = read(spark, d, "embeddings", "vec_id", "embedding")
+    symbols = _symbols(spark, d)
+    at = first + n_frames
+    words = R.cover_hits(shown, _TERMS) if dense else R.lexical_hits(shown, _TERMS)
+    return [
+        R.frame_lanes(shown, symbols, _Q, first), R.token_lanes(shown, _Q, [at + 2 * i for i in range(n)]),
+        R.trace_lanes(shown, _errors(spark, d), V.frames(spark, d), symbols, _Q, [at + 2 * i + 1 for i in range(n)]),
+        R.entity_lane(V.entities(spark, d), V.mentions(spark, d), shown, _TEXT, at + 2 * n), R.ranked(words, R.LEXICAL_K, at + 2 * n + 1, F.col("n").desc(), F.col("chunk_id").asc()),
+        R.vector_lane(R.vector_hits(shown, vecs, R.first_vector(vecs)), at + 2 * n + 2),
+    ]
+
+
+def _lane_sql(shown: str, first: int) -> list[str]:
+    """The same lanes in SQL."""
+    out, lane = [], first
+    ranked = lambda rows, n: f"SELECT {n}::BIGINT AS lane_id, row_number() OVER (ORDER BY created_at DESC, chunk_id) AS rank, chunk_id FROM (SELECT DISTINCT chunk_id, created_at FROM {shown} WHERE {rows} ORDER BY created_at DESC, chunk_id LIMIT 30)"
+    listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    for package, classes, methods in _Q.frames:
+        out.append(ranked(f"chunk_id IN (SELECT chunk_id FROM placed WHERE package_name = '{package}' AND class_name IN ({listed(classes)}) AND symbol_name IN ({listed(methods)}))", lane))
+        lane += 1
+    for token in _Q.tokens:
+        out.append(ranked(f"identifier = '{token}' OR contains(lower(display_content), '{token.lower()}')", lane))
+        out.append(ranked(f"chunk_id IN (SELECT chunk_id FROM placed JOIN used USING (package_name, class_name, symbol_name) JOIN errors USING (trace_id) WHERE error_code = '{token}' OR exception_class = '{token}')", lane + 1))
+        lane += 2
+    rest = "(" + search._ENTITY.format(lane=lane).removeprefix("ent AS (").replace("'supplier000000003innation_5'", "(SELECT q FROM asked)").replace("JOIN shown", f"JOIN {shown}")
+    lexical = "(" + search._LEXICAL.format(lane=lane + 1).removeprefix("lex AS (").replace("FROM shown", f"FROM {shown}")
+    vector = f"""(SELECT {lane + 2}::BIGINT AS lane_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank, chunk_id FROM (SELECT chunk_id, distance FROM {shown} JOIN dist USING (vec_id) ORDER BY distance, chunk_id LIMIT 40) WHERE distance <= 0.55)"""
+    return [f"({x})" for x in out] + [rest, lexical, vector]
+
+
+_ASKED = _TEXT.replace("'", "''")
+_SIM = search._SIMILARITY.replace("'supplier 000000003 in nation_5'", f"'{_ASKED}'")
+_FIRST = len(_lane_sql("shown", 1)) + 1
+_DIST = search._DISTANCES.split(",\nnear AS")[0]
+
+
+@query(f""", {search._SHOWN}, own AS (SELECT * FROM shown WHERE asset_id IN {_PREFERRED}), {_SIM}, {_DIST}, asked AS (SELECT lower(regexp_replace('{_ASKED}', '\\s+', '', 'g')) AS q),
+  placed AS (SELECT *, (symbol_id % 200) || '-0' AS chunk_id FROM v_symbols),
+  errors AS (SELECT o_orderkey AS trace_id, 'PAY' || lpad((o_orderkey % 100)::VARCHAR, 4, '0') AS error_code, 'com.acme.pay.Pay' || (o_orderkey % 7) || 'Exception' AS exception_class FROM orders),
+  used AS (SELECT trace_id, regexp_extract(class_name, '^(.*)\\.[^.]+$', 1) AS package_name, split_part(regexp_extract(class_name, '([^.]+)$', 1), '$', 1) AS class_name, method_name AS symbol_name FROM v_frames WHERE {content._APP}),
+  every AS ({" UNION ALL ".join(f"SELECT * FROM {x}" for x in [*_lane_sql("own", 1), *_lane_sql("shown", _FIRST)])})
+  SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9)::DOUBLE AS rrf_score, row_number() OVER (ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, min(lane_id * 1000000 + rank)) AS position FROM every GROUP BY chunk_id QUALIFY position <= 30""", f"{_BASE} frames symbols entities mentions")
+def hybrid_all_lanes(spark: SparkSession, d: str) -> DataFrame:
+    """Lanes for frames, identifiers, errors, names, words and vectors, those over preferred assets first; fused."""
+    return _fused(spark, d, dense=False)
+
+
+def _fused(spark: SparkSession, d: str, dense: bool) -> DataFrame:
+    shown = search._shown(spark, d)
+    own = shown.filter(F.col("asset_id").isin(*_PREFERRED))
+    best = R.fuse([*_all_lanes(spark, d, own, 1, dense), *_all_lanes(spark, d, shown, _FIRST, dense)])
+    order = Window.orderBy(F.col("rrf_score").desc(), "first")
+    return best.select("chunk_id", "rrf_score", F.row_number().over(order).cast("long").alias("position"))
+
+
+@query()
+def hybrid_search_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same with words ranked by cover density; the first ten with text and neighbours."""
+    top = _fused(spark, d, dense=True).filter("position <= 10")
+    return V.chunks(spark, d, linked=True).join(F.broadcast(top), "chunk_id").select("chunk_id", "rrf_score", "position", "asset_id", "display_content", "previous_chunk_id", "next_chunk_id")
