@@ -30,7 +30,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,12 +150,17 @@ def align(first: list, at_first: list[int], later: list, at_later: list[int], n_
     return sorted(at_later[j] for j in hit)
 
 
-def _aligned(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFrame]:
+def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     key = lambda lines: [(x["h"], x["g"]) for x in lines]
     at = lambda lines: [x["i"] for x in lines]
-    for pdf in batches:
-        found = [align(key(a), at(a), key(b), at(b), [x["w"] for x in b], min_words) for a, b in zip(pdf["first_lines"], pdf["lines"])]
-        yield pd.DataFrame({"_k": pdf["_k"], "hit": found})
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 500):
+            part = batch.slice(begin, 500)
+            found = [
+                align(key(a), at(a), key(b), at(b), [x["w"] for x in b], min_words)
+                for a, b in zip(part.column("first_lines").to_pylist(), part.column("lines").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array(found, pa.list_(pa.int32()))], ["_k", "hit"])
 
 
 def _order(doc_id: Column, key: Column) -> Column:
@@ -171,30 +176,36 @@ def _runs_of(lines: Column, min_words: int) -> Column:
         for m in range(1, min_words):
             total = total + F.when((i + step * m) >= 0, w(i + step * m))
             case = case.when(total >= min_words, m + 1)
-        return case
+        return F.coalesce(case, F.lit(0))
 
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    forwards = F.transform(places, lambda i: F.slice(lines, i + 1, F.coalesce(size(i, 1), F.lit(0))))
-    # one that begins here too is a line by itself
-    backwards = F.transform(F.filter(places, lambda i: w(i) < min_words), lambda i: F.slice(lines, i + 2 - F.coalesce(size(i, -1), F.lit(1)), F.coalesce(size(i, -1), F.lit(0))))
-    return F.filter(F.concat(forwards, backwards), lambda r: F.size(r) > 0)
+    long = F.transform(F.filter(lines, lambda x: x["w"] >= min_words), lambda x: F.array(x))
+    short = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: w(i) < min_words)
+    forwards = F.transform(short, lambda i: F.slice(lines, i + 1, size(i, 1)))
+    backwards = F.transform(short, lambda i: F.slice(lines, i + 2 - F.greatest(size(i, -1), F.lit(1)), size(i, -1)))
+    joined = F.filter(F.concat(forwards, backwards), lambda r: F.size(r) > 0)
+    # a line with enough words is a run by itself; most texts have no others
+    return F.when(F.exists(lines, lambda x: x["w"] < min_words), F.concat(long, joined)).otherwise(long)
 
 
 def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_k, hit: numbers among the non-blank lines, to be deleted) for rows (_k, _order, _text)."""
     solid = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"), lambda x: x.rlike(NOT_BLANK))
-    bare = F.transform(solid, lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(" \t\x0b\f\r")).alias("t"), F.regexp_count(x, F.lit(NOT_BLANK)).alias("w")))
-    lines = docs.select("_k", "_order", F.transform(bare, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit(1), x["t"]).alias("g"), x["w"].alias("w"))).alias("_lines"))
-    lines = lines.filter(F.size("_lines") > 0).select("_k", "_order", F.explode(_runs_of(F.col("_lines"), min_words)).alias("run"))
-    keys = F.transform("run", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g")))
-    each = lines.select("_k", "_order", "run", F.xxhash64(keys).alias("h"), F.xxhash64(F.lit(1), keys).alias("g"))
+    bare = F.transform(solid, lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")))
+    hashed = F.transform(bare, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(NOT_BLANK)).alias("w")))
+    lines = docs.select("_k", "_order", hashed.alias("_lines")).filter(F.size("_lines") > 0)
+    lines = lines.select("_k", "_order", F.explode(_runs_of(F.col("_lines"), min_words)).alias("run"))
+    keys, one = F.transform("run", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"))), F.size("run") == 1
+    each = lines.select(
+        "_k", "_order", "run", F.when(one, F.col("run")[0]["h"]).otherwise(F.xxhash64(keys)).alias("h"), F.when(one, F.col("run")[0]["g"]).otherwise(F.xxhash64(F.lit(1), keys)).alias("g")
+    )
+    each = written(each, "runs")
     # a run's first holder, where it has others; reduced before the shuffle, and read from a table, so that a run with many holders can be split
     first = each.groupBy("h", "g").agg(F.min("_order").alias("first"), F.max("_order").alias("last")).filter("first <> last").select("h", "g", F.col("first.k").alias("_first"))
     shared = written(each.select("_k", "run", "h", "g").join(written(first, "first-holders"), ["h", "g"]).select("_k", "run", "_first"), "shared-runs")
     pairs = shared.filter("_k <> _first").select("_k", "_first").distinct()
     ends = written(shared.groupBy("_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("run")))).alias("lines")), "line-ends")
     aligned = pairs.join(ends, "_k").join(ends.select(F.col("_k").alias("_first"), F.col("lines").alias("first_lines")), "_first")
-    found = aligned.select("_k", "lines", "first_lines").mapInPandas(partial(_aligned, min_words=min_words), "_k binary, hit array<int>")
+    found = aligned.select("_k", "lines", "first_lines").mapInArrow(partial(_aligned, min_words=min_words), "_k binary, hit array<int>")
     return written(found.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit")).filter(F.size("hit") > 0), "deleted-lines")
 
 
@@ -210,8 +221,8 @@ def without_lines(text: str, hit) -> str:
     return "\n".join(kept) if any(map(_SOLID.search, kept)) else ""
 
 
-def _without(text: pd.Series, hit: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else without_lines(t, h) for t, h in zip(text, hit)], dtype=object)
+def _without(text: pa.Array, hit: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else without_lines(t, h) for t, h in zip(text.to_pylist(), hit.to_pylist())], pa.string())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, info: str | None = None) -> DataFrame:
@@ -222,7 +233,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = keyed.select("_k", "_row").join(hit, "_k", "left")
     text = F.col(f"_row.{text_col}")
     # only changed texts go through Python
-    new = F.when(F.col("hit").isNull(), text).otherwise(F.pandas_udf(_without, "string")(F.when(F.col("hit").isNotNull(), text), F.col("hit")))
+    new = F.when(F.col("hit").isNull(), text).otherwise(F.arrow_udf(_without, "string")(F.when(F.col("hit").isNotNull(), text), F.col("hit")))
     columns = [new.alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in docs.columns]
     if info:
         columns.append(F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias(info))

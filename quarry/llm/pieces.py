@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 NORMAL, CONTROL, BYTE, UNKNOWN = range(4)
 #: Stretches that each of two generations of the cache may hold.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 60_000
 #: Characters of text that go through a worker at once.
 SLICE_CHARS = 4_000_000
 
@@ -209,6 +209,11 @@ class Coder:
             found = self._run(marks if lone else marks - 1) + found[lone:]
         return array("i", found).tobytes()
 
+    def forget(self) -> None:
+        """Empties the cache of stretches."""
+        self.stretch.clear()
+        self.stretch.old = {}
+
     def encode(self, text: str) -> bytes:
         """The ids of a text with the end id, as the bytes of 32-bit integers."""
         if not text:
@@ -286,6 +291,7 @@ def _both(batches: Iterator[pa.RecordBatch], v: Vocabulary, text_col: str, keep:
             columns.append(pa.array(texts, pa.string()))
             names.append("decoded")
         yield pa.RecordBatch.from_arrays(columns, names)
+    coder.forget()  # a worker that waits for the next task holds little
 
 
 def encode(df: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
