@@ -1,0 +1,69 @@
+"""Java sources: what is no code is masked, then definitions are found and their ends by counting braces."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Comments, text blocks, strings and characters; what is left open ends with its line, or the file.
+_NOT_CODE = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:\\.|.)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?', re.S)
+_TYPE = re.compile(r"\b(?:class|interface|enum|record)\s+([A-Za-z_$][\w$]*)[^;{}()]*(?:\([^)]*\)[^;{}]*)?\{")
+_METHOD = re.compile(r"(?:^|[;{}]|\*/)\s*((?:@[\w.]+(?:\([^)]*\))?\s*)*(?:[\w$<>\[\],.?&]+\s+)*?([A-Za-z_$][\w$]*)\s*\([^;{}()]*(?:\([^)]*\)[^;{}()]*)*\)\s*(?:throws\s+[\w$.,\s]+)?)\{")
+_NO_METHOD = frozenset("if for while switch catch synchronized try do else return new throw assert super this".split())
+
+
+def masked(source: str) -> str:
+    """The source with everything that is no code as blanks, so that places and lines stay."""
+    return _NOT_CODE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+
+
+def _end(code: str, opened: int) -> int:
+    """Behind the brace that closes the one at ``opened``."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(code, opened):
+        depth += 1 if m[0] == "{" else -1
+        if depth == 0:
+            return m.end()
+    return len(code)
+
+
+def definitions(source: str) -> list[tuple[str, str, str | None, int, int, str]]:
+    """(kind, name, owner, first line, last line, signature) of types and methods, by their lines and names."""
+    code = masked(source)
+    line = lambda at: code.count("\n", 0, at) + 1
+    types = [(m.start(), _end(code, m.end() - 1), m[1], m.end() - 1) for m in _TYPE.finditer(code)]
+    inside = lambda a, b: [(e - s, name) for s, e, name, _ in types if s < a and b <= e]
+    found = [("class", name, min(inside(s, e), default=(0, None))[1], line(s), line(e - 1), " ".join(source[s:brace].split())) for s, e, name, brace in types]
+    at = 0
+    while m := _METHOD.search(code, at):
+        at = m.end() - 1
+        begin = m.start(1) + len(m[1]) - len(m[1].lstrip())
+        end = _end(code, m.end() - 1)
+        owner = min(inside(begin, end), default=(0, None))[1]
+        if m[2] in _NO_METHOD or owner is None or m[1].split()[0] in ("new", "return", "else", "throw"):
+            continue
+        found.append(("constructor" if m[2] == owner else "method", m[2], owner, line(begin), line(end - 1), " ".join(source[begin : m.end() - 1].split())))
+    return sorted(found, key=lambda f: (f[3], f[4], f[1]))
+
+
+def package(source: str) -> str | None:
+    found = re.search(r"^\s*package\s+([\w.]+)\s*;", masked(source), re.M)
+    return found[1] if found else None
+
+
+def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["kind", "symbol_name", "class_name", "start_line", "end_line", "signature"]
+    for pdf in batches:
+        for path, text in zip(pdf["path"], pdf["text"]):
+            made = pd.DataFrame(definitions(text or ""), columns=columns)
+            yield made.assign(path=path, package_name=package(text or ""))[["path", "package_name", *columns]]
+
+
+def symbols(sources: DataFrame) -> DataFrame:
+    """(path, package_name, kind, symbol_name, class_name, start_line, end_line, signature) of Java sources (path, text)."""
+    return sources.select("path", "text").mapInPandas(
+        _symbols, "path string, package_name string, kind string, symbol_name string, class_name string, start_line long, end_line long, signature string"
+    )
