@@ -25,12 +25,28 @@ def prose(rng, n, per_line=12):
 ODD = [(1, None), (2, ""), (3, " \n\t\n "), (None, "null id here"), (5, "same"), (5, "same"), (6, "x" * 200_000), (7, "é " * 30_000), (8, "...")]
 
 
-@pytest.mark.parametrize("apply", [
-    lambda d: line_dedup.dedup_lines(d, info="n"), near_dedup.near_classes, near_dedup.keep_one, quality_rules.ledger, quality_rules.keep_good, licenses.scan,
-], ids=["lines", "near", "one", "ledger", "keep", "licenses"])
-def test_odd_and_empty_tables(spark, apply):
-    assert apply(some_docs(spark, ODD)).count() >= 0
-    assert apply(some_docs(spark, [])).count() == 0
+def test_odd_and_empty_tables(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, names that clash; and no rows at all."""
+    odd, none = some_docs(spark, ODD), some_docs(spark, [])
+    ids = lambda rows: sorted((r.doc_id for r in rows), key=lambda i: (i is None, i))
+    every = ids(odd.collect())
+
+    lines = line_dedup.dedup_lines(odd, info="n").collect()
+    assert ids(lines) == every and sorted(map(repr, (r.text for r in lines))) == sorted(repr(t) for _, t in ODD) and not any(r.n for r in lines)
+    classes = {(r.doc_id, r.class_id) for r in near_dedup.near_classes(odd).collect()}
+    # 1 and 2 are equal (null and empty), as are the rows of 5; texts without words are copies of equal texts only
+    assert classes == {(1, 1), (2, 1), (3, 3), (None, None), (5, 5), (6, 6), (7, 7), (8, 8)}
+    assert ids(near_dedup.keep_one(odd).collect()) == [1, 3, 5, 6, 7, 8, None] and near_dedup.keep_one(odd).columns == odd.columns
+    book = {(r.doc_id, r.n_words) for r in quality_rules.ledger(odd).collect()}
+    assert book == {(1, 0), (2, 0), (3, 0), (None, 3), (5, 1), (6, 1), (7, 30_000), (8, 1)} and quality_rules.ledger(odd).count() == len(ODD)
+    assert quality_rules.keep_good(odd).columns == odd.columns and {r.doc_id for r in quality_rules.keep_good(odd).collect()} <= {7}
+    licensed = licenses.scan(odd).collect()
+    assert ids(licensed) == every and {(r.doc_id, r.n_words) for r in licensed} == {(1, 0), (2, 0), (3, 0), (None, 3), (5, 1), (6, 1), (7, 30_000), (8, 0)} and not any(r.labels for r in licensed)
+    for apply in (line_dedup.dedup_lines, near_dedup.near_classes, near_dedup.keep_one, quality_rules.ledger, quality_rules.keep_good, licenses.scan):
+        assert apply(none).count() == 0
+    long = "filler " * 60_000 + "GNU LGPL v2.1+ " + "filler " * 3 + "MIT license"
+    found = licenses.scan(some_docs(spark, [(1, long)])).first()
+    assert (found.n_words, found.labels, found.first_word) == (60_009, ["lgpl-2.1-or-later", "mit"], 60_007)
 
 
 def test_odd_tables_of_operators_with_two_inputs(spark):
@@ -272,6 +288,14 @@ def test_preferences(spark):
     assert preferences.pairs(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_preferences_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, prompt string, pair_id long, mask int"
+    long = "word " * 100_000
+    rows = [(1, 0, "user", long, "p", 9, 1), (1, 1, "assistant", long, None, None, None), (2, 0, "user", long, "p", 9, 1), (2, 1, "assistant", "x", None, None, None)] + [(3, 0, "user", None, None, None, None)] * 2
+    got = {r.pair_id: r for r in preferences.formatted(preferences.pairs(spark.createDataFrame(rows, schema))).collect()}
+    assert set(got) == {1, 2, 3} and got[2].n_prompt_turns == 1 and got[2].rejected[0]["text"].count("x") >= 1 and len(got[1].chosen[0]["text"]) > 500_000
+
+
 def test_pieces_are_the_library_s(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
@@ -311,6 +335,47 @@ def test_html_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+#: Pages written by hand, in layouts that training does not make, with the article's text.
+BY_HAND = [
+    ("""<body><div id="masthead"><a href=/>The Daily</a></div><div class="nav-menu"><a href=1>World</a> <a href=2>Sport</a></div>
+    <div class="story-body"><h1>Bridge opens</h1><p>The bridge opened on Monday after two years of work on its piers.</p><div class="advert-box"><p>Save 20% now!</p></div>
+    <p>Engineers said that it would carry <a href=x>more than</a> 9,000 cars a day.</p></div><div class="comments-area"><h3>Comments</h3><p>Great news for all of us who live on the other side.</p></div>
+    <div id="footer">&copy; 2024 The Daily</div></body>""", ["Bridge opens", "The bridge opened on Monday after two years of work on its piers.", "Engineers said that it would carry more than 9,000 cars a day."]),
+    ("""<main><article><header><h1>Soup</h1></header><p>Cut the onions and let them sweat in butter until they are soft and clear.<ul><li>Two onions and a spoon of flour.<li>A litre of stock, hot.</ul></article></main>
+    <aside class=related><h4>More recipes</h4><a href=a>Bread</a></aside><form><label>Search</label><input></form>""",
+     ["Soup", "Cut the onions and let them sweat in butter until they are soft and clear.", "Two onions and a spoon of flour.", "A litre of stock, hot."]),
+    ("""<table class=layout><tr><td class=sidebar><a href=1>Home</a><a href=2>Archive</a></td><td class=content><h2>Notes on rivers</h2><blockquote>A river is never the same twice, as the old saying has it.</blockquote>
+    <p>The water rose by two metres in the night, and the fields on both banks were under it by morning.</p></td></tr></table><p class=copyright>All rights reserved.</p>""",
+     ["Notes on rivers", "A river is never the same twice, as the old saying has it.", "The water rose by two metres in the night, and the fields on both banks were under it by morning."]),
+]
+
+
+def test_html_pages_by_hand():
+    model = html_extract.train([])
+    right = wrong = missed = 0
+    for page, expected in BY_HAND:
+        got = html_extract.main_text(page, model).split("\n")
+        right += len(set(got) & set(expected))
+        wrong += len(set(got) - set(expected))
+        missed += len(set(expected) - set(got))
+    assert 2 * right / (2 * right + wrong + missed) >= 0.9
+
+
+def test_html_odd_pages(spark):
+    schema = "page_id long, url string, html string, text string, features int"
+    long = "<article>" + "".join(f"<p>Paragraph {k} has a few words of its own.</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, "u", long, "", 1), (2, None, PAGE, None, None), (2, None, PAGE, None, None), (None, None, None, None, None), (3, "u", "<<<>>< p", "x", 1)]
+    got = html_extract.extract(spark.createDataFrame(rows, schema)).collect()
+    texts = {r.page_id: r.text for r in got}
+    assert len(got) == 5 and texts[1].count("\n") == 19_999 and texts[None] == "" and got[0].page_id == 1
+
+
+def test_training_keeps_long_pages_whole():
+    many = "<body><nav><a href=1>Home</a></nav><article>" + "".join(f"<p>Sentence number {k} of this long article.</p>" for k in range(400)) + "</article><footer>End</footer></body>"
+    model = html_extract.train([many], layouts=40)
+    assert html_extract.main_text(many, model).count("\n") == 399
+
+
 def test_html_layouts_held_out():
     rng = random.Random(1)
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 40))).capitalize() + "." for _ in range(300)]
@@ -330,6 +395,19 @@ def test_ranking_separates_held_out_documents(spark):
     assert len(scored) == 201 and sum(right) >= 0.98 * len(right) and all(0 <= r.score <= 1 for r in scored)
 
 
+def test_ranking_is_no_worse_than_any_other():
+    import numpy as np
+
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(120, 5)) * [1, 2, 0.5, 3, 1]
+    y = (x @ [1.0, -0.7, 2.0, 0.1, 0.0] + rng.normal(size=120) > 0.3).astype(int)
+    pairs = lambda w: np.mean([(a - b) @ w > 0 for a in x[y == 1] for b in x[y == 0]])
+    loss = lambda w: np.mean([np.log1p(np.exp(-(a - b) @ w)) for a in x[y == 1] for b in x[y == 0]])
+    w = np.array(pairwise_quality.fit(x, y).weights)
+    assert all(loss(w) <= loss(w + d) + 1e-3 for d in rng.normal(size=(60, 5)) * 0.3)
+    assert all(pairs(w) >= pairs(d) for d in rng.normal(size=(40, 5)))
+
+
 def test_warc_round_trip(spark):
     schema = "page_id long, url string, html string, key string"
     long, other = "<p>é" + "x" * 1500, "<p>" + "y\r\n\r\n" * 400
