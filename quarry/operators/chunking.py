@@ -1,4 +1,4 @@
-"""Chunkers: greedy packing of paragraphs and of headed blocks, as folds over ordered arrays."""
+"""Chunkers: greedy packing of paragraphs and of headed blocks. A document is walked once, where its row lies."""
 
 from __future__ import annotations
 
@@ -47,31 +47,38 @@ def paragraphs(docs: DataFrame, most: int = PARAGRAPH) -> DataFrame:
     return made.select("doc_id", F.posexplode("items").alias("seq", "content"))
 
 
+def headed(blocks: list[tuple[int, str | None, str]], target: int, most: int) -> list[tuple[str | None, str]]:
+    """(heading, content) of chunks of a document's blocks (position, heading, text), in one walk."""
+    made: list[tuple[str | None, str]] = []
+    heading, texts, tokens = None, [], 0
+    for _, new, text in sorted(blocks, key=lambda b: b[0]):
+        n = 2 * len(text.split())
+        changed = new is not None and new != heading and tokens >= target
+        if texts and (changed or tokens + n > most):
+            made.append((heading, "\n".join(texts)))
+            texts, tokens = [], 0
+        heading = heading if new is None else new
+        texts.append(text)
+        tokens += n
+    return made + [(heading, "\n".join(texts))] if texts else made
+
+
+def _headed(batches: Iterator[pd.DataFrame], target: int, most: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for doc, found in zip(pdf["doc_id"], pdf["b"]):
+            chunks = headed([(b["position"], b["heading"], b["text"] or "") for b in found], target, most)
+            yield pd.DataFrame({"doc_id": [doc] * len(chunks), "seq": range(len(chunks)), "heading": [h for h, _ in chunks], "content": [c for _, c in chunks]})
+
+
 def semantic(blocks: DataFrame, target: int = 700, most: int = 1000) -> DataFrame:
     """(doc_id, seq, heading, content) of blocks (doc_id, position, heading, text).
 
     A change of heading ends a chunk that has ``target`` tokens; a block that would make it
     larger than ``most`` ends it as well. A block without a heading keeps the last one.
     """
-    state = "struct<done:array<struct<heading:string,content:string>>,heading:string,texts:array<string>,tokens:bigint>"
-    ordered = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "heading", "text"))).alias("b"))
-    tokens = lambda t: (F.regexp_count(t, F.lit(r"\S+")) * 2).cast("bigint")
-
-    def step(s, x):
-        n = tokens(x["text"])
-        changed = F.coalesce(x["heading"] != s["heading"], x["heading"].isNotNull()) & (s["tokens"] >= target)
-        flush = (F.size(s["texts"]) > 0) & (changed | (s["tokens"] + n > most))
-        done = F.when(flush, F.array_append(s["done"], F.struct(s["heading"].alias("heading"), F.array_join(s["texts"], "\n").alias("content")))).otherwise(s["done"])
-        return F.struct(
-            done.alias("done"), F.coalesce(x["heading"], s["heading"]).alias("heading"),
-            F.when(flush, F.array(x["text"])).otherwise(F.array_append(s["texts"], x["text"])).alias("texts"), F.when(flush, n).otherwise(s["tokens"] + n).alias("tokens"),
-        ).cast(state)
-
-    start = F.struct(F.array().alias("done"), F.lit(None).alias("heading"), F.array().alias("texts"), F.lit(0).alias("tokens")).cast(state)
-    folded = ordered.select("doc_id", F.aggregate("b", start, step).alias("s"))
-    last = F.when(F.size("s.texts") > 0, F.array(F.struct(F.col("s.heading").alias("heading"), F.array_join("s.texts", "\n").alias("content"))))
-    every = F.concat(F.col("s.done"), F.coalesce(last, F.array().cast("array<struct<heading:string,content:string>>")))
-    return folded.select("doc_id", F.posexplode(every).alias("seq", "c")).select("doc_id", "seq", "c.heading", "c.content")
+    ordered = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("position", "heading", "text")).alias("b"))
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    return ordered.mapInPandas(partial(_headed, target=target, most=most), f"doc_id {kind}, seq int, heading string, content string")
 
 
 def windows(lines: Column, most: int) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -45,23 +47,33 @@ def scores(grid: DataFrame) -> DataFrame:
     return n.select("table_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9).alias("score"), (F.col("fill") < 0.25).alias("low_fill"))
 
 
+def grouped(sizes: list[tuple[int, int]], tokens: int, most_rows: int, overlap: int) -> list[list[int]]:
+    """Groups of rows (r, tokens) in order; a group begins with the last rows of the one before."""
+    made: list[list[int]] = []
+    now: list[tuple[int, int]] = []
+    held = 0
+    for r, t in sorted(sizes):
+        if now and (len(now) >= most_rows or held + t > tokens):
+            made.append([x for x, _ in now])
+            now = now[-overlap:] if overlap else []
+            held = sum(n for _, n in now)
+        now.append((r, t))
+        held += t
+    return [*made, [x for x, _ in now]] if now else made
+
+
+def _grouped(batches: Iterator[pd.DataFrame], tokens: int, most_rows: int, overlap: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for table, found in zip(pdf["table_id"], pdf["f"]):
+            rows = [(seq, r) for seq, group in enumerate(grouped([(x["r"], x["t"]) for x in found], tokens, most_rows, overlap)) for r in group]
+            yield pd.DataFrame(rows, columns=["seq", "r"]).assign(table_id=table)[["table_id", "seq", "r"]]
+
+
 def chunks(rows: DataFrame, tokens: int = 900, most_rows: int = 30, overlap: int = 1) -> DataFrame:
     """(table_id, seq, r): rows (table_id, r, fact) in groups of bounded size; a group begins with the last row of the one before."""
-    state = "struct<groups:array<array<int>>,now:array<int>,sizes:array<int>,tokens:int>"
-    ordered = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("r", F.greatest(F.lit(1), F.floor(F.length("fact") / 2)).cast("int").alias("t")))).alias("f"))
-    start = F.struct(F.array().alias("groups"), F.array().alias("now"), F.array().alias("sizes"), F.lit(0).alias("tokens")).cast(state)
-
-    def step(s, x):
-        full = (F.size(s["now"]) > 0) & ((F.size(s["now"]) >= most_rows) | (s["tokens"] + x["t"] > tokens))
-        tail = lambda a: F.slice(a, F.greatest(F.size(a) - (overlap - 1), F.lit(1)), F.lit(overlap))
-        held, sizes = F.when(full, tail(s["now"])).otherwise(s["now"]), F.when(full, tail(s["sizes"])).otherwise(s["sizes"])
-        return F.struct(
-            F.when(full, F.array_append(s["groups"], s["now"])).otherwise(s["groups"]).alias("groups"), F.array_append(held, x["r"]).alias("now"), F.array_append(sizes, x["t"]).alias("sizes"),
-            (F.aggregate(sizes, F.lit(0), lambda a, b: a + b) + x["t"]).alias("tokens"),
-        ).cast(state)
-
-    folded = ordered.select("table_id", F.aggregate("f", start, step).alias("s"))
-    return folded.select("table_id", F.posexplode(F.array_append("s.groups", F.col("s.now"))).alias("seq", "g")).select("table_id", "seq", F.explode("g").alias("r"))
+    sized = rows.groupBy("table_id").agg(F.collect_list(F.struct("r", F.greatest(F.lit(1), F.floor(F.length("fact") / 2)).cast("int").alias("t"))).alias("f"))
+    kind = rows.schema["table_id"].dataType.simpleString()
+    return sized.mapInPandas(partial(_grouped, tokens=tokens, most_rows=most_rows, overlap=overlap), f"table_id {kind}, seq int, r int")
 
 
 def continued(pairs: DataFrame, least: float = 0.72) -> DataFrame:
