@@ -44,9 +44,11 @@ def row_key(row_id: Column, text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A run without one (tests) gets a folder of its own."""
+    """The folder that driver and executors share. A run on one machine (tests) gets a folder of its own; on a cluster it has to be named."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quarry-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,22 +60,38 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, which ``clear`` deletes."""
+    _TABLES.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _TABLES[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors.
 
     Results read these tables when they run; ``clear`` deletes them once results are stored.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     schema = df.schema
-    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` has made so far, in whatever store they lie."""
+def made() -> int:
+    """How many tables there are; ``clear`` leaves as many if it is told to."""
+    return len(_TABLES)
+
+
+def clear(spark: SparkSession, but: DataFrame | None = None, first: int = 0) -> None:
+    """Deletes the tables that ``written`` has made so far, in whatever store they lie.
+
+    Not the ``first`` ones, nor those that the frame ``but`` reads.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+    used = [] if but is None else but.inputFiles()
+    kept = [t for t in _TABLES[first:] if any(t.rsplit("/", 1)[1] in f for f in used)]
+    for table in set(_TABLES[first:]) - set(kept):
+        path = jvm.org.apache.hadoop.fs.Path(table)
         path.getFileSystem(conf).delete(path, True)
+    _TABLES[first:] = kept

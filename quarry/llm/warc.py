@@ -46,7 +46,7 @@ from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import new_folder, written
 
 REVISIT_BYTES = 1000
 #: Entries in a block of the index, and in a range of its keys until there are MAX_PARTS ranges.
@@ -164,7 +164,7 @@ def typed(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str | None = None, date: str | None = None) -> str:
     """Writes the archives, with ``date`` (default: now) as the records' date, and returns their folder."""
-    path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = path or new_folder(pages.sparkSession, "warc")
     date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     _as_files(typed(pages).mapInArrow(partial(_members, date=date), "value binary"), path)
     return path
@@ -323,7 +323,7 @@ def build_index(spark: SparkSession, path: str) -> Index:
     found = written(captures(spark, path), "captures")
     n = found.count()
     parts = min(MAX_PARTS, -(-n // PART_ENTRIES) or 1)
-    folder = f"{shared_dir(spark).rstrip('/')}/capture-index-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "capture-index")
     order = ["key", "page", "path", "offset"]
     _as_files(found.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks, "value binary"), f"{folder}/blocks")
     places = _files(spark, f"{folder}/blocks").mapInArrow(_directory, "first_key string, first_page string, path string, offset long, length long")
