@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, line_dedup, near_dedup, pieces, quality_rules
-from quarry.llm.common import NOT_BLANK, table, written
+from quarry.llm.common import NOT_BLANK, clear, made, table, written
 
 MODEL = "piece_bpe_32k.model"
 
@@ -70,9 +70,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    before = made()
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
+            clear(spark, but=docs, first=before)  # nothing reads the tables of this run's stages before any more
     return docs
