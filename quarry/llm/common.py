@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,18 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within it, tables that are written pass Python this many rows at a time: long texts take memory in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared one, which ``clear`` deletes."""
     _TABLES.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")

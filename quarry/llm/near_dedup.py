@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RAW_WORD, row_key, written
+from .common import RAW_WORD, row_key, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -72,7 +72,7 @@ class _Hashes(dict):
     """Words' hashes, kept for the next text; emptied when there are too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.translate(_LOWER))
         return value
@@ -228,8 +228,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            part = batch.slice(begin, 500)
+        for begin in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(begin, TOGETHER)
             found = [units(word_hashes(t)).view(np.int64) for t in part.column("_text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(u) for u in found]))).astype(np.int32)
             flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())
@@ -336,7 +336,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         row_key(F.col(id_col), text).alias("_k"), F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), text.alias("_text")
     )
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = written(keyed.mapInArrow(_sketches, f"_k binary, _none boolean, _id {id_type}, copy binary, n int, sig array<int>"), "sketches")
+    with small_batches(docs.sparkSession):
+        sketched = written(keyed.mapInArrow(_sketches, f"_k binary, _none boolean, _id {id_type}, copy binary, n int, sig array<int>"), "sketches")
     nodes = written(
         # copies are one node, whose number is fixed when the table is written
         sketched.groupBy("copy").agg(
@@ -349,7 +350,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = members.select("node").distinct()
     chosen = written(nodes.join(linked, "node", "left_semi").select("node", "sig", F.col("first.k").alias("_k")), "chosen")
     texts = keyed.select("_k", "_text").join(chosen.select("_k", "node"), "_k").dropDuplicates(["_k"]).select("node", "_text")
-    exact = written(texts.mapInArrow(_unit_rows, "node long, units array<long>"), "units")
+    with small_batches(docs.sparkSession):
+        exact = written(texts.mapInArrow(_unit_rows, "node long, units array<long>"), "units")
     sketches = chosen.select("node", "sig")
     found, rest = _rounds(members, None, sketches, exact, BAND_ROUNDS)
     if rest is not None:
