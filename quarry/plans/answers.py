@@ -148,12 +148,12 @@ def java_text_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", *[c.alias(k) for k, c in found.items()])
 
 
-_POINTS = "3 * (" + " + ".join(f"contains(t, '{w}')::BIGINT" for w in text.ARCHITECTURE) + ") + CASE WHEN chunk_seq % 9 = 8 THEN 8 ELSE 0 END - 3 * (" + " + ".join(f"contains(t, '{w}')::BIGINT" for w in text.ACTIVITY) + ")"
+_POINTS = "3 * (" + " + ".join(f"contains(t, '{w}')::BIGINT" for w in text.ARCHITECTURE) + ") - 3 * (" + " + ".join(f"contains(t, '{w}')::BIGINT" for w in text.ACTIVITY) + ")"
 
 
 def architecture_points() -> Column:
-    """Of a chunk; every ninth stands for one read from an image."""
-    return text.architecture_points(F.col("display_content"), F.col("chunk_seq") % 9 == 8)
+    """Of a chunk; none here was read from an image."""
+    return text.architecture_points(F.col("display_content"), F.lit(False))
 
 
 @query(f"SELECT chunk_id, {_POINTS} AS score FROM (SELECT chunk_id, chunk_seq, lower(display_content) AS t FROM v_chunks)", "chunks")

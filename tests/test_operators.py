@@ -151,3 +151,25 @@ def test_table_chunks_overlap_by_a_row(spark):
 def test_continued_tables(spark):
     pairs = spark.createDataFrame([("k | v", "k | v", 1, 2, 2), ("k | v", "k | v", 2, 2, 2), ("k | v", "other", 1, 2, 2), ("k | v", "k | v", 0, 2, 3)], "a_header string, b_header string, page_gap int, a_cols int, b_cols int")
     assert tables.continued(pairs).count() == 1
+
+
+def test_words_of_any_script(spark):
+    rows = spark.createDataFrame([("한국 보험", "한국 보험"), ("한국", "중국"), ("", ""), ("Straße", "straße")], "a string, b string")
+    assert [r[0] for r in rows.select(text.similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 1.0]
+    heads = ["[별표40-1] 본인일부부담금", "2-4  암진단Ⅱ 보장 특별약관", "제2관 보험금의 지급", "제15조 (중도인출금)", "제3조의2", "특별약관 아님", None]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in heads], "h string").select(text.heading(F.col("h"))).collect()]
+    assert got == ["appendix", "special_clause", "section", "article", "article", None, None]
+
+
+def test_answers_that_found_too_little(spark):
+    said = ["문서에서  확인할 수 없습니다", "관련 문서가 부족합니다", "It does NOT contain that", "fine", None]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in said], "a string").select(text.is_insufficient(F.col("a"))).collect()] == [True, True, True, False, False]
+    rows = spark.createDataFrame([("시스템 구성도와 API", False), ("성능 테스트", False), ("x", True)], "t string, image boolean")
+    assert [r[0] for r in rows.select(text.architecture_points(F.col("t"), F.col("image"))).collect()] == [9, -3, 8]
+
+
+def test_ocr_and_levels(spark):
+    rows = spark.createDataFrame([("native_text", None), ("native_text", 0.9), ("native_text", 0.8), ("native_text", 0.7), ("scanned", None), ("scanned", 0.7)], "k string, s double")
+    assert [r[0] for r in rows.select(text.ocr_engine(F.col("k"), F.col("s"))).collect()] == [None, None, "easyocr", "rapidocr", "easyocr", "rapidocr"]
+    lines = spark.createDataFrame([("Severe: x, warning",), ("error ERROR",), ("terror",)], "line string")
+    assert {r.level: r.n for r in logs.levels(lines).collect()} == {"SEVERE": 1, "WARN": 1, "ERROR": 2}

@@ -44,7 +44,7 @@ def test_lines_that_differ_late_are_kept(spark, planted):
 
 def test_items_come_from_the_whole_document(spark, planted):
     scored = {5, 6, 7, 8, 9, 10}
-    d = planted({1: "\n".join("the" if k in scored else "x" for k in range(101)), 2: "\n".join("x" * 101), 3: "x\nthe\nx"})
+    d = planted({1: "\n".join("api" if k in scored else "x" for k in range(101)), 2: "\n".join("x" * 101), 3: "x\napi\nx"})
     got = {}
     for r in run(spark, "select_items_spread", d):
         got.setdefault(r.asset_id, set()).add(int(r.chunk_id.split("-")[1]))
