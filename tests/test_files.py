@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import answering as A
-from quarry.operators import java as J
 from quarry.operators import logs as L
 from quarry.operators import normalize as N
 from quarry.operators import retrieval as R
 from quarry.operators import state as S
+from quarry.operators import symbols as J
 from quarry.sources import files
 from quarry.streaming import ingest
 
@@ -64,6 +64,21 @@ def test_java_sources(spark, tmp_path):
     assert J.definitions("") == [] and J.definitions("class A { void m() { ") == [("class", "A", None, 1, 1, "class A"), ("method", "m", "A", 1, 1, "void m()")]
 
 
+def test_python_sources_and_windows(spark, tmp_path):
+    body = "\n".join("    x = 1" for _ in range(130))
+    (tmp_path / "a.py").write_text(f"import os\n\nclass A:\n    def m(self):\n        def inner(): pass\n\ndef f():\n{body}\n")
+    (tmp_path / "b.py").write_text("def broken(:\n")
+    (tmp_path / "c.sql").write_text("\n".join(f"select {k};" for k in range(150)))
+    sources = files.texts(spark, str(tmp_path))
+    got = [(r.kind, r.symbol_name, r.class_name, r.start_line, r.end_line) for r in J.symbols(sources).orderBy("start_line").collect()]
+    assert got == [("class", "A", None, 3, 5), ("method", "m", "A", 4, 5), ("function", "f", None, 7, 137)]
+    spans = {}
+    for r in J.windows(sources).orderBy("path", "kind", "line_start").collect():
+        spans.setdefault(r.path[-4:], []).append((r.kind, r.symbol_name, r.line_start, r.line_end, r.content.count("\n") + 1))
+    assert spans["a.py"] == [("class", "A", 3, 5, 3), ("function", "f", 7, 126, 120), ("function", "f", 127, 137, 11), ("header", None, 1, 70, 70), ("method", "m", 4, 5, 2)]
+    assert spans["b.py"] == [("file", None, 1, 1, 1)] and [x[2:4] for x in spans[".sql"]] == [(1, 120), (121, 150)]
+
+
 def archive(entries):
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
