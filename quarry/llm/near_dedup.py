@@ -53,6 +53,8 @@ LOW, HIGH = 80, 147
 BAND_ROUNDS = 1
 #: Shingles of more open texts than this are common: texts that share no other must consist of common ones.
 COMMON = 64
+#: Of a text's rarest shingles so many tell whether two have met in another bucket.
+RARER = 24
 
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -270,7 +272,7 @@ def similar(pairs: DataFrame, sketches: DataFrame, exact: DataFrame) -> DataFram
 
 
 def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame, exact: DataFrame, most: int | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Compares members of buckets (key, node, n, most) with pivots. Returns (classes, members of open buckets).
+    """Compares members of buckets (key, node, n, most, rarer) with pivots. Returns (classes, members of open buckets).
 
     ``n`` is a text's number of units, ``most`` how many of them it can share with others through this bucket.
     """
@@ -283,12 +285,13 @@ def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame,
         # as many pivots as there are salts, each the least of its share of the bucket
         mixed = live.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key")
         live = written(live.join(mixed, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(pivots))), "open-buckets")
-        heads = live.groupBy("key", "salt").agg(F.min(F.struct("node", "n", "most", "cls")).alias("p")).select(
-            "key", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.most").alias("ma"), F.col("p.cls").alias("ca")
+        heads = live.groupBy("key", "salt").agg(F.min(F.struct("node", "n", "most", "cls", "rarer")).alias("p")).select(
+            "key", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.most").alias("ma"), F.col("p.cls").alias("ca"), F.col("p.rarer").alias("ra")
         )
-        # units that similar texts must share, against those that these two can share at most
+        # units that similar texts must share, against those that these two can share at most;
+        # two that share a rarer shingle meet in its bucket, and need not meet here
         met = live.join(heads, "key").filter(
-            (F.col("cls") != F.col("ca")) & (F.least("most", "ma") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("na")) - 1e-6)
+            (F.col("cls") != F.col("ca")) & ~F.arrays_overlap("rarer", "ra") & (F.least("most", "ma") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("na")) - 1e-6)
         ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         links = written(similar(met, sketches, exact), "links")
         if links.limit(1).count():
@@ -305,7 +308,7 @@ def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame,
                 moved = classes.join(to, "cls", "left").select("node", F.coalesce("to", "cls").alias("cls"))
                 new = merged.join(classes, "node", "left_anti").select("node", "cls")
                 classes = written(moved.unionByName(new), "classes")
-        members = written(live.join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "most"), "members")
+        members = written(live.join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "most", "rarer"), "members")
         if not members.limit(1).count():
             return classes, None
         pivots *= 4
@@ -313,7 +316,7 @@ def _rounds(members: DataFrame, classes: DataFrame | None, sketches: DataFrame,
 
 
 def _prefixes(nodes: DataFrame, exact: DataFrame) -> DataFrame:
-    """Buckets (key: a shingle, node, n, most) of the rarest shingles.
+    """Buckets (key: a shingle, node, n, most, rarer: a text's rarest shingles before this one) of the rarest shingles.
 
     The rarest shingle that a similar pair shares is among the rarest of both. If it is a
     common one, the pair shares common ones only, so a text of which too little is common
@@ -324,9 +327,13 @@ def _prefixes(nodes: DataFrame, exact: DataFrame) -> DataFrame:
     ranked = each.join(common, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
     need = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
     n_common = F.size(F.filter("order", lambda o: o["df"] > COMMON))
-    prefix = ranked.select("node", "n", n_common.alias("c"), F.explode(F.slice("order", F.lit(1), need.cast("int"))).alias("o")).filter("o.df > 1")
+    prefix = ranked.select(
+        "node", "n", n_common.alias("c"), F.transform(F.slice("order", F.lit(1), F.lit(RARER)), lambda o: o["key"]).alias("first"),
+        F.posexplode(F.slice("order", F.lit(1), need.cast("int"))).alias("at", "o"),
+    ).filter("o.df > 1")
     most = F.when(F.col("o.df") > COMMON, F.col("c")).otherwise(F.col("n"))
-    return prefix.select(F.col("o.key").alias("key"), "node", "n", most.alias("most")).filter(F.col("most") >= SIMILARITY * F.col("n") - 1e-6)
+    rarer = F.slice("first", F.lit(1), F.least("at", F.lit(RARER)))
+    return prefix.select(F.col("o.key").alias("key"), "node", "n", most.alias("most"), rarer.alias("rarer")).filter(F.col("most") >= SIMILARITY * F.col("n") - 1e-6)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,7 +353,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     banded = nodes.filter("n > 0").select("node", "n", "sig").mapInArrow(_banded, "key long, node long, n int")
     full = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    members = written(banded.join(full, "key").withColumn("most", F.col("n")), "members")
+    members = written(banded.join(full, "key").withColumns({"most": F.col("n"), "rarer": F.array().cast("array<bigint>")}), "members")
     linked = members.select("node").distinct()
     chosen = written(nodes.join(linked, "node", "left_semi").select("node", "sig", F.col("first.k").alias("_k")), "chosen")
     texts = keyed.select("_k", "_text").join(chosen.select("_k", "node"), "_k").dropDuplicates(["_k"]).select("node", "_text")
