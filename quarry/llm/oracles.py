@@ -97,4 +97,50 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last = page_id THEN 're
 FROM l
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_warc": OP10, "op2_preferences": OP2, "op3_decontaminate": OP3, "op5_quality_rules": OP5}
+def _field(c: str) -> str:
+    return f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: CRC-32 of the decimal id, bit by bit.
+CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+)
+
+OP11 = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, {_leaf("n_chars")} AS leaf,
+    {_leaf(f"n_chars + CASE WHEN {CRC} % 7 = 0 THEN 1 ELSE 0 END")} AS other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+t AS (
+  SELECT g, 0 AS k, r AS i, n, leaf AS d FROM l
+  UNION ALL SELECT g, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, k, i // 2, n),
+s AS (SELECT g, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS r, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS k, r AS i, n, subroot AS d FROM s
+  UNION ALL SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 2, n),
+p AS (
+  SELECT l.g, l.r, v.k, (l.r >> v.k) & 1 AS side, t.d AS sib
+  FROM l JOIN (SELECT DISTINCT g, k FROM t WHERE n > 1) v USING (g) LEFT JOIN t ON t.g = l.g AND t.k = v.k AND t.i = xor(l.r >> v.k, 1)
+  UNION ALL
+  SELECT l.g, l.r, 100 + v.k, (s.r >> v.k) & 1, u.d
+  FROM l JOIN s USING (g) JOIN (SELECT DISTINCT k FROM u WHERE n > 1) v ON true LEFT JOIN u ON u.k = v.k AND u.i = xor(s.r >> v.k, 1)),
+q AS (SELECT *, row_number() OVER (PARTITION BY g, r ORDER BY k) - 1 AS j FROM p),
+f AS (
+  SELECT g, r, 0 AS j, other AS h FROM l
+  UNION ALL
+  SELECT f.g, f.r, f.j + 1, sha256(CASE WHEN sib IS NULL THEN h WHEN side = 0 THEN h || sib ELSE sib || h END)
+  FROM f JOIN q ON q.g = f.g AND q.r = f.r AND q.j = f.j),
+e AS (SELECT g, r, arg_max(h, j) AS folded_root FROM f GROUP BY g, r),
+x AS (SELECT g, r, sha256(coalesce(string_agg(sib, '' ORDER BY j), '')) AS proof_sha256 FROM q GROUP BY g, r),
+z AS (SELECT d AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s USING (g) JOIN e ON e.g = l.g AND e.r = l.r LEFT JOIN x ON x.g = l.g AND x.r = l.r JOIN z ON true
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_warc": OP10, "op11_merkle_manifest": OP11, "op2_preferences": OP2, "op3_decontaminate": OP3, "op5_quality_rules": OP5}

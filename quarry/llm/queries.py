@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, line_dedup, near_dedup, pairwise_quality, pieces, preferences, quality_rules, suffix_dedup, warc
+from . import decontaminate, html_extract, licenses, line_dedup, merkle, near_dedup, pairwise_quality, pieces, preferences, quality_rules, suffix_dedup, warc
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -85,6 +85,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = {"n_chars": F.when(more, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered).drop("proof")
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -92,5 +98,5 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op4_near_dedup, op5_quality_rules, op6_html_extract, op7_pairwise_quality, op8_sentencepiece, op9_licenses, op10_warc, op12_suffix_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_preferences, op3_decontaminate, op4_near_dedup, op5_quality_rules, op6_html_extract, op7_pairwise_quality, op8_sentencepiece, op9_licenses, op10_warc, op11_merkle_manifest, op12_suffix_dedup)
 }
