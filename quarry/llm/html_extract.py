@@ -9,9 +9,11 @@ blocks of an article or main element are the article. As tables may know one lay
 their blocks are also laid out anew in other ways (by tags or class words only, with
 notices, forms, sidebars, related links and reader comments), with the labels they have.
 
+The time that a page takes is in proportion to its length, however broken its markup is.
+
 Defined results: null and empty html, and pages without an article, give the empty text;
-rows are kept one for one, null ids and repeated rows included; broken markup is read as
-far as it goes; an empty table gives an empty table; further columns are ignored.
+rows are kept one for one, null ids and repeated rows included; a head ends, without its end
+tag, at the first text or element that it can't hold; broken markup is read as far as it goes; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -56,8 +59,12 @@ NAMES = tuple(
     + [f"words:{k}" for k in range(7)] + [f"links:{k}" for k in range(4)] + ["sentence", "copyright", "upper", "digits", "hidden", "first", "last", "deep"]
 )
 INDEX = {n: k for k, n in enumerate(NAMES)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Elements that a head may hold; any other one ends it, as does text.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_TELLING = frozenset("class id role itemprop style hidden aria-hidden".split())
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -74,24 +81,98 @@ def _said(attributes: str) -> tuple[frozenset[str], bool]:
     said, hidden = set(), False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
+        if name not in _TELLING:
+            continue
         if name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             hidden = True
-        else:
+        elif name != "aria-hidden":
             said |= {_GROUP[w] for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w in _GROUP}
     return frozenset(said), hidden
 
 
+def tokens(page: str) -> Iterator[tuple[str, bool, str, int]]:
+    """(tag in lower case or empty for text, whether it ends an element, attributes or text, place behind it); the caller may send a place to go on from.
+
+    Each character is looked at a bounded number of times: no tag is sought behind the last
+    ``>``, and once a quote within a tag has turned out to have no end, tags end at the next ``>``.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    while at < n:
+        begin = page.find("<", at) if at < last else -1
+        if begin != at:
+            begin = n if begin < 0 else begin
+            yield "", False, page[at:begin], begin
+            at = begin
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page[at + 1] in "!?":
+            at = page.index(">", at) + 1
+            continue
+        m = _TAG.match(page, at) if quotes else None
+        if m:
+            closes, name, attributes, at = m[1], m[2], m[3], m.end()
+        else:
+            m = _NAME.match(page, at)
+            if not m:
+                yield "", False, "<", at + 1
+                at += 1
+                continue
+            quotes = False
+            end = page.index(">", m.end())
+            closes, name, attributes, at = m[1], m[2], page[m.end() : end], end + 1
+        at = (yield name.lower(), bool(closes), attributes, at) or at
+
+
+@dataclass(frozen=True)
+class Above:
+    """What the open elements say: the innermost one's tag, all tags, class words of all and of the last two, whether one is hidden, how many there are."""
+
+    tag: str
+    tags: frozenset[str]
+    said: frozenset[str]
+    near: tuple[frozenset[str], frozenset[str]]
+    hidden: bool
+    deep: int
+
+    def with_element(self, tag: str, said: frozenset[str], hidden: bool) -> Above:
+        tags = self.tags if tag in self.tags else self.tags | {tag}
+        return Above(tag, tags, self.said if said <= self.said else self.said | said, (self.near[1], said), self.hidden or hidden, self.deep + 1)
+
+
+_NONE = Above("body", frozenset(), frozenset(), (frozenset(), frozenset()), False, 0)
+
+
+class _Open(list):
+    """Open elements, with how many there are of each tag, so that an end without a begin costs nothing."""
+
+    def __init__(self) -> None:
+        self.count: Counter[str] = Counter()
+
+    def add(self, tag: str, what) -> None:
+        self.append((tag, what))
+        self.count[tag] += 1
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of this tag and all within it."""
+        if self.count[tag]:
+            gone = ""
+            while gone != tag:
+                gone = self.pop()[0]
+                self.count[gone] -= 1
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order."""
-    found: list[tuple[str, str, tuple, int, int]] = []
-    stack: list[tuple[str, frozenset, bool]] = []
+    found: list[tuple[str, Above, int, int]] = []
+    stack, skip = _Open(), _Open()
     parts: list[str] = []
     linked = in_link = 0
     page = page or ""
-    at, n = 0, len(page)
-    skip: list[str] = []
 
     def flush():
         nonlocal parts, linked
@@ -99,78 +180,74 @@ def blocks(page: str | None) -> list[Block]:
             raw = "".join(parts)
             text = " ".join(entities.unescape(raw).split())
             if text:
-                found.append((text, stack[-1][0] if stack else "body", tuple(stack), linked, len(raw)))
+                found.append((text, stack[-1][1] if stack else _NONE, linked, len(raw)))
             parts, linked = [], 0
 
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if not skip and m[0][:2] != "<!" and m[0][:2] != "<?":
-                parts.append(m[0])
+    stream, go_on = tokens(page), None
+    while True:
+        try:
+            tag, closes, said, at = stream.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if not tag:
+            if skip and skip[-1][0] == "head" and not said.isspace():
+                skip.close("head")
+            if not skip:
+                parts.append(said)
                 if in_link:
-                    linked += len(m[0])
+                    linked += len(said)
             continue
-        tag = tag.lower()
-        if m[1]:  # an end
-            if tag in skip:
-                while skip and skip.pop() != tag:
-                    pass
+        if closes:
+            if skip.count[tag]:
+                skip.close(tag)
             elif skip:
                 continue
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                stack.close(tag)
             elif tag == "a":
                 in_link = 0
             continue
-        empty = m[3].endswith("/")
+        empty = said.endswith("/")
         if tag in _RAW and not empty:  # nothing inside is markup
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            go_on = end.end() if end else len(page)
             continue
+        if tag == "body":
+            while skip:
+                skip.close(skip[-1][0])
+        if skip and skip[-1][0] == "head" and tag not in _HEAD:
+            skip.close("head")
         if skip:
-            if tag == "body":
-                skip.clear()
-            else:
-                if tag in SKIPPED and not empty:
-                    skip.append(tag)
-                continue
+            if tag in SKIPPED and not empty:
+                skip.add(tag, None)
+            continue
         if tag in SKIPPED:
             if not empty:
-                skip.append(tag)
+                skip.add(tag, None)
         elif tag in BLOCKS:
             flush()
             while stack and stack[-1][0] == "p":
-                stack.pop()  # a paragraph ends where a block begins
+                stack.close("p")  # a paragraph ends where a block begins
             if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                stack.pop()
+                stack.close(tag)
             if tag == "body":
                 in_link = 0
             if tag != "hr" and not empty:
-                stack.append((tag, *_said(m[3])))
+                stack.add(tag, (stack[-1][1] if stack else _NONE).with_element(tag, *_said(said)))
         elif tag == "a":
             in_link = 1
         elif tag in ("br", "img", "wbr"):
             parts.append(" ")
     flush()
-    return [Block(text, _features(text, leaf, above, linked, size, k, len(found))) for k, (text, leaf, above, linked, size) in enumerate(found)]
-
-
-def _features(text: str, leaf: str, above: tuple, linked: int, size: int, k: int, n: int) -> list[int]:
-    on = {"bias"}
-    for tag, said, hidden in above:
-        on.add(f"in:{tag}")
-        on.update(f"class:{g}" for g in said)
-        if hidden:
-            on.add("hidden")
-    for _, said, _ in above[-2:]:
-        on.update(f"near:{g}" for g in said)
-    on.add(f"leaf:{leaf}")
+    return [Block(text, _features(text, above, linked, size, k, len(found))) for k, (text, above, linked, size) in enumerate(found)]
+
+
+def _features(text: str, above: Above, linked: int, size: int, k: int, n: int) -> list[int]:
+    on = {"bias", f"leaf:{above.tag}", *(f"in:{t}" for t in above.tags), *(f"class:{g}" for g in above.said), *(f"near:{g}" for said in above.near for g in said)}
+    if above.hidden:
+        on.add("hidden")
     words = text.count(" ") + 1
     on.add(f"words:{min(6, words.bit_length() - 1)}")
     share = linked / max(size, 1)
@@ -187,7 +264,7 @@ def _features(text: str, leaf: str, above: tuple, linked: int, size: int, k: int
         on.add("first")
     if k == n - 1:
         on.add("last")
-    if len(above) > 6:
+    if above.deep > 6:
         on.add("deep")
     return [INDEX[x] for x in on if x in INDEX]
 
