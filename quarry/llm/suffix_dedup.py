@@ -44,8 +44,9 @@ from .common import row_key
 
 MIN_LENGTH = 50
 GRAM = 24
-#: Bytes of text of a group and of a bucket, about; there are as many of each as partitions of a shuffle at least.
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Bytes of text of a group and of a bucket, about. There are twice as many groups, and as many buckets, as partitions of a
+#: shuffle at least; what groups and buckets exchange is a row for each two of them, which should be long.
+GROUP_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
 #: Groups that have a minimizer, beyond which its stretches are dealt as single windows.
 HOT = 2_000
 #: Bytes of stretches whose suffixes are sorted at once.
@@ -169,6 +170,15 @@ def _from_bits(data: bytes, n: int, at: int = 0) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes before all second ones and so on: small numbers then compress well."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
+
+
 def _posts(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     group, bucket, data = zip(*rows) if rows else ((), (), ())
     return pa.table({"grp": pa.array(group, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "data": pa.array(data, pa.binary())})
@@ -200,7 +210,7 @@ def _answer_hashes(key, posts: pa.Table, hot: int) -> pa.Table:
 def _post_stretches(key, docs: pa.Table, answers: pa.Table, min_length: int, buckets: int, **how) -> pa.Table:
     """A group's distinct stretches of shared minimizers, and who has them, which comes back with the answers.
 
-    For a bucket: number, smallest ids, numbers of windows, 40 bits of the minimizers, texts.
+    For a bucket: number, smallest ids, numbers of windows, 16 bits of the minimizers, texts.
     """
     if not docs.num_rows:
         return _posts([])
@@ -238,10 +248,13 @@ def _post_stretches(key, docs: pa.Table, answers: pa.Table, min_length: int, buc
     begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, int)
     rows = []
     for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)]):
-        head = np.int64(e - b).tobytes() + least[b:e].tobytes() + size[b:e].astype("<u4").tobytes() + _five(value[b:e])
-        rows.append((number, int(bucket[b]), head + b"".join(text[x] for x in posted[b:e].tolist())))
-    holders = np.int64(len(of)).tobytes() + np.int64(len(size)).tobytes() + size.astype("<u4").tobytes() + least.tobytes()
-    holders += rank[of].astype("<u4").tobytes() + doc.astype("<u4").tobytes() + begin.astype("<i8").tobytes()
+        head = np.int64(e - b).tobytes() + _planes(least[b:e]) + size[b:e].astype("<u4").tobytes() + value[b:e].astype("<u2").tobytes()
+        rows.append((number, int(bucket[b]), head + pa.compress(b"".join(text[x] for x in posted[b:e].tolist()), "zstd", asbytes=True)))
+    # by document and place, as distances
+    order = np.lexsort((begin, doc))
+    holders = np.array([len(of), len(size)], np.int64).tobytes() + size.astype("<u4").tobytes()
+    for values in (rank[of][order], np.diff(doc[order], prepend=0), np.diff(begin[order], prepend=0)):
+        holders += _planes(values)
     rows.append((number, buckets + number, holders))
     return _posts(rows)
 
@@ -345,18 +358,18 @@ def _answer_stretches(key, posts: pa.Table, min_length: int, buckets: int) -> pa
     of, own, counts, values = [], [], [], []
     for d in data:
         n = int(np.frombuffer(d, np.int64, 1)[0])
-        own.append(np.frombuffer(d, np.int64, n, 8))
+        own.append(_from_planes(d, n, 8))
         count = np.frombuffer(d, "<u4", n, 8 + 8 * n).astype(np.int64)
-        values.append(_from_five(d, n, 8 + 12 * n))
-        ends = 8 + 17 * n + np.cumsum(count + min_length - 1)
-        at = [8 + 17 * n, *ends.tolist()]
-        of.append(np.fromiter((place.setdefault(d[b:e], len(place)) for b, e in zip(at, at[1:])), np.int64, n))
+        values.append(np.frombuffer(d, "<u2", n, 8 + 12 * n))
+        at = [0, *np.cumsum(count + min_length - 1).tolist()]
+        text = pa.decompress(d[8 + 14 * n :], at[-1], "zstd", asbytes=True)
+        of.append(np.fromiter((place.setdefault(text[b:e], len(place)) for b, e in zip(at, at[1:])), np.int64, n))
         counts.append(count)
     every, value = np.concatenate(of), np.concatenate(values)
     least = np.full(len(place), LAST)
     np.minimum.at(least, every, np.concatenate(own))
     texts = list(place)
-    minimizer = np.empty(len(texts), _U)
+    minimizer = np.empty(len(texts), np.uint16)  # bits of it: what is equal goes into one share
     minimizer[every] = value
     # shares of the bucket: all stretches of a minimizer are in one
     order = np.argsort(minimizer, kind="stable")
@@ -390,20 +403,21 @@ def _cut(docs: pa.Table, answers: pa.Table, min_length: int) -> pa.Table:
         holders = told.pop()[1]
         m, n = np.frombuffer(holders, np.int64, 2).tolist()
         size = np.frombuffer(holders, "<u4", n, 16).astype(np.int64)
-        least = np.frombuffer(holders, np.int64, n, 16 + 4 * n)
-        of, doc = np.frombuffer(holders, "<u4", m, 16 + 12 * n), np.frombuffer(holders, "<u4", m, 16 + 12 * n + 4 * m)
-        begin = np.frombuffer(holders, "<i8", m, 16 + 12 * n + 8 * m)
+        of, doc, begin = (_from_planes(holders, m, 16 + 4 * n + 8 * m * k) for k in range(3))
+        doc, begin = np.cumsum(doc), np.cumsum(begin)
+        order = np.array([LAST if r[1] is None else r[1] for r in rows], np.int64)
+        least = np.full(n, LAST)
+        np.minimum.at(least, of, order[doc])
         # bits come bucket by bucket, in the order in which the stretches were posted
         bits = np.concatenate([np.unpackbits(np.frombuffer(d[8:], np.uint8), count=int(np.frombuffer(d, np.int64, 1)[0])) for _, d in told]) if told else np.empty(0, np.uint8)
         start = np.cumsum(size) - size
-        order = np.array([LAST if r[1] is None else r[1] for r in rows], np.int64)
         count = size[of]
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         dropped = bits[np.repeat(start[of], count) + offset].astype(bool) | np.repeat(order[doc] > least[of], count)
         windows = (np.repeat(begin, count) + offset)[dropped]
         np.add.at(gone, windows, 1)
         np.add.at(gone, windows + min_length, -1)
-    covered = np.concatenate(([False], np.cumsum(gone[:-1]) > 0, [False]))
+    covered = np.concatenate(([False], np.cumsum(gone[:-1], out=gone[:-1]) > 0, [False]))
     # no window crosses the end of a document, so a span that reaches it ends there
     edges = np.flatnonzero(covered[1:] != covered[:-1])
     inner = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(data))] if len(ends) else np.empty(0, np.int64)
@@ -431,7 +445,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
     id_type = docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = max(4 * tasks, total // GROUP_BYTES), max(tasks, total // BUCKET_BYTES)
+    groups, buckets = max(2 * tasks, total // GROUP_BYTES), max(tasks, total // BUCKET_BYTES)
     how = {"min_length": min_length, "gram": gram, "buckets": buckets}
     key = row_key(F.col(id_col), F.col(text_col))
     keyed = docs.select(key.alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
