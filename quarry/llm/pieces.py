@@ -28,6 +28,7 @@ from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,8 +36,8 @@ MARK = "▁"
 NORMAL, CONTROL, BYTE, UNKNOWN = range(4)
 #: Stretches that each of two generations of the cache may hold.
 CACHE_ENTRIES = 60_000
-#: Characters of text that go through a worker at once.
-SLICE_CHARS = 4_000_000
+#: Bytes of text that go through a worker at once.
+SLICE_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -263,11 +264,10 @@ def _coder(v: Vocabulary) -> Coder:
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Parts of batches with a bounded amount of text each, but a row at least."""
     for batch in batches:
-        sizes = batch.column(column).cast(pa.large_string()).to_pylist() if batch.num_rows else []
         begin, held = 0, 0
-        for k, text in enumerate(sizes):
-            held += len(text or "")
-            if held >= SLICE_CHARS:
+        for k, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            held += size or 0
+            if held >= SLICE_BYTES:
                 yield batch.slice(begin, k + 1 - begin)
                 begin, held = k + 1, 0
         if begin < batch.num_rows:
@@ -291,6 +291,8 @@ def _both(batches: Iterator[pa.RecordBatch], v: Vocabulary, text_col: str, keep:
             columns.append(pa.array(texts, pa.string()))
             names.append("decoded")
         yield pa.RecordBatch.from_arrays(columns, names)
+        del columns, flat, made, texts, batch
+        pa.default_memory_pool().release_unused()  # else the pool keeps what the largest batches took
     coder.forget()  # a worker that waits for the next task holds little
 
 
