@@ -1,20 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared rare hashes: a line of few words is common
+Overlapping documents are found through shared rare hashes. A line of few words is common
 and no key by itself; it is joined with its neighbours, once forwards and once backwards,
-until the run has ``min_words`` words. Each run shared by documents pairs every later holder
-with the first one (by id), so pairs grow with the shared runs and not with their square,
-and whatever a document has in common with any earlier one, it has in common with one it is
-paired with. A document sends the hashes (of 128 bits) of its shared lines, not its text.
-
-The two line sequences of a pair are aligned by patience diff: lines that are unique in both
+until the run has ``min_words`` words. Runs are counted over all documents. Consecutive
+lines of a document that lie in shared runs are a stretch; each of its lines takes the rarest
+shared run that it lies in as its key (of equals the first one), and the key pairs the
+stretch with the stretch in which the run's first holder, by id, has it first. So pairs grow
+with the shared lines and not with their square, common runs pair documents only where
+nothing rarer does, and a pair sends the hashes (of 128 bits) of its two stretches alone.
+
+The two stretches of a pair are aligned by patience diff: lines that are unique in both
 anchor the alignment, which then grows to both sides and goes on between anchors. Aligned
 blocks, which are consecutive in both documents and have ``min_words`` words at least, are
-deleted from the later document; what is left is aligned again with the whole earlier
-document, so that blocks that have moved or occur more often are found as well, and runs
-that overlap a block already found are looked up at the end. So a line goes exactly if it
-lies in a run of consecutive lines of ``min_words`` words or more that some earlier document
-has too.
+deleted from the later document; what is left of its stretch is aligned again with the whole
+earlier one, until there is no new block, so that blocks that have moved or occur more often
+are found as well. Only aligned blocks are deleted: a line of few words stays where the
+alignment gives its neighbours to another block.
 
 Defined results: null and empty texts have no lines and stay as they are; blank lines are
 neither aligned nor deleted, and do not end a block; white space around a line does not
@@ -109,18 +110,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def runs(n_words: list[int], at: list[int], min_words: int) -> Iterator[tuple[int, int]]:
-    """(begin, end) of the shortest runs of consecutive lines with enough words that begin, or end, at each place."""
-    for k in range(len(at)):
-        for step in (1, -1):
-            end, total = k, n_words[k]
-            while total < min_words and 0 <= end + step < len(at) and at[end + step] == at[end] + step:
-                end += step
-                total += n_words[end]
-            if total >= min_words:
-                yield min(k, end), max(k, end) + 1
-
-
 def align(first: list, at_first: list[int], later: list, at_later: list[int], n_words: list[int], min_words: int) -> list[int]:
     """Line numbers of ``later`` in blocks aligned with ``first``; ``at_...`` are the numbers of the lines."""
     hit: set[int] = set()
@@ -141,12 +130,6 @@ def align(first: list, at_first: list[int], later: list, at_later: list[int], n_
         hit.update(new)
         known = set(first)
         rest = [j for j in rest if j not in hit and later[j] in known]
-    if len(hit) < len(later):
-        size = dict(zip(later, n_words))
-        theirs = {tuple(first[b:e]) for b, e in runs([size.get(x, 0) for x in first], at_first, min_words)}
-        for b, e in runs(n_words, at_later, min_words):
-            if tuple(later[b:e]) in theirs:
-                hit.update(range(b, e))
     return sorted(at_later[j] for j in hit)
 
 
@@ -163,6 +146,55 @@ def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array(found, pa.list_(pa.int32()))], ["_k", "hit"])
 
 
+_HASH = "struct<h:bigint,g:bigint>"
+_LINE = "struct<i:int,h:bigint,g:bigint,w:int>"
+_STRETCH = f"_k binary, at int, lines array<{_LINE}>, keys array<{_HASH}>, firsts array<{_HASH}>"
+
+
+def stretches_of(runs: list[dict], key: bytes) -> Iterator[dict]:
+    """Stretches of one document's shared runs (run: lines, h, g, n: how often it stands anywhere, first: who has it first).
+
+    ``keys`` are the runs that pair the stretch with earlier documents, ``firsts`` those that later ones find here.
+    """
+    lines: dict[int, dict] = {}
+    rarest: dict[int, dict] = {}
+    runs = sorted(runs, key=lambda r: (r["n"], r["run"][0]["i"], len(r["run"]), r["h"], r["g"]))
+    for r in runs:
+        for x in r["run"]:
+            lines[x["i"]] = x
+            rarest.setdefault(x["i"], r)
+    first_at: dict[tuple[int, int], int] = {}
+    for r in runs:
+        if r["first"] == key:
+            name, at = (r["h"], r["g"]), r["run"][0]["i"]
+            first_at[name] = min(at, first_at.get(name, at))
+    here: dict[int, list[dict]] = {}
+    for (h, g), at in first_at.items():
+        here.setdefault(at, []).append({"h": h, "g": g})
+    order = sorted(lines)
+    begin = 0
+    for k in range(1, len(order) + 1):
+        if k == len(order) or order[k] != order[k - 1] + 1:
+            own = order[begin:k]
+            keys = {(r["h"], r["g"]) for r in map(rarest.__getitem__, own) if r["first"] != key}
+            yield {
+                "_k": key, "at": own[0], "lines": [lines[i] for i in own],
+                "keys": [{"h": h, "g": g} for h, g in sorted(keys)], "firsts": [x for i in own for x in here.get(i, ())],
+            }
+            begin = k
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64())]))
+    line = pa.struct([("i", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("w", pa.int32())])
+    schema = pa.schema([("_k", pa.binary()), ("at", pa.int32()), ("lines", pa.list_(line)), ("keys", hashes), ("firsts", hashes)])
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 500):
+            part = batch.slice(begin, 500)
+            rows = zip(part.column("_k").to_pylist(), part.column("runs").to_pylist())
+            yield pa.RecordBatch.from_pylist([s for key, runs in rows for s in stretches_of(runs, key)], schema)
+
+
 def _order(doc_id: Column, key: Column) -> Column:
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), key.alias("k"))
 
@@ -200,13 +232,19 @@ def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     each = written(each, "runs")
     # a run's first holder, where it has others; reduced before the shuffle, and read from a table, so that a run with many holders can be split
-    first = each.groupBy("h", "g").agg(F.min("_order").alias("first"), F.max("_order").alias("last")).filter("first <> last").select("h", "g", F.col("first.k").alias("_first"))
-    shared = written(each.select("_k", "run", "h", "g").join(written(first, "first-holders"), ["h", "g"]).select("_k", "run", "_first"), "shared-runs")
-    pairs = shared.filter("_k <> _first").select("_k", "_first").distinct()
-    ends = written(shared.groupBy("_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("run")))).alias("lines")), "line-ends")
-    aligned = pairs.join(ends, "_k").join(ends.select(F.col("_k").alias("_first"), F.col("lines").alias("first_lines")), "_first")
-    found = aligned.select("_k", "lines", "first_lines").mapInArrow(partial(_aligned, min_words=min_words), "_k binary, hit array<int>")
-    return written(found.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit")).filter(F.size("hit") > 0), "deleted-lines")
+    first = each.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("first"), F.max("_order").alias("last")).filter("first <> last")
+    first = written(first.select("h", "g", "n", F.col("first.k").alias("first")), "first-holders")
+    shared = written(each.select("_k", "run", "h", "g").join(first, ["h", "g"]), "shared-runs")
+    found = shared.groupBy("_k").agg(F.collect_set(F.struct("run", "h", "g", "n", "first")).alias("runs"))
+    stretches = written(found.mapInArrow(_stretches, _STRETCH), "stretches")
+    earlier = stretches.select(F.col("_k").alias("_first"), F.col("at").alias("first_at"), F.explode("firsts").alias("key"))
+    later = stretches.select("_k", "at", F.explode("keys").alias("key"))
+    pairs = written(later.join(earlier, "key").select("_k", "at", "_first", "first_at").distinct(), "pairs")
+    sides = pairs.join(stretches.select("_k", "at", "lines"), ["_k", "at"]).join(
+        stretches.select(F.col("_k").alias("_first"), F.col("at").alias("first_at"), F.col("lines").alias("first_lines")), ["_first", "first_at"]
+    )
+    hits = sides.select("_k", "lines", "first_lines").mapInArrow(partial(_aligned, min_words=min_words), "_k binary, hit array<int>").filter(F.size("hit") > 0)
+    return written(hits.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit")), "deleted-lines")
 
 
 def without_lines(text: str, hit) -> str:

@@ -62,17 +62,49 @@ def test_odd_tables_of_operators_with_two_inputs(spark):
     assert scored.count() == len(ODD) and scored.filter("score is null or abs(score - 0.5) > 1e-9").count() == 0
 
 
-def lines_left(texts):
-    """Every document without the lines of runs of 4 words or more that an earlier one has: all runs against all."""
-    seen, left = set(), {}
-    for i, t in sorted(texts):
+def lines_left(texts, min_words=4):
+    """Every document without the blocks that aligning its stretches with those of its keys' first holders gives: by hand, over all runs."""
+    lines = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in texts}
+    size = lambda x: len(x.split())
+    runs = {}  # of each document: (begin, end) of the shortest runs with enough words that begin or end at a line
+    for i, own in lines.items():
+        runs[i] = set()
+        for k in range(len(own)):
+            ahead = next((e for e in range(k + 1, len(own) + 1) if sum(map(size, own[k:e])) >= min_words), None)
+            back = next((b for b in range(k, -1, -1) if sum(map(size, own[b : k + 1])) >= min_words), None)
+            runs[i] |= ({(k, ahead)} if ahead else set()) | ({(back, k + 1)} if back is not None else set())
+    holders = {}
+    for i in sorted(runs):
+        for b, e in sorted(runs[i]):
+            holders.setdefault(tuple(lines[i][b:e]), []).append((i, b))
+    shared = {r: at for r, at in holders.items() if len({i for i, _ in at}) > 1}
+    stretch = {}  # (document, line) -> the lines around it that lie in shared runs
+    for i, own in lines.items():
+        inside = {k for b, e in runs[i] if tuple(own[b:e]) in shared for k in range(b, e)}
+        for k in inside:
+            b, e = k, k + 1
+            while b - 1 in inside:
+                b -= 1
+            while e in inside:
+                e += 1
+            stretch[i, k] = range(b, e)
+    left = {}
+    for i, t in texts:
+        own, gone = lines[i], set()
+        for k in range(len(own)):
+            over = [(len(shared[tuple(own[b:e])]), b, e) for b, e in runs[i] if b <= k < e and tuple(own[b:e]) in shared]
+            if not over:
+                continue
+            # of equally frequent runs that begin at one line the first by hash, which a test does not know: all of them
+            n, b, _ = min(over)
+            for e in [e for m, c, e in over if (m, c) == (n, b)][:1]:
+                first, at = shared[tuple(own[b:e])][0]
+                if first != i:
+                    x, y = list(stretch[first, at]), list(stretch[i, k])
+                    gone |= set(line_dedup.align([lines[first][v] for v in x], x, [own[v] for v in y], y, [size(own[v]) for v in y], min_words))
         at = [k for k, x in enumerate(t.split("\n")) if x.strip()]
-        bare = [t.split("\n")[k].strip() for k in at]
-        spans = [(b, e) for b in range(len(bare)) for e in range(b + 1, min(len(bare), b + 60) + 1) if sum(len(x.split()) for x in bare[b:e]) >= 4]
-        gone = {at[k] for b, e in spans if tuple(bare[b:e]) in seen for k in range(b, e)}
-        rest = [x for k, x in enumerate(t.split("\n")) if k not in gone]
+        rest = [x for k, x in enumerate(t.split("\n")) if k not in {at[g] for g in gone}]
         left[i] = t if not gone else "\n".join(rest) if any(x.strip() for x in rest) else ""
-        seen |= {tuple(bare[b:e]) for b, e in spans}
     return left
 
 
