@@ -97,20 +97,20 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _made_periodic(doc_id: Column, text: Column) -> Column:
-    """The text of one document in ten, its words from place a on repeated with period p, as the contract fixes it."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = ((h - h % 10) / 10).cast("long")
-    words = F.regexp_extract_all(text, F.lit(NOT_BLANK), F.lit(0))
-    n = F.size(words)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    made = F.concat(F.slice(words, F.lit(1), a), F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % p)))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), of one document in ten with its words from place a on repeated with period p, as the contract fixes it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(NOT_BLANK), F.lit(0))).alias("_words"))
+    g, n = ((F.col("_h") - F.col("_h") % 10) / 10).cast("long"), F.size("_words")
+    placed = chosen.select("doc_id", "text", "_words", n.alias("_n"), (g % n).cast("int").alias("_a"), g.alias("_g"))
+    a, n = F.col("_a"), F.col("_n")
+    p = (1 + F.floor((n - a) / (3 + F.col("_g") % 8))).cast("int")
+    made = F.concat(F.slice("_words", F.lit(1), a), F.transform(F.sequence(a, n - 1), lambda i: F.get("_words", a + (i - a) % p)))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", _made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    docs = _made_periodic(table(spark, sf_dir, "documents"))
     found = periodic_runs.periodic(docs)
     runs = F.col("runs")
     # exact comparison: length / period is greater if the products crosswise are; runs come by start and period, so the first of equals stays
