@@ -163,7 +163,8 @@ INCIDENT_FIELDS = {
     "장애번호": "incident_id", "incident_id": "incident_id", "시스템": "system", "system": "system", "제품": "product", "product": "product", "버전": "version", "version": "version",
     "증상": "symptom", "symptom": "symptom", "원인": "cause", "cause": "cause", "조치": "action", "action": "action", "결과": "result", "result": "result",
 }
-_LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: A field of an incident; exceptions and codes in Java code.
 _KEYED = r"(?U)^\s*([^:：]{1,40})\s*[:：]\s*(.+?)\s*$"
 JAVA_EXCEPTION = r"(?U)\b(?:[A-Za-z_$][\w.$]*)?(?:Exception|Error|Throwable)\b"
 JAVA_CODE = r"(?U)\b(?:ORA-\d{5}|SQLSTATE[=: ]+[0-9A-Z]{5}|[A-Z]{3,8}\d{3,6}[A-Z]?|SQLCODE[=: ]+-?\d+)\b"
@@ -181,7 +182,7 @@ def blocks(text: Column) -> Column:
 def incident_fields(block: Column) -> Column:
     """An incident's eight fields from ``key: value`` lines, as an array of one struct; the last of a key wins."""
     known = F.create_map(*[F.lit(x) for pair in INCIDENT_FIELDS.items() for x in pair])
-    pairs = F.transform(F.split(block, _LINE_END), lambda ln: F.struct(
+    pairs = F.transform(F.split(block, LINE_END), lambda ln: F.struct(
         F.try_element_at(known, F.lower(strip(F.regexp_extract(ln, _KEYED, 1)))).alias("key"), strip(F.regexp_extract(ln, _KEYED, 2)).alias("value"),
     ))
     of = lambda ps, k: F.try_element_at(F.filter(ps, lambda p: p["key"] == k), F.lit(-1))["value"]

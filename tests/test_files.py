@@ -166,9 +166,16 @@ def test_answers(spark):
     page = '<p onclick="x">a &lt; b<script>alert(1)</script><a href="javascript:x">j</a><a href="https://x.org?a=1&b=2">k</a><img src=x></p>'
     rows = spark.createDataFrame([(page,), (None,)], "h string").select(A.sanitized(F.col("h"))).collect()
     assert rows[0][0] == '<p>a &lt; balert(1)<a>j</a><a href="https://x.org?a=1&amp;b=2" target="_blank" rel="noopener noreferrer">k</a></p>' and rows[1][0] == ""
+    unsafe = ["java&#115;cript:x", "java\tscript:x", " JavaScript:x", "data:text/html,x", "javascript&colon;x", ":x", "vbscript:x"]
+    safe = {"/a?b=1&amp;c": "/a?b=1&amp;c", "mailto:a@b": "mailto:a@b", "#x:y": "#x:y"}
+    links = [f"<a href='{u}'>x</a>" for u in [*unsafe, *safe]] + ["<A TITLE='t\"<' data-href=evil:x>y</A><!-- <p> --><br/></br>1 < 2 & 3 &copy;<style>p</style", "<a title='><img src=x onerror=y>'>"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in links], "h string").select(A.sanitized(F.col("h"))).collect()]
+    assert got[: len(unsafe)] == ["<a>x</a>"] * len(unsafe) and got[len(unsafe) : -2] == [f'<a href="{v}">x</a>' for v in safe.values()]
+    assert got[-2:] == ['<a title="t&quot;&lt;">y</a><br>1 &lt; 2 &amp; 3 &copy;p&lt;/style', '<a title="&gt;&lt;img src=x onerror=y&gt;">']
     template = "# 요약\n## 원인\n## 조치"
-    assert A.missing_headings(template, "# 요약\nx\n## 조치\ny") == ["## 원인"] and A.missing_headings(template, "## 원인\n# 요약\n## 조치") == ["## 원인"]
-    assert A.coerced(template, "intro\n## 조치\ndo it\n### more") == f"# 요약\nintro\n\n## 원인\n{A.FILLER}\n\n## 조치\ndo it\nmore"
+    one = lambda of, said: spark.createDataFrame([(said,)], "a string").select(of(F.col("a"), template)).first()[0]
+    assert one(A.missing_headings, "# 요약\nx\n## 조치\ny") == ["## 원인"] and one(A.missing_headings, "## 원인\n# 요약\n## 조치") == ["## 원인"]
+    assert one(A.coerced, "intro\n## 조치\ndo it\n### more") == f"# 요약\nintro\n\n## 원인\n{A.FILLER}\n\n## 조치\ndo it\nmore"
     kept = spark.createDataFrame([("# 요약\n## 원인\n## 조치",), ("x",), (None,)], "a string").select(A.in_template(F.col("a"), template)).collect()
     assert kept[0][0] == template and kept[1][0].startswith("# 요약\nx") and kept[2][0] is None
     ips = ["10.0.0.255", "256.1.1.1", "fe80::1", "::1", "1::2::3", "unknown", None, "2001:DB8:0:0:0:0:0:1"]
