@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import admin, analysis, answers, content, lifecycle, search  # noqa: F401
+from . import admin, analysis, answers, content, indexed, lifecycle, search  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
