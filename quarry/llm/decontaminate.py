@@ -12,9 +12,10 @@ rarest in the corpus. Steps:
 4. the words at the place are compared with the window, word for word.
 
 Documents are cut into pieces of ``STEP`` words, with the words around them that a window
-can reach, so that no row carries a long text. Prefixes are broadcast after they have been
-counted; beyond ``broadcast_limit`` of them ids and hashes of shingles are shuffled instead,
-and the places found are joined with their pieces. Both ways give the same rows.
+can reach, so that no row carries a long text. Equal windows are one, whichever items have them. The
+shingles of windows, and later the prefixes, are broadcast after each has been counted; beyond
+``broadcast_limit`` of them ids and hashes of shingles are shuffled instead, and the places
+found are joined with their pieces. Both ways give the same rows.
 
 Defined results: null or empty texts have no words and are never hit; items without words
 are ignored; rows equal in id and text share one result; null ids are documents like any
@@ -35,12 +36,12 @@ STEP = 256
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, w: the words of one window, len)."""
+    """(item_id, w: the words of one window, len, wid: 128 bits that equal windows share)."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("_w")).filter(F.size("_w") > 0)
     n = F.least(F.size("_w"), F.lit(window))
     return items.select(
         "item_id", "_w", n.alias("len"), F.explode(F.sequence(F.lit(0), F.size("_w") - n)).alias("_at")
-    ).select("item_id", F.slice("_w", F.col("_at") + 1, F.col("len")).alias("w"), "len").distinct()
+    ).select("item_id", F.slice("_w", F.col("_at") + 1, F.col("len")).alias("w"), "len").distinct().withColumn("wid", F.unhex(F.md5(F.array_join("w", " ").cast("binary"))))
 
 
 def _shingles(w: Column, size: Column | int, last: Column) -> Column:
@@ -67,8 +68,9 @@ def _places(docs: DataFrame, window: int, sizes: list[int]) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_limit: int = 200_000) -> DataFrame:
     """Places (_k, start, len, item_id) of windows in documents; ``docs`` has (_k, _text)."""
-    per_window = windows(benchmark, window).withColumn("size", F.least(F.col("len"), F.lit(SHINGLE)))
-    cut = per_window.select("item_id", "w", "len", "size", F.posexplode(_shingles(F.col("w"), F.col("size"), F.col("len") - F.col("size"))).alias("offset", "s"))
+    per_item = written(windows(benchmark, window), "benchmark-windows")
+    each = per_item.groupBy("wid").agg(F.first("w").alias("w"), F.first("len").alias("len")).withColumn("size", F.least(F.col("len"), F.lit(SHINGLE)))
+    cut = each.select("wid", "w", "len", "size", F.posexplode(_shingles(F.col("w"), F.col("size"), F.col("len") - F.col("size"))).alias("offset", "s"))
     cut = written(cut, "benchmark-shingles")
     keys = cut.select("size", "s").distinct()
     small = keys.count() <= broadcast_limit
@@ -79,11 +81,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadca
         rarity = shingles.join(F.broadcast(keys), ["size", "s"]).groupBy("size", "s").count()
     else:  # counted before they are shuffled
         rarity = shingles.groupBy("size", "s").count().join(keys, ["size", "s"])
-    ranked = cut.join(written(rarity, "shingle-counts"), ["size", "s"]).groupBy("item_id", "w", "len", "size").agg(
+    ranked = cut.join(written(rarity, "shingle-counts"), ["size", "s"]).groupBy("wid", "w", "len", "size").agg(
         F.count(F.lit(1)).alias("present"), F.min(F.struct("count", "offset", "s")).alias("first")
     ).filter(F.col("present") == F.col("len") - F.col("size") + 1)  # else a shingle of the window is nowhere
-    prefix = written(ranked.select("item_id", "w", "len", "size", F.col("first.offset").alias("offset"), F.col("first.s").alias("s")), "prefixes")
+    prefix = written(ranked.select("wid", "w", "len", "size", F.col("first.offset").alias("offset"), F.col("first.s").alias("s")), "prefixes")
 
+    small = prefix.count() <= broadcast_limit  # one for each distinct window, however many items have it
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
     same = F.slice("_p", F.col("start") - F.col("base") + 1, F.col("len")) == F.col("w")
@@ -91,9 +94,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadca
         found = shingles.join(F.broadcast(prefix), ["size", "s"]).filter(fits).withColumn("start", start)
     else:
         found = shingles.select("_k", "n", "pos", "size", "s").join(prefix, ["size", "s"]).filter(fits)
-        found = found.select("_k", start.alias("start"), "len", "item_id", "w", F.floor(start / STEP).cast("int").alias("piece"))
+        found = found.select("_k", start.alias("start"), "len", "wid", "w", F.floor(start / STEP).cast("int").alias("piece"))
         found = found.join(pieces(docs, window).drop("n"), ["_k", "piece"])
-    return found.filter(same).select("_k", "start", "len", "item_id")
+    return found.filter(same).select("_k", "start", "len", "wid").join(per_item.select("wid", "item_id"), "wid").select("_k", "start", "len", "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
