@@ -6,40 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .scans import SPAN, Scan, running
 
 #: Fixed value: where a record of a log begins.
 BOUNDARY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]|^\[?(?:ERROR|WARN|FATAL)\b"
 MARKER = text.MARKER
 
 
-def segments(lines: DataFrame, most: int = 250, before: DataFrame | None = None) -> DataFrame:
-    """Lines with segment and part: a segment begins at a boundary; parts have at most ``most`` lines.
+def numbered(lines: DataFrame, span: int = SPAN) -> DataFrame:
+    """Lines with ``k``, their place in the log from 1 on."""
+    return running(lines, {"k": Scan("sum", F.lit(1).cast("long"))}, span=span)
 
-    ``before`` (log_id, segment, n) has the last segment of a log so far and its number of lines, which these go on with.
-    """
-    order = Window.partitionBy("log_id").orderBy("line_no")
-    begun = lines.withColumn("segment", F.sum(F.col("line").rlike(BOUNDARY).cast("long")).over(order))
-    inside = Window.partitionBy("log_id", "segment").orderBy("line_no")
-    place = F.row_number().over(inside)
-    if before is None:
-        return begun.withColumn("part", F.floor((place - 1) / most).cast("long"))
-    last = before.select("log_id", F.col("segment").alias("_last"), F.col("n").alias("_n"))
-    begun = begun.join(last, "log_id", "left").withColumn("part", F.floor((place - 1 + F.when(F.col("segment") == 0, F.coalesce("_n", F.lit(0))).otherwise(0)) / most).cast("long"))
-    return begun.withColumn("segment", F.col("segment") + F.coalesce("_last", F.lit(0))).drop("_last", "_n")
-
-
-def carried_times(lines: DataFrame) -> DataFrame:
+
+def segments(lines: DataFrame, most: int = 250, span: int = SPAN) -> DataFrame:
+    """Lines with segment and part: a segment begins at a boundary; parts have at most ``most`` lines. One log may be many tasks' work."""
+    begins = F.col("line").rlike(BOUNDARY)
+    placed = running(numbered(lines, span), {"segment": Scan("sum", begins.cast("long")), "_first": Scan("max", F.when(begins, F.col("k")))}, span=span)
+    return placed.withColumn("part", F.floor((F.col("k") - F.coalesce("_first", F.lit(1))) / most).cast("long")).drop("k", "_first")
+
+
+def carried_times(lines: DataFrame, span: int = SPAN) -> DataFrame:
     """Lines with their own time, or else that of the last line that had one."""
-    own = F.nullif(F.regexp_extract("line", text.TIMESTAMP, 0), F.lit(""))
-    order = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("at", F.last(own, ignorenulls=True).over(order))
+    return running(lines, {"at": Scan("last", F.nullif(F.regexp_extract("line", text.TIMESTAMP, 0), F.lit("")))}, span=span)
+
+
+def _near(marked: Column, before: int, after: int) -> tuple[dict[str, Scan], Column]:
+    """Scans over numbered lines, and whether a line stands from ``before`` lines before a marked one to ``after`` behind it."""
+    place = F.when(marked, F.col("k"))
+    scans = {"_marked_before": Scan("max", place), "_marked_behind": Scan("next", place)}
+    near = (F.col("k") - F.col("_marked_before") <= after) | (F.col("_marked_behind") - F.col("k") <= before)
+    return scans, F.coalesce(near, F.col("_marked_before").isNotNull() & (F.col("k") - F.col("_marked_before") <= after), F.lit(False))
 
 
-def around_markers(lines: DataFrame, before: int = 1, after: int = 5) -> DataFrame:
+def around_markers(lines: DataFrame, before: int = 1, after: int = 5, span: int = SPAN) -> DataFrame:
     """Lines near a marker: from one before it to five after."""
-    near = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(-after, before)
-    hit = F.max(F.col("line").rlike(MARKER).cast("int")).over(near)
-    return lines.withColumn("_near", hit).filter("_near = 1").drop("_near")
+    scans, near = _near(F.col("line").rlike(MARKER), before, after)
+    return running(numbered(lines, span), scans, span=span).filter(near).drop("k", *scans)
 
 
 def levels(lines: DataFrame) -> DataFrame:
@@ -84,26 +86,28 @@ def overview(lines: DataFrame) -> DataFrame:
     )
 
 
-def excerpt(lines: DataFrame, budget: int = 16_000, before: int = 1, after: int = 5, head: int = 80, tail: int = 20) -> DataFrame:
+def excerpt(lines: DataFrame, budget: int = 16_000, before: int = 1, after: int = 5, head: int = 80, tail: int = 20, span: int = SPAN) -> DataFrame:
     """(log_id, line_no, line): lines around markers that are spread over the whole log, within a budget of characters.
 
     With more markers than windows these are taken at even places; without any the first and
     last lines are. A line gets its share of the budget, but 200 characters, and 2000 at most.
+    Only the lines chosen so far, a bounded number, meet in one task.
     """
     log = Window.partitionBy("log_id")
     order = log.orderBy("line_no")
     most = min(200, max(1, budget // 1200))
     marked = F.col("line").rlike(MARKER)
-    rows = lines.select("log_id", "line_no", "line", marked.alias("m")).withColumns({"i": F.sum(F.col("m").cast("long")).over(order) - 1, "n": F.count_if("m").over(log), "k": F.row_number().over(order), "total": F.count(F.lit(1)).over(log)})
+    sizes = lines.groupBy(F.col("log_id").alias("_log")).agg(F.count_if(marked).alias("n"), F.count(F.lit(1)).alias("total"))
+    placed = running(lines.select("log_id", "line_no", "line", marked.alias("m")), {"k": Scan("sum", F.lit(1).cast("long")), "i": Scan("sum", F.col("m").cast("long"))}, span=span)
+    rows = placed.join(sizes, F.col("log_id").eqNullSafe(F.col("_log"))).drop("_log").withColumn("i", F.col("i") - 1)
     # marker i is the p-th of ``most`` even places if p * (n - 1) / (most - 1) rounds to it
     p = F.bround(F.col("i") * (most - 1) / F.greatest(F.col("n") - 1, F.lit(1))) if most > 1 else F.lit(0)
-    near = F.lit(False)
+    even = F.lit(False)
     for shift in (-1, 0, 1):
         place = p + shift
-        near = near | ((place >= 0) & (place <= most - 1) & (F.bround(place * (F.col("n") - 1) / max(most - 1, 1)) == F.col("i")))
-    chosen = F.col("m") & ((F.col("n") <= most) | near)
-    rows = rows.withColumn("w", F.max(chosen.cast("int")).over(order.rowsBetween(-after, before)))
-    rows = rows.filter(F.when(F.col("n") > 0, F.col("w") == 1).otherwise((F.col("k") <= head) | (F.col("k") > F.col("total") - tail)))
+        even = even | ((place >= 0) & (place <= most - 1) & (F.bround(place * (F.col("n") - 1) / max(most - 1, 1)) == F.col("i")))
+    scans, near = _near(F.col("m") & ((F.col("n") <= most) | even), before, after)
+    rows = running(rows, scans, span=span).filter(F.when(F.col("n") > 0, near).otherwise((F.col("k") <= head) | (F.col("k") > F.col("total") - tail)))
     cap = F.least(F.greatest(F.floor(F.lit(budget) / F.count(F.lit(1)).over(log)), F.lit(200)), F.lit(2000)).cast("int")
     rows = rows.withColumn("cap", cap).withColumn("line", F.col("line").substr(F.lit(1), F.col("cap")))
     used = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -35,11 +35,12 @@ def log_segments_250(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT log_id, segment, min(line_no) AS first_line, count(*) AS n_lines, nullif(coalesce(nullif(regexp_extract(string_agg(line, chr(10) ORDER BY line_no), '[A-Z]{2,10}-?[0-9]{3,6}[A-Z]?'), ''), regexp_extract(string_agg(line, chr(10) ORDER BY line_no), '[A-Za-z_$][A-Za-z0-9_$.]*(?:Exception|Error)')), '') AS identifier
   FROM (SELECT *, sum(regexp_matches(line, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]|^\\[?(?:ERROR|WARN|FATAL)\\b')::BIGINT) OVER (PARTITION BY log_id ORDER BY line_no)::BIGINT AS segment FROM v_log_lines) GROUP BY log_id, segment""", "log_lines")
 def log_records(spark: SparkSession, d: str) -> DataFrame:
-    """Segments as records, named by their first code or exception."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    records = L.segments(V.log_lines(spark, d)).groupBy("log_id", "segment").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), lines.alias("_text"))
-    code, thrown = F.regexp_extract("_text", text.CODE, 0), F.regexp_extract("_text", text.EXCEPTION, 0)
-    return records.select("log_id", "segment", "first_line", "n_lines", F.coalesce(F.nullif(code, F.lit("")), F.nullif(thrown, F.lit(""))).alias("identifier"))
+    """Segments as records, named by their first code or exception; no segment is gathered."""
+    first = lambda pattern: F.min_by(F.regexp_extract("line", pattern, 0), F.when(F.col("line").rlike(pattern), F.col("line_no")))
+    records = L.segments(V.log_lines(spark, d)).groupBy("log_id", "segment").agg(
+        F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.coalesce(first(text.CODE), first(text.EXCEPTION)).alias("identifier")
+    )
+    return records.select("log_id", "segment", "first_line", "n_lines", "identifier")
 
 
 @query("""SELECT log_id, line_no FROM (SELECT *, max(regexp_matches(line, '""" + L.MARKER + """')::INT) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS near FROM v_log_lines) WHERE near = 1""", "log_lines")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import logs
+from . import stateful
 
 
 def uploads(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 4) -> DataFrame:
@@ -32,14 +32,7 @@ def run_once(stream: DataFrame, target: str, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def segments_once(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Log lines of each batch in segments, which go on where the batches before have ended."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        before = None
-        if number:
-            old = batch.sparkSession.read.parquet(target).filter(F.col("batch") < number).groupBy("log_id", "segment").agg(F.count(F.lit(1)).alias("n"))
-            before = old.groupBy("log_id").agg(F.max(F.struct("segment", "n")).alias("x")).select("log_id", "x.segment", "x.n")
-        logs.segments(batch, before=before).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def segments_once(stream: DataFrame, target: str, checkpoint: str, most: int = 250) -> None:
+    """Log lines in segments, which go on where the batches before have ended: of each open log three numbers are kept."""
+    made = stateful.segmented(stream, most)
+    made.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
