@@ -1,13 +1,15 @@
-"""Document models, chunks along their links."""
+"""Document models, chunks along their links, graphs of versions that had none."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import backfill, links
 from ..operators import docmodel as M
-from ..operators import links
 from ..sources import views as V
+from ..sources.snapshots import Store
+from ..sources.store import new_folder
 from ..sources.tables import read
 from .registry import query
 
@@ -51,3 +53,20 @@ def model_cells(spark: SparkSession, d: str) -> DataFrame:
     old = F.to_json(F.struct(F.array(F.struct(F.struct(every("row", "col").alias("cells")).alias("table_data"))).alias("tables")))
     models = rows.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.when(F.col("r_regionkey") % 2 == 0, new).otherwise(old).alias("payload"))
     return M.cells(models).select("doc_id", "row", "col", "row_span", "col_span", "text")
+
+
+def _first_words(texts: DataFrame) -> DataFrame:
+    """Stands in for a model: names an entity for each numbered line, by its first word, and relates neighbours."""
+    lines = texts.select("version_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    word, n = F.lower(F.regexp_extract("t", r"^\[[0-9]+\] \W*(\w+)", 1)), F.regexp_extract("t", r"^\[([0-9]+)\]", 1)
+    return lines.select("version_id", F.col("i").cast("long").alias("line_no"), F.concat_ws("|", F.lit("E"), word, word, F.lit("word"), F.lit(""), n, F.lit("first word")).alias("line"))
+
+
+@query("""SELECT DISTINCT version_id, lower(regexp_extract(regexp_replace(display_content, '\\s+', ' ', 'g'), '^\\W*(\\w+)', 1)) AS key FROM v_chunks
+  WHERE regexp_extract(regexp_replace(display_content, '\\s+', ' ', 'g'), '^\\W*(\\w+)', 1) <> ''""", "chunks")
+def backfilled_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of all versions' texts after a backfill in batches from an empty store."""
+    store = Store(spark, new_folder(spark, "graph"))
+    chunks = V.chunks(spark, d).select("version_id", "chunk_seq", "display_content")
+    backfill.run(store, chunks.select("version_id"), chunks, _first_words, F.lit(0), batch=100_000, most=1_000_000, characters=100_000_000, max_entities=1_000_000)
+    return store.read("entities").select("version_id", "key")
