@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backfill, links
+from ..operators import backfill, links, markdown
 from ..operators import docmodel as M
 from ..sources import views as V
 from ..sources.snapshots import Store
@@ -70,3 +70,21 @@ def backfilled_entities(spark: SparkSession, d: str) -> DataFrame:
     chunks = V.chunks(spark, d).select("version_id", "chunk_seq", "display_content")
     backfill.run(store, chunks.select("version_id"), chunks, _first_words, F.lit(0), batch=100_000, most=1_000_000, characters=100_000_000, max_entities=1_000_000)
     return store.read("entities").select("version_id", "key")
+
+
+_MARKS = """l AS (SELECT doc_id, i AS line_no, regexp_replace(lines[i], '\\s+$', '') AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (
+    SELECT doc_id, string_split(text || chr(10) || '1. ' || source || chr(10) || '- ' || lang, chr(10)) AS lines FROM documents))),
+f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, sum(regexp_matches(line, '^\\s*```')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS fences FROM l),
+k AS (SELECT *, CASE WHEN fence OR fences % 2 = 1 THEN NULL WHEN regexp_matches(trim(line), '^(#{1,6})\\s+(.+)$') THEN 'heading' WHEN regexp_matches(line, '^\\s*[0-9]+[.)]\\s+(.+)$') THEN 'numbered'
+    WHEN regexp_matches(line, '^\\s*[-*+]\\s+(.+)$') THEN 'bullet' WHEN regexp_matches(line, '^\\s*(?:-{3,}|\\*{3,}|_{3,})\\s*$') THEN 'rule' WHEN line = '' THEN 'blank' ELSE 'text' END AS kind FROM f),
+s AS (SELECT *, coalesce(sum((kind = 'numbered')::INT) OVER (PARTITION BY doc_id ORDER BY line_no), 0) AS steps FROM k),
+e AS (SELECT *, steps - coalesce(max(CASE WHEN kind IN ('heading', 'rule', 'text') THEN steps END) OVER (PARTITION BY doc_id ORDER BY line_no), 0) AS n FROM s)"""
+
+
+@query("WITH " + _MARKS + """ SELECT doc_id, line_no, kind, CASE WHEN kind = 'numbered' THEN n END::BIGINT AS number, (kind = 'bullet' AND n > 0) AS nested FROM e WHERE kind IS NOT NULL
+  UNION ALL SELECT doc_id, min(line_no), 'code', NULL, false FROM f WHERE NOT fence AND fences % 2 = 1 GROUP BY doc_id, fences""")
+def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of the lines of whole texts, to each of which a step and a bullet are added."""
+    text = F.concat(F.col("text"), F.lit("\n1. "), F.col("source"), F.lit("\n- "), F.col("lang"))
+    lines = read(spark, d, "documents", "doc_id", "text", "source", "lang").select("doc_id", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    return markdown.blocks(lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "line")).select("doc_id", "line_no", "kind", "number", F.coalesce("nested", F.lit(False)).alias("nested"))

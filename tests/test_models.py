@@ -66,3 +66,24 @@ def test_links_are_followed(spark):
         got = {r.chunk_id: list(r.context) for r in links.expanded(df, window=window).collect()}
         assert got == {i: follow_by_hand(rows, i, window) for i, _, _ in rows}
     assert [r.chunk_id for r in links.expanded(df, df.chunk_id == "x", 2).collect()] == ["x"]
+
+
+def test_markdown_blocks(spark):
+    """Steps are numbered anew, bullets nest below them, fences hide what is within, text ends a procedure."""
+    from quarry.operators import markdown
+
+    page = "## 조치 절차\n1. first\n   - a\n1. second\n\n   - b\n1. third\n   * c\nplain\n- top\n```sql\n# no heading\n1. no step\n\n```\n5) again\n***\n- alone\n```\nopen end"
+    lines = [(1, k, x) for k, x in enumerate(page.split("\n"), 1)] + [(2, 1, None), (2, 2, "- x")]
+    df = spark.createDataFrame(lines, "doc_id long, line_no long, line string")
+    for span in (3, 1000):
+        got = {}
+        for r in markdown.blocks(df, span=span).orderBy("doc_id", "line_no").collect():
+            got.setdefault(r.doc_id, []).append((r.kind, r.level, r.number, r.nested, r.text))
+        assert got == {
+            1: [
+                ("heading", 2, None, None, "조치 절차"), ("numbered", None, 1, None, "first"), ("bullet", None, None, True, "a"), ("numbered", None, 2, None, "second"), ("blank", None, None, None, ""),
+                ("bullet", None, None, True, "b"), ("numbered", None, 3, None, "third"), ("bullet", None, None, True, "c"), ("text", None, None, None, "plain"), ("bullet", None, None, False, "top"),
+                ("code", None, None, None, "# no heading\n1. no step\n"), ("numbered", None, 1, None, "again"), ("rule", None, None, None, ""), ("bullet", None, None, False, "alone"), ("code", None, None, None, "open end"),
+            ],
+            2: [("blank", None, None, None, ""), ("bullet", None, None, False, "x")],
+        }
