@@ -38,7 +38,7 @@ def model_blocks(spark: SparkSession, d: str) -> DataFrame:
     return M.blocks(_models(spark, d), "page_id").select("page_id", "block", "text", "page")
 
 
-@query("""SELECT r_regionkey::BIGINT AS doc_id, row, col, row_span, col_span, text FROM (
+@query("""SELECT r_regionkey::BIGINT AS doc_id, row::INT AS row, col, row_span, col_span, text FROM (
     SELECT r_regionkey, 0 AS row, 0 AS col, 1 AS row_span, 2 AS col_span, r_name AS text FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
     UNION ALL SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 0, 1, 1, n_nationkey::VARCHAR FROM nation
     UNION ALL SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 1, 1, 1, n_name FROM nation)""")
