@@ -12,7 +12,9 @@ all rows inside Spark without Python.
 
 Defined results: null and empty texts have zero features and get the score that the model
 gives them; null labels and null ids are not learned from; documents labelled twice count
-twice; without labels of both kinds every score is 0.5; further columns are ignored.
+twice; without labels of both kinds every score is 0.5; long texts count whole; rows are
+scored one for one, repeated ones alike; an empty table of documents gives an empty table;
+further columns are ignored.
 """
 
 from __future__ import annotations

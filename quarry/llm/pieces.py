@@ -12,7 +12,11 @@ no piece joins to a letter), so stretches are short and their encodings can be k
 bounded cache. Runs of marks, whose pieces share one score, are merged from the left.
 Characters without a piece fall back to their bytes.
 
+Models with pieces that go on after a space, or that hold several spaces and letters, are
+refused with an AssertionError: their stretches could not be cut.
+
 Defined results: null and empty texts give the end id only and decode to the empty text;
+long texts are encoded whole, a row at a time beyond ``SLICE_BYTES``;
 rows are kept one for one, ties and repeated rows included; an empty table gives an empty
 table; further columns pass through, ``ids`` and ``decoded`` replace columns so named.
 """

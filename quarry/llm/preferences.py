@@ -18,7 +18,8 @@ Defined results: a null text is the empty text, a null role the role ``unknown``
 with one number are ordered by role and text, repeated rows of a turn count once; turns
 without a number come last; conversations without an id are one conversation; two equal
 conversations are cut before their last turn, so that completions are never empty on both
-sides; an empty table gives no pairs; further columns are ignored.
+sides; long texts and long conversations are rendered whole; an empty table gives no pairs;
+further columns are ignored.
 """
 
 from __future__ import annotations

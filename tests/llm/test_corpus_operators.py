@@ -60,6 +60,7 @@ def test_odd_tables_of_operators_with_two_inputs(spark):
     labels = spark.createDataFrame([(5, None), (None, 1), (2, 0)], "doc_id long, quality int")
     scored = pairwise_quality.score(odd, labels)
     assert scored.count() == len(ODD) and scored.filter("score is null or abs(score - 0.5) > 1e-9").count() == 0
+    assert pairwise_quality.score(some_docs(spark, []), labels).count() == 0 and pairwise_quality.score(some_docs(spark, []), labels.limit(0)).count() == 0
 
 
 def lines_left(texts, min_words=4):
