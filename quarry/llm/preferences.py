@@ -61,7 +61,8 @@ def pairs(turns: DataFrame) -> DataFrame:
 
     talks = conversations(turns)
     first = F.get("turns", F.lit(0))
-    talks = written(talks.withColumn("_open", F.xxhash64(first["role"], first["text"])), "conversations")
+    opening = F.concat(F.length(first["role"]).cast("string"), F.lit(":"), first["role"], first["text"])  # openings that differ differ in this
+    talks = written(talks.withColumn("_open", F.unhex(F.md5(opening.cast("binary")))), "conversations")
     heads = talks.groupBy("_open").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id"))).alias("head"))
     named = talks.join(heads, "_open").select("conv_id", "turns", F.col("head.id").alias("chosen_id"))
     alone = named.filter(F.col("conv_id").eqNullSafe(F.col("chosen_id")))
