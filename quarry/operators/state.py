@@ -6,6 +6,8 @@ is null is never expired.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,3 +154,33 @@ def completed(jobs: DataFrame, counts: DataFrame, now: Column) -> DataFrame:
         *[c for c in jobs.columns if c not in ("status", "heartbeat_at")],
         F.when(done, "completed").otherwise(F.col("status")).alias("status"), F.when(done, F.col("_n")).alias("chunk_count"), F.when(done, now).otherwise(F.col("heartbeat_at")).alias("heartbeat_at"),
     )
+
+
+def requeue(jobs: DataFrame, report: str, now: Column) -> DataFrame:
+    """Failed and cancelled jobs are queued as if new: attempts, worker, times and error are reset, the report (a JSON object) says so and keeps its other fields."""
+    back = F.col("status").isin("failed", "cancelled")
+    old = F.map_filter(F.coalesce(F.from_json(report, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("processing_stage", "processed_items", "total_items"))
+    said = F.map_concat(old, F.create_map(F.lit("processing_stage"), F.lit("queued"), F.lit("processed_items"), F.lit(None).cast("string"), F.lit("total_items"), F.lit(None).cast("string")))
+    values = {"status": F.lit("queued"), "attempts": F.lit(0), report: F.to_json(said, {"ignoreNullFields": "false"}), "updated_at": now}
+    values |= {c: F.lit(None) for c in ("worker_id", "locked_at", "heartbeat_at", "error_detail", "completed_at")}
+    return jobs.withColumns({c: F.when(back, v.cast(jobs.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items() if c in jobs.columns})
+
+
+def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], replaced: Sequence[str] = (), texts: Sequence[str] = (), largest: Sequence[str] = (), merged: str | None = None) -> DataFrame:
+    """Rows by key after ``new`` (with ``seq``, its order) has come row by row: the newest value of ``replaced``, the newest of ``texts`` that isn't empty, the greatest of ``largest``.
+
+    ``merged`` is a map, of which the newest value of each field stays. Nothing but a key's
+    fields meets in one task, however many rows a key has. Null keys are a key like others.
+    """
+    both = old.withColumn("seq", F.lit(None).cast("long")).unionByName(new.withColumn("seq", F.col("seq").cast("long"))).withColumn("_age", F.coalesce("seq", F.lit(-(2**63)).cast("long")))
+    newest = [F.max_by(F.struct(c), "_age")[c].alias(c) for c in replaced]
+    said = [F.coalesce(F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("_age"))), F.lit("")).alias(c) for c in texts]
+    rows = both.groupBy(*keys).agg(*newest, *said, *[F.max(c).alias(c) for c in largest])
+    if merged is None:
+        return rows
+    fields = both.select(*keys, "_age", F.explode(merged).alias("_k", "_v")).groupBy(*keys, "_k").agg(F.max_by(F.struct("_v"), "_age")["_v"].alias("_v"))
+    maps = fields.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(merged))
+    named = maps.select(*[F.col(k).alias(f"_{k}") for k in keys], merged)
+    same = [rows[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+    held = rows.join(named, same, "left").drop(*[f"_{k}" for k in keys])
+    return held.withColumn(merged, F.coalesce(merged, F.create_map().cast(held.schema[merged].dataType)))
