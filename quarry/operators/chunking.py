@@ -65,9 +65,8 @@ def headed(blocks: list[tuple[int, str | None, str]], target: int, most: int) ->
 
 def _headed(batches: Iterator[pd.DataFrame], target: int, most: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for doc, found in zip(pdf["doc_id"], pdf["b"]):
-            chunks = headed([(b["position"], b["heading"], b["text"] or "") for b in found], target, most)
-            yield pd.DataFrame({"doc_id": [doc] * len(chunks), "seq": range(len(chunks)), "heading": [h for h, _ in chunks], "content": [c for _, c in chunks]})
+        rows = [(doc, seq, *c) for doc, found in zip(pdf["doc_id"], pdf["b"]) for seq, c in enumerate(headed([(b["position"], b["heading"], b["text"] or "") for b in found], target, most))]
+        yield pd.DataFrame(rows, columns=["doc_id", "seq", "heading", "content"])
 
 
 def semantic(blocks: DataFrame, target: int = 700, most: int = 1000) -> DataFrame:

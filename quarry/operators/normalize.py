@@ -37,11 +37,9 @@ def walked(text: str | None) -> list[tuple[int, str, str, list[str], str | None]
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["position", "type", "text", "heading_path", "heading_type"]
+    columns = ["doc_id", "position", "type", "text", "heading_path", "heading_type"]
     for pdf in batches:
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            made = pd.DataFrame(walked(text), columns=columns)
-            yield made.assign(doc_id=doc)[["doc_id", *columns]]
+        yield pd.DataFrame([(doc, *found) for doc, text in zip(pdf["doc_id"], pdf["text"]) for found in walked(text)], columns=columns)
 
 
 def blocks(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,9 +64,8 @@ def grouped(sizes: list[tuple[int, int]], tokens: int, most_rows: int, overlap:
 
 def _grouped(batches: Iterator[pd.DataFrame], tokens: int, most_rows: int, overlap: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for table, found in zip(pdf["table_id"], pdf["f"]):
-            rows = [(seq, r) for seq, group in enumerate(grouped([(x["r"], x["t"]) for x in found], tokens, most_rows, overlap)) for r in group]
-            yield pd.DataFrame(rows, columns=["seq", "r"]).assign(table_id=table)[["table_id", "seq", "r"]]
+        rows = [(table, seq, r) for table, found in zip(pdf["table_id"], pdf["f"]) for seq, group in enumerate(grouped([(x["r"], x["t"]) for x in found], tokens, most_rows, overlap)) for r in group]
+        yield pd.DataFrame(rows, columns=["table_id", "seq", "r"])
 
 
 def chunks(rows: DataFrame, tokens: int = 900, most_rows: int = 30, overlap: int = 1) -> DataFrame:
@@ -76,6 +75,54 @@ def chunks(rows: DataFrame, tokens: int = 900, most_rows: int = 30, overlap: int
     return sized.mapInPandas(partial(_grouped, tokens=tokens, most_rows=most_rows, overlap=overlap), f"table_id {kind}, seq int, r int")
 
 
+def records(grid: DataFrame, paths: DataFrame, header_rows: int = 1) -> DataFrame:
+    """(table_id, r, record) of the rows below the header: texts by header path, in the order of columns.
+
+    Of columns with one path the last one's text counts, at the first one's place; a row whose
+    texts are all blank is dropped.
+    """
+    named = grid.filter(F.col("r") >= header_rows).join(paths, ["table_id", "c"]).groupBy("table_id", "r", "path").agg(F.min("c").alias("at"), F.trim(F.max_by(F.coalesce("text", F.lit("")), "c")).alias("text"))
+    rows = named.groupBy("table_id", "r").agg(F.array_sort(F.collect_list(F.struct("at", "path", "text"))).alias("_x")).filter(F.exists("_x", lambda x: x["text"] != ""))
+    return rows.select("table_id", "r", F.map_from_entries(F.transform("_x", lambda x: F.struct(x["path"], x["text"]))).alias("record"))
+
+
+#: What stands before a table's title, its place in the document, and its notes.
+TITLE, PLACE, NOTE = "[표] ", "[문맥] ", "[각주] "
+
+
+def sentences(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """(table_id, r, fact): each record under its table's title, headings and notes; ``about`` is (table_id, title, article_path, footnotes), any of which may be null."""
+    named = rows.join(about.select("table_id", "title", "article_path", "footnotes"), "table_id", "left")
+    said = F.transform(F.filter(F.map_entries("record"), lambda e: e["value"] != ""), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))
+    none = F.array().cast("array<string>")
+    parts = F.array(
+        F.when(F.col("title") != "", F.concat(F.lit(TITLE), "title")), F.when(F.size(F.coalesce("article_path", none)) > 0, F.concat(F.lit(PLACE), F.array_join("article_path", " > "))),
+        F.array_join(said, "; "), F.array_join(F.transform(F.coalesce("footnotes", none), lambda n: F.concat(F.lit(NOTE), n)), " "),
+    )
+    return named.select("table_id", "r", F.regexp_replace(F.array_join(F.array_compact(parts), "\n"), r"(?U)^\s+|\s+$", "").alias("fact"))
+
+
+def _chunk_name(k: Column) -> Column:
+    """Four digits at least."""
+    return F.concat(F.col("table_id").cast("string"), F.lit(":c:"), F.format_string("%04d", k))
+
+
+def chunk_items(facts: DataFrame, tokens: int = 900, most_rows: int = 30, overlap: int = 1) -> DataFrame:
+    """(chunk_id, parent_id, chunk_index, chunk_count, row_count, content, previous_chunk_id, next_chunk_id) of facts (table_id, r, fact).
+
+    Only rows' numbers and sizes of a table meet in one task; texts meet by chunk. Links are made of
+    numbers, as chunks of a table are numbered from 0 on.
+    """
+    placed = chunks(facts, tokens, most_rows, overlap)
+    told = placed.join(facts, ["table_id", "r"]).groupBy("table_id", "seq").agg(F.count(F.lit(1)).alias("row_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "fact"))), lambda x: x["fact"]), "\n").alias("content"))
+    rows = told.join(placed.groupBy("table_id").agg((F.max("seq") + 1).alias("n")), "table_id")
+    k = F.col("seq")
+    return rows.select(
+        _chunk_name(k).alias("chunk_id"), F.col("table_id").alias("parent_id"), k.cast("long").alias("chunk_index"), F.col("n").cast("long").alias("chunk_count"), "row_count", "content",
+        F.when(k > 0, _chunk_name(k - 1)).alias("previous_chunk_id"), F.when(k + 1 < F.col("n"), _chunk_name(k + 1)).alias("next_chunk_id"),
+    )
+
+
 def continued(pairs: DataFrame, least: float = 0.72) -> DataFrame:
     """Pairs of tables (a_header, b_header, page_gap, a_cols, b_cols) that are one table over a page break."""
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from functools import partial
 from xml.etree import ElementTree
@@ -165,6 +166,10 @@ def pptx_parts(content: bytes) -> list[tuple[int, str, str]]:
     return made
 
 
+#: What reading a file raises that is damaged, locked, packed in an unknown way, or no such file.
+BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, EOFError, KeyError, ValueError, ElementTree.ParseError)
+
+
 def office_parts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, position, kind, text) of Word and PowerPoint files; a file that can't be read has one part, of kind ``broken``."""
 
@@ -174,7 +179,7 @@ def office_parts(spark: SparkSession, folder: str) -> DataFrame:
             for path, suffix, content in zip(pdf["path"], pdf["suffix"], pdf["content"]):
                 try:
                     found = docx_parts(content) if suffix == ".docx" else pptx_parts(content)
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                except BROKEN:
                     found = [(0, "broken", "")]
                 rows += [(path, *f) for f in found]
             yield pd.DataFrame(rows, columns=["path", "position", "kind", "text"])
