@@ -46,21 +46,22 @@ def subgraphs(results: DataFrame, chunks: DataFrame, entities: DataFrame, relati
     """(request_id, entity_id, entity_type, canonical_name, is_seed) and (request_id, source_id, target_id, relation_type, confidence) around the versions of each request's results.
 
     What versions mention and prove is brought together once, by version, before requests meet it.
+    Seeds, known relations and entities are written and read again, as each is met several times.
     """
     of = chunks.select("chunk_id", "version_id")
     hit = results.select("request_id", "chunk_id").join(of, "chunk_id").select("request_id", "version_id").distinct()
     needed = hit.select("version_id").distinct()
     said = mentions.join(of, "chunk_id").join(needed, "version_id", "left_semi").select("version_id", "entity_id").distinct()
     proved = relations.join(of, "chunk_id").join(needed, "version_id", "left_semi").groupBy("version_id", "source_id", "target_id", "relation_type").agg(F.max("confidence").alias("confidence"))
-    seed = hit.join(said, "version_id").select("request_id", "entity_id").distinct()
-    known = hit.join(proved, "version_id").groupBy("request_id", "source_id", "target_id", "relation_type").agg(F.max("confidence").alias("confidence"))
+    seed = written(hit.join(said, "version_id").select("request_id", "entity_id").distinct(), "seeds")
+    known = written(hit.join(proved, "version_id").groupBy("request_id", "source_id", "target_id", "relation_type").agg(F.max("confidence").alias("confidence")), "relations")
     step = lambda here, there: known.select("request_id", F.col(here).alias("entity_id"), F.col(there).alias("to")).join(seed, ["request_id", "entity_id"], "left_semi").select("request_id", F.col("to").alias("entity_id"))
     found = seed.withColumn("is_seed", F.lit(True))
     for reached in (step("source_id", "target_id"), step("target_id", "source_id")):
         found = found.unionByName(reached.withColumn("is_seed", F.lit(False)))
     found = found.groupBy("request_id", "entity_id").agg(F.bool_or("is_seed").alias("is_seed")).join(entities, "entity_id")
     first = Window.partitionBy("request_id").orderBy(F.col("is_seed").desc(), "canonical_name", "entity_id")
-    top = found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most_entities).select("request_id", "entity_id", "entity_type", "canonical_name", "is_seed")
+    top = written(found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most_entities).select("request_id", "entity_id", "entity_type", "canonical_name", "is_seed"), "entities")
     for end in ("source_id", "target_id"):
         known = known.join(top.select("request_id", F.col("entity_id").alias(end)), ["request_id", end], "left_semi")
     surest = Window.partitionBy("request_id").orderBy(F.col("confidence").desc(), "source_id", "target_id", "relation_type")
@@ -137,7 +138,7 @@ def answered(requests: DataFrame, results: DataFrame, graph: tuple[DataFrame, Da
     if graph is None:
         placed, drawn = results.withColumn("neighbor_context", F.lit(None).cast("string")), seen.select("request_id", F.lit(None).cast("string").alias("diagram"))
     else:
-        related = relation_contexts(*graph)
+        related = written(relation_contexts(*graph), "contexts")
         placed = results.join(related.select("request_id", "relation_context"), "request_id", "left").withColumn("neighbor_context", F.when(F.col("position") == 1, F.col("relation_context")))
         drawn = related.select("request_id", "diagram")
     prompts = requests.select("request_id", "query").join(contexts(placed, most), "request_id")

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import guidance as G
 from ..operators import logs as L
 from ..sources import views as V
+from ..sources.store import written
 from . import search
 from .registry import query
 
@@ -66,7 +67,7 @@ _LABELS = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
     CASE WHEN used THEN ['{G.DECOMPILED}'] ELSE [] END AS notices, n_results, CASE WHEN enough THEN diagram END AS diagram FROM judged""", "assets versions chunks entities relations mentions")
 def answered_questions(spark: SparkSession, d: str) -> DataFrame:
     """A question about each entity: evidence, graph, context, answer, statuses and notices."""
-    entities, results = V.entities(spark, d), _results(spark, d)
+    entities, results = V.entities(spark, d), written(_results(spark, d), "results")
     graph = G.subgraphs(results, V.chunks(spark, d), entities, V.relations(spark, d), V.mentions(spark, d))
     return G.answered(entities.select(F.col("entity_id").alias("request_id"), F.col("canonical_name").alias("query")), results, graph, _model, _MOST)
 
