@@ -35,3 +35,10 @@ def test_owners_by_the_order_of_the_sql(spark, tables):
     ids = "(SELECT range::BIGINT AS k FROM range(1, 1500) UNION ALL SELECT range FROM range(2001500, 2003000) UNION ALL SELECT range FROM range(1, 40))"
     folder = tables(part=f"SELECT p.* REPLACE (k AS p_partkey) FROM {ids}, (SELECT * FROM '{{t}}' LIMIT 1) p")
     assert same(spark, folder, "range_owner_innermost")
+
+
+def test_symbols_with_repeated_rows(spark, tables):
+    """Pairs come as often as symbols do, and are not brought together again after the join."""
+    folder = tables(part="SELECT * FROM '{t}' UNION ALL SELECT * FROM '{t}'")
+    assert same(spark, folder, "stack_symbol_lane")
+    assert "Aggregate" not in catalog.QUERIES["stack_symbol_lane"](spark, folder)._jdf.queryExecution().executedPlan().toString()
