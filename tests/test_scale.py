@@ -42,3 +42,11 @@ def test_symbols_with_repeated_rows(spark, tables):
     folder = tables(part="SELECT * FROM '{t}' UNION ALL SELECT * FROM '{t}'")
     assert same(spark, folder, "stack_symbol_lane")
     assert "Aggregate" not in catalog.QUERIES["stack_symbol_lane"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_meet_lists_of_symbols(spark, tables):
+    """A join makes a row for each list of a key, not for each symbol; the pairs are made behind it."""
+    folder = tables(part="SELECT * FROM '{t}' UNION ALL SELECT * FROM '{t}'")
+    assert same(spark, folder, "trace_to_symbol")
+    plan = catalog.QUERIES["trace_to_symbol"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(symbol_ids") < plan.index("Join Inner") < plan.index("Aggregate")
