@@ -75,13 +75,35 @@ def extracted(chunks: DataFrame, extractor: Extractor, points: Column, most: int
     return normalised(extractor(texts(selected(chunks, points, most), characters)), sizes, **limits)
 
 
+def in_batches(ids: DataFrame, batch: int) -> DataFrame:
+    """(version_id, _batch): ids in order, ``batch`` to each batch from 0 on; a range sort, and a row for each of its parts."""
+    placed = written(ids.filter("version_id is not null").orderBy("version_id").withColumn("_part", F.spark_partition_id()), "backfill-ids")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", before.alias("_start"))
+    k = F.row_number().over(Window.partitionBy("_part").orderBy("version_id")) - 1
+    return placed.join(starts, "_part").select("version_id", F.floor((F.col("_start") + k) / batch).cast("long").alias("_batch"))
+
+
+#: Tasks that read and write a batch's chunks.
+SLOTS = 16
+
+
 def run(store: Store, versions: DataFrame, chunks: DataFrame, extractor: Extractor, points: Column, batch: int = 500, force: bool = False, **how: int) -> int:
-    """Works off versions in batches; returns how many got a graph. ``force`` makes all of them anew, each once in this run."""
-    spark = store.spark
-    left = written(targets(versions, store.read("ledger"), force), "backfill-targets")
-    done, last = 0, -(2**63)
-    while ids := [r[0] for r in left.filter(F.col("version_id") > last).orderBy("version_id").limit(batch).collect()]:  # a batch of ids
-        entities, relations = extracted(chunks.filter(F.col("version_id").isin(ids)), extractor, points, **how)
-        store.commit(ids, {"entities": entities, "relations": relations, "ledger": spark.createDataFrame([(i,) for i in ids], "version_id long")})
-        done, last = done + len(ids), ids[-1]
+    """Works off versions in batches; returns how many got a graph. ``force`` makes all of them anew, each once in this run.
+
+    Chunks are made once and written by batch, so that each batch reads its own.
+    """
+    left = written(in_batches(targets(versions, store.read("ledger"), force), batch), "backfill-targets")
+    last = left.agg(F.max("_batch")).first()[0]
+    if last is None:
+        return 0
+    slot = F.pmod(F.xxhash64("version_id"), F.lit(SLOTS))
+    held = written(chunks.join(left, "version_id").repartition(F.col("_batch"), slot), "backfill-chunks", "_batch")
+    done = 0
+    for k in range(last + 1):
+        now = left.filter(F.col("_batch") == k).select("version_id")
+        ids = [r[0] for r in now.orderBy("version_id").collect()]  # a batch of ids
+        entities, relations = extracted(held.filter(F.col("_batch") == k).drop("_batch"), extractor, points, **how)
+        store.commit(ids, {"entities": entities, "relations": relations, "ledger": now})
+        done += len(ids)
     return done

@@ -59,3 +59,26 @@ def test_an_interrupted_run_goes_on(spark, tmp_path):
     assert go() == 0 and len(seen) == 3  # a second run does nothing
     assert store.read("entities").count() == 14 and store.read("ledger").count() == 7
     assert go(force=True) == 7 and store.read("entities").count() == 14 and store.read("ledger").count() == 7
+
+
+def test_chunks_are_made_once_for_all_batches(spark, tmp_path):
+    store, made = Store(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    rows = chunks(spark, range(1, 21))
+    once = rows.mapInPandas(counted, rows.schema)
+    assert B.run(store, rows.select("version_id"), once, lines_of("E|a|A|x||1|"), F.lit(0), batch=4) == 20
+    assert made.value == 60 and store.read("entities").count() == 20
+
+
+def test_batches_are_whole_and_in_order(spark):
+    ids = spark.createDataFrame([(3 * i,) for i in range(50)] + [(None,)], "version_id long").repartition(7)
+    got = {}
+    for r in B.in_batches(ids, 8).collect():
+        got.setdefault(r["_batch"], []).append(r.version_id)
+    assert sorted(x for xs in got.values() for x in xs) == [3 * i for i in range(50)]
+    assert [(k, min(xs), len(xs)) for k, xs in sorted(got.items())] == [(k, 24 * k, min(8, 50 - 8 * k)) for k in range(7)]
