@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -46,14 +46,28 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / length)
 
 
+def lowest(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows whose keys hash lowest.
+
+    Rows are counted in 65,536 stretches of hashes, so that tasks hand on only those up to the
+    stretch in which the last one lies, and not ``most`` each.
+    """
+    hashed = F.xxhash64(key)
+    stretch = F.shiftright(hashed, 48)
+    counted = rows.groupBy(stretch.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    cut = counted.withColumn("n", F.sum("n").over(Window.orderBy("at"))).filter(F.col("n") >= most).agg(F.min("at")).first()[0]
+    return (rows if cut is None else rows.filter(stretch <= cut)).orderBy(hashed, key).limit(most)
+
+
 def build_vectors(embeddings: DataFrame, n_lists: int = 16, sample: int = 20_000, seed: int = 7) -> VectorIndex:
     """Inverted lists under a coarse quantiser: the centres are fitted on ``sample`` vectors at most (those whose ids hash lowest), every vector gets into a list.
 
     The sample is the only bound: it fits the centres and drops no vector. Null embeddings are in no list.
     """
-    usable = embeddings.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    solid = vectors.dot(F.col("embedding"), F.col("embedding")) > 0
-    learn = usable.filter(solid).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(array_to_vector(_unit(F.col("embedding"))).alias("features")).cache()
+    # made once, as they may come from joins, and met three times
+    usable = written(embeddings.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", (vectors.dot(F.col("embedding"), F.col("embedding")) > 0).alias("solid")), "vectors")
+    solid = F.col("solid")
+    learn = lowest(usable.filter(solid), "vec_id", sample).select(array_to_vector(_unit(F.col("embedding"))).alias("features")).cache()
     n = min(n_lists, learn.count())
     if n > 1:
         found = KMeans(k=n, seed=seed, maxIter=15, initMode="random", distanceMeasure="cosine").fit(learn).clusterCenters()

@@ -109,3 +109,21 @@ def test_alike_equals_all_pairs(spark):
     both = df.join(asked).select("q", "id", text.similarity(F.coalesce("name", F.lit("")), F.coalesce("asked", F.lit(""))).alias("s")).filter("s >= 0.35")
     assert got == pytest.approx({(r.q, r.id): r.s for r in both.collect()})
     assert len(got) > 100 and (202, 203) in got
+
+
+def test_a_sample_takes_little_through_one_task(spark):
+    """Of many parts only rows near the sample are handed on, and they are those of the lowest hashes; vectors are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    ids = spark.range(0, 40_000, 1, 8).withColumnRenamed("id", "vec_id")
+    got = [r.vec_id for r in I.lowest(ids, "vec_id", 500).collect()]
+    assert got == [r.vec_id for r in ids.orderBy(F.xxhash64("vec_id"), "vec_id").limit(500).collect()]
+    assert I.lowest(ids.limit(30), "vec_id", 500).count() == 30 and I.lowest(ids.limit(0), "vec_id", 5).count() == 0
+    every = ids.limit(3000).select("vec_id", F.array(F.sin("vec_id"), F.cos("vec_id")).alias("embedding")).localCheckpoint()
+    index = I.build_vectors(every.mapInPandas(counted, every.schema), n_lists=4, sample=200)
+    assert index.lists.count() == 3000 and made.value == 3000
