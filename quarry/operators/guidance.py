@@ -93,9 +93,16 @@ def block() -> Column:
     return F.concat(head, text.strip(F.concat_ws("\n", F.coalesce("content", F.lit("")), "neighbor_context")))
 
 
-def contexts(results: DataFrame, most: int) -> DataFrame:
-    """(request_id, context): results in order within ``most`` characters, separators not counted; only what fits is gathered."""
-    cut = budget.prefix(results.select("request_id", "position", block().alias("block")), ["request_id"], [F.col("position")], "block", most)
+def within(body: Column, most: int) -> Column:
+    """A result's text, stripped, as far as a context of ``most`` characters can show it. A longer one gets an end that never shows: it still fills the context, and is not stripped again."""
+    body = text.strip(F.coalesce(body, F.lit("")))
+    return F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("."))).otherwise(body)
+
+
+def contexts(results: DataFrame, most: int, order: str = "position") -> DataFrame:
+    """(request_id, context): results in order within ``most`` characters, separators not counted; only what fits is sorted and gathered."""
+    shown = results.select("request_id", "position", *({order} - {"position"}), F.substring(block(), 1, most).alias("block"))
+    cut = budget.prefix(shown, ["request_id"], [F.col(order)], "block", most)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), SEPARATOR)
     return cut.groupBy("request_id").agg(joined.alias("context"))
 
@@ -186,14 +193,15 @@ def guided(requests: DataFrame, lines: DataFrame, results: DataFrame, model: Mod
         "request_id", F.lit(0).cast("long").alias("position"), F.lit(LOG_TITLE).alias("title"), F.lit(LOG_FILE).alias("source_filename"), F.lit(LOG_VERSION).alias("version_label"),
         none("page_start", "int"), none("page_end", "int"), "content",
     )
-    every = log.unionByName(results.select(*shown))
-    numbered = every.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy("position")).cast("long")).withColumn("neighbor_context", F.lit(None).cast("string"))
+    # numbers and budgets go by one order, so texts are sorted once
+    every = log.unionByName(results.select(*shown)).withColumnRenamed("position", "_at").withColumn("content", within(F.col("content"), most))
+    numbered = every.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy("_at")).cast("long")).withColumn("neighbor_context", F.lit(None).cast("string"))
     seen = results.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_results"), F.bool_or(decompiled()).alias("decompiled"))
     rows = requests.select("request_id", "query").join(told, "request_id", "left").join(seen, "request_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
     facts = F.to_json(F.struct("error_codes", "exception_classes", "first_at", "last_at", F.col("last_cause").alias("root_cause"), "levels"))
     asked = F.substring(F.concat(F.coalesce("query", F.lit("")), F.lit("\n"), facts, F.lit("\n"), F.col("n_results").cast("string")), 1, 4000)
-    prompts = rows.select("request_id", asked.alias("query")).join(contexts(numbered, most), "request_id")
-    first = written(prompts.join(model(prompts), "request_id", "left"), "guides")  # no model is asked twice for a row
+    prompts = written(rows.select("request_id", asked.alias("query")).join(contexts(numbered, most, "_at"), "request_id"), "prompts")  # contexts are made once
+    first = prompts.join(written(model(prompts).select("request_id", "answer"), "guides"), "request_id", "left")  # no model is asked twice for a row
     lacking = answering.missing_headings(F.col("answer"), template)
     poor = first.filter(F.col("answer").isNotNull() & (F.size(lacking) > 0))
     again = model(poor.select("request_id", F.concat("query", F.lit("\n\n" + MISSING_HEADINGS), F.array_join(lacking, ", ")).alias("query"), "context")).withColumnRenamed("answer", "second")

@@ -107,3 +107,41 @@ def test_guides_of_all_logs(spark):
     kept = rows.filter("generation_status = 'completed'")
     assert kept.count() > 0 and kept.filter(~F.col("answer").rlike(r"(?s)^## Cause\n\d+\n\n## Action\n")).count() == 0
     assert rows.groupBy("request_id").count().filter("count > 1").count() == 0
+
+
+def test_long_results_are_cut_before_they_are_sorted(spark):
+    """Texts beyond the context are the same evidence as before, stripped once and cut where it ends; they are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    most, said = 200, ["  " + "a" * 120 + " " * 400 + "b", "\n" + "c" * 900, "never"]
+    found = results(spark, *[(1, k + 1, t, None, "text", None) for k, t in enumerate(said)])
+    lines = spark.createDataFrame([], "log_id long, line_no long, line string")
+    seen = []
+
+    def model(prompts):
+        seen.extend(prompts.collect())
+        return prompts.select("request_id", F.lit("## A").alias("answer"))
+
+    once = found.mapInPandas(counted, found.schema)
+    assert G.guided(requests(spark, 1), lines, once, model, "## A", most=most).first().answer == "## A"
+    whole = "[1] 제목: T\n파일: 파일명 없음 / 버전: - / " + G.NO_PAGE + "\n본문:\n" + said[0].strip()
+    assert seen[0].context == whole[:most] and len(seen[0].context) == most
+    assert made.value <= 9  # for contexts, and for the counts of results where they are met
+
+
+def test_cut_texts_fill_contexts_like_whole_ones(spark):
+    for body in ("x" * 50, " x" * 50, "x" * 30 + " " * 99 + "y", "y" + "\n" * 99, "", None):
+        row = results(spark, (1, 1, body, None, "text", None), (1, 2, "second", None, "text", None)).withColumn("neighbor_context", F.lit(None).cast("string"))
+        for most in (40, 45, 60, 90, 400):
+            plain = [f"[{k}] 제목: T\n파일: 파일명 없음 / 버전: - / {G.NO_PAGE}\n본문:\n{t}" for k, t in ((1, (body or "").strip()), (2, "second"))]
+            left, parts = most, []
+            for b in plain:
+                if left > 0:
+                    parts.append(b[:left])
+                left -= len(b)
+            assert G.contexts(row.withColumn("content", G.within(F.col("content"), most)), most).first().context == G.SEPARATOR.join(parts)
