@@ -7,16 +7,19 @@ that a query needs: the filter on the key prunes the others.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..sources.store import written
+from ..sources.store import small_batches, written
 
 #: Files that a folder's rows are dealt to, so that a folder with a large part of all rows is several tasks' work.
 FILES = 8
@@ -142,28 +145,64 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+#: Texts that are passed on at once, and words of which the places of one make a row of the index: more takes memory, fewer make more rows.
+TEXTS, BLOCK = 1_000, 500_000
+
+
+def _blocks(labels: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (key, words of each field) a row for each word of a field in a block of them: (term, label, keys, at)."""
+    def listed(parts: list[tuple[pa.Array, pa.Array, np.ndarray]], label: str) -> pa.RecordBatch:
+        word, key, at = zip(*parts)
+        named = pa.concat_arrays(word).dictionary_encode()
+        code = named.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(named.dictionary))))).astype(np.int32))
+        keys, at = pa.concat_arrays(key).take(pa.array(order)), pa.array(np.concatenate(at)[order].astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [named.dictionary, pa.array([label] * len(named.dictionary), pa.string()), pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, at)], ["term", "label", "keys", "at"]
+        )
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [[] for _ in labels], 0
+        for batch in batches:
+            begin = np.zeros(batch.num_rows, np.int64)
+            for k in range(len(labels)):
+                column = batch.column(k + 1)
+                word, row = column.flatten(), pc.list_parent_indices(column).to_numpy()
+                some = pc.not_equal(word, "")
+                word, row = word.filter(some), row[some.to_numpy(zero_copy_only=False)]
+                n = np.bincount(row, minlength=batch.num_rows)
+                at = np.arange(len(row)) - (np.cumsum(n) - n - begin)[row]
+                begin += n
+                held[k].append((word, batch.column(0).take(pa.array(row)), at))
+                size += len(row)
+            if size >= BLOCK:
+                yield from map(listed, held, labels)
+                held, size = [[] for _ in labels], 0
+        if size:
+            yield from map(listed, held, labels)
+
+    return made
+
+
 def postings(docs: DataFrame, key: str, fields: dict[str, tuple[str, str]], buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, key, places: array of (at, label)) in folders by bucket of the word's hash.
+    """(bucket, term, label, keys, at: a place for each key) in folders by bucket of the word's hash.
 
     ``fields``: column -> (label, what separates its words); places go on from one field to the next.
-    A word that stands in a third of all texts is spread: a posting is a row, and no list of them is gathered.
+    A row has a word's places among ``BLOCK`` words (and the rest of ``TEXTS`` texts) at most, so a word that stands in
+    a third of all texts is many rows, and no list of all its places is gathered. Each task writes what it
+    has read: places are neither shuffled nor rows of their own.
     """
-    def labelled(words: Column, begin: Column, label: str) -> Column:
-        return F.transform(words, lambda w, i: F.struct(w.alias("term"), (i + begin).alias("at"), F.lit(label).alias("label")))
-
-    begin, parts = F.lit(0), []
-    for column, (label, apart) in fields.items():
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), apart), lambda w: w != "")
-        parts.append(labelled(words, begin, label))
-        begin = begin + F.size(words)
-    each = docs.select(key, F.explode(F.concat(*parts)).alias("x"))
-    grouped = each.groupBy(F.col("x.term").alias("term"), key).agg(F.array_sort(F.collect_list(F.struct("x.at", "x.label"))).alias("places"))
-    return written(_spread(grouped.withColumn("bucket", _bucket(F.col("term"), buckets)), "bucket", key), "postings", "bucket")
+    split = [F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), apart).alias(f"_{n}") for n, (c, (_, apart)) in enumerate(fields.items())]
+    key_type = docs.schema[key].dataType.simpleString()
+    made = docs.select(key, *split).mapInArrow(_blocks([label for label, _ in fields.values()]), f"term string, label string, keys array<{key_type}>, at array<int>")
+    with small_batches(docs.sparkSession, TEXTS):
+        return written(made.withColumn("bucket", _bucket(F.col("term"), buckets)), "postings", "bucket")
 
 
 def _places(index: DataFrame, terms: list[str], buckets: int) -> DataFrame:
     spark = index.sparkSession
-    wanted = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), buckets)).collect()})  # one for each word of the query
+    wanted = sorted({r[0] for r in spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("t")).select(_bucket(F.col("t"), buckets)).collect()})  # one for each word of the query
     return index.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
 
 
@@ -176,28 +215,31 @@ def covering(index: DataFrame, key: str, terms: list[str], buckets: int = BUCKET
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     if not terms:
-        return index.select(key, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score")).limit(0)
+        return index.select(F.explode("keys").alias(key)).select(key, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score")).limit(0)
     scale = F.create_map(*[F.lit(x) for pair in (weights or WEIGHTS).items() for x in pair])
     which = F.array_position(F.array(*map(F.lit, terms)), F.col("term")).cast("int")
-    named = F.transform("places", lambda p: F.struct(p["at"].alias("at"), which.alias("t"), scale[p["label"]].alias("w")))
-    held = _places(index, terms, buckets).groupBy(key).agg(F.count(F.lit(1)).alias("terms"), F.array_sort(F.flatten(F.collect_list(named))).alias("places")).filter(F.col("terms") == len(terms))
+    each = _places(index, terms, buckets).select(which.alias("t"), scale[F.col("label")].alias("w"), F.inline(F.arrays_zip(F.col("keys").alias(key), "at")))
+    held = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "t", "w"))).alias("places")).filter(F.size(F.array_distinct("places.t")) == len(terms))
     return held.select(key, F.size("places").cast("long").alias("n"), F.round(_density(F.col("places"), len(terms)), 9).alias("score"))
 
 
 def _density(places: Column, n_terms: int) -> Column:
+    """Of places in order; ``last``: for each term the number of its last place, so that a cover is a slice."""
     state = "struct<last:array<int>,from:int,score:double>"
     start = F.struct(F.array(*[F.lit(-1)] * n_terms).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("score")).cast(state)
+    numbered = F.transform(places, lambda x, i: F.struct(x["at"].alias("at"), x["t"].alias("t"), i.alias("i")))
+
+    def gain(first: Column, x: Column) -> Column:
+        inside = F.slice(places, first + 1, x["i"] - first + 1)
+        noise = F.greatest((x["at"] - inside[0]["at"]) - (F.size(inside) - 1), F.lit(0))  # rows of one key count once
+        return F.size(inside) / F.aggregate(inside, F.lit(0.0), lambda a, p: a + F.lit(1.0) / p["w"]) / (noise + 1)
 
     def step(s: Column, x: Column) -> Column:
-        last = F.transform(s["last"], lambda v, i: F.when(i + 1 == x["t"], x["at"]).otherwise(v))
+        last = F.transform(s["last"], lambda v, k: F.when(k + 1 == x["t"], x["i"]).otherwise(v))
         first = F.array_min(last)
-        inside = F.filter(places, lambda p: (p["at"] >= first) & (p["at"] <= x["at"]))
-        noise = (x["at"] - first) - (F.size(inside) - 1)
-        mean = F.size(inside) / F.aggregate(inside, F.lit(0.0), lambda a, p: a + F.lit(1.0) / p["w"])
-        gain = F.when(first > s["from"], mean / (noise + 1)).otherwise(0.0)
-        return F.struct(last.alias("last"), F.greatest(first, s["from"]).alias("from"), (s["score"] + gain).alias("score")).cast(state)
+        return F.struct(last.alias("last"), F.greatest(first, s["from"]).alias("from"), (s["score"] + F.when(first > s["from"], gain(first, x)).otherwise(0.0)).alias("score")).cast(state)
 
-    return F.aggregate(places, start, step)["score"]
+    return F.aggregate(numbered, start, step)["score"]
 
 
 # Trigrams

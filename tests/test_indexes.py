@@ -127,3 +127,13 @@ def test_a_sample_takes_little_through_one_task(spark):
     every = ids.limit(3000).select("vec_id", F.array(F.sin("vec_id"), F.cos("vec_id")).alias("embedding")).localCheckpoint()
     index = I.build_vectors(every.mapInPandas(counted, every.schema), n_lists=4, sample=200)
     assert index.lists.count() == 3000 and made.value == 3000
+
+
+def test_postings_are_lists_of_many_texts(spark):
+    """A row of the index has a word's places in many texts; rows of one key meet again in a search, and their covers count once."""
+    df = spark.range(0, 3000, 1, 3).select("id", F.lit("a b c").alias("body"))
+    index = I.postings(df, "id", {"body": ("D", text.APART)}, buckets=4)
+    assert index.count() == 9 and index.select(F.explode("at")).count() == 9000
+    twice = I.postings(df.unionByName(df), "id", {"body": ("D", text.APART)}, buckets=4)
+    once = {(r.id, r.n, r.score) for r in I.covering(index, "id", ["a", "b"], buckets=4).collect()}
+    assert {(r.id, r.n / 2, r.score) for r in I.covering(twice, "id", ["a", "b"], buckets=4).collect()} == once and len(once) == 3000
