@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import normalize as N
 from ..operators import retrieval as R
 from ..operators import tables as T
 from ..sources import views as V
+from ..sources.store import written
 from ..sources.tables import read
 from . import content, search
 from .registry import query
@@ -143,18 +146,40 @@ def _errors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _all_lanes(spark: SparkSession, d: str, shown: DataFrame, first: int, dense: bool) -> list[DataFrame]:
-    """Every lane of the query over some chunks: frames, then two for each identifier, then graph, lexical, vector."""
+@dataclass(frozen=True)
+class _Hits:
+    """What the lanes rank: ``seen`` (chunk_id, asset_id, created_at, vec_id, tokens, n: score of its words) without texts; the rest are a few rows for each chunk that is hit."""
+
+    seen: DataFrame
+    named: DataFrame
+    entities: DataFrame
+    near: DataFrame
+
+
+def _hits(spark: SparkSession, d: str, dense: bool) -> _Hits:
+    """All of it made once for both sets of lanes: texts are read once, and dropped before chunks are shuffled."""
     n_frames, n = len(_Q.frames), len(_Q.tokens)
-    vecs = read(spark, d, "embeddings", "vec_id", "embedding")
+    at = 1 + n_frames
     symbols = _symbols(spark, d)
-    at = first + n_frames
-    words = R.cover_hits(shown, _TERMS) if dense else R.lexical_hits(shown, _TERMS)
+    read_once = V.chunks(spark, d).select("chunk_id", "asset_id", "version_id", "vec_id", R.held_tokens(_Q, [at + 2 * i for i in range(n)]).alias("tokens"), R.word_score(_TERMS, dense).alias("n"))
+    seen = written(R.searchable(read_once, V.versions(spark, d), V.assets(spark, d)).select("chunk_id", "asset_id", "created_at", "vec_id", "tokens", "n"), "seen-chunks")
+    named = R.frame_hits(symbols, _Q).unionByName(R.trace_hits(_errors(spark, d), V.frames(spark, d), symbols, _Q, [at + 2 * i + 1 for i in range(n)]))
+    vecs = read(spark, d, "embeddings", "vec_id", "embedding")
+    return _Hits(
+        seen, written(named, "named-chunks"), written(R.entity_hits(V.entities(spark, d), V.mentions(spark, d), seen, _TEXT), "entity-chunks"),
+        written(R.distances(vecs, R.first_vector(vecs)), "distances"),
+    )
+
+
+def _all_lanes(hits: _Hits, first: int, assets: tuple[int, ...] | None = None) -> list[DataFrame]:
+    """Every lane of the query, over chunks of some assets or all: frames, then two for each identifier, then graph, lexical, vector."""
+    last = first + len(_Q.frames) + 2 * len(_Q.tokens)
+    chunks = hits.seen if assets is None else hits.seen.filter(F.col("asset_id").isin(*assets))
+    entities = hits.entities if assets is None else hits.entities.join(chunks, "chunk_id", "left_semi")
     return [
-        R.frame_lanes(shown, symbols, _Q, first), R.token_lanes(shown, _Q, [at + 2 * i for i in range(n)]),
-        R.trace_lanes(shown, _errors(spark, d), V.frames(spark, d), symbols, _Q, [at + 2 * i + 1 for i in range(n)]),
-        R.entity_lane(V.entities(spark, d), V.mentions(spark, d), shown, _TEXT, at + 2 * n), R.ranked(words, R.LEXICAL_K, at + 2 * n + 1, F.col("n").desc(), F.col("chunk_id").asc()),
-        R.vector_lane(R.vector_hits(shown, vecs, R.first_vector(vecs)), at + 2 * n + 2),
+        R.named_lanes(chunks, hits.named, first - 1), R.token_lanes(chunks, first - 1),
+        R.ranked(entities, R.LEXICAL_K, last, F.col("score").desc(), F.col("chunk_id").asc()), R.ranked(chunks.filter("n > 0"), R.LEXICAL_K, last + 1, F.col("n").desc(), F.col("chunk_id").asc()),
+        R.vector_lane(R.nearest(chunks, hits.near), last + 2),
     ]
 
 
@@ -190,13 +215,11 @@ _DIST = search._DISTANCES.split(",\nnear AS")[0]
   SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9)::DOUBLE AS rrf_score, row_number() OVER (ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, min(lane_id * 1000000 + rank)) AS position FROM every GROUP BY chunk_id QUALIFY position <= 30""", f"{_BASE} frames symbols entities mentions")
 def hybrid_all_lanes(spark: SparkSession, d: str) -> DataFrame:
     """Lanes for frames, identifiers, errors, names, words and vectors, those over preferred assets first; fused."""
-    return _fused(spark, d, dense=False)
+    return _fused(_hits(spark, d, dense=False))
 
 
-def _fused(spark: SparkSession, d: str, dense: bool) -> DataFrame:
-    shown = search._shown(spark, d)
-    own = shown.filter(F.col("asset_id").isin(*_PREFERRED))
-    best = R.fuse([*_all_lanes(spark, d, own, 1, dense), *_all_lanes(spark, d, shown, _FIRST, dense)])
+def _fused(hits: _Hits) -> DataFrame:
+    best = R.fuse([*_all_lanes(hits, 1, _PREFERRED), *_all_lanes(hits, _FIRST)])
     order = Window.orderBy(F.col("rrf_score").desc(), "first")
     return best.select("chunk_id", "rrf_score", F.row_number().over(order).cast("long").alias("position"))
 
@@ -204,5 +227,8 @@ def _fused(spark: SparkSession, d: str, dense: bool) -> DataFrame:
 @query()
 def hybrid_search_full(spark: SparkSession, d: str) -> DataFrame:
     """The same with words ranked by cover density; the first ten with text and neighbours."""
-    top = _fused(spark, d, dense=True).filter("position <= 10")
-    return V.chunks(spark, d, linked=True).join(F.broadcast(top), "chunk_id").select("chunk_id", "rrf_score", "position", "asset_id", "display_content", "previous_chunk_id", "next_chunk_id")
+    hits = _hits(spark, d, dense=True)
+    top = written(_fused(hits).filter("position <= 10"), "top")
+    # of ten chunks; other documents are not cut into lines again
+    assets = [r.asset_id for r in hits.seen.join(F.broadcast(top), "chunk_id").select("asset_id").distinct().collect()]
+    return V.chunks(spark, d, linked=True).filter(F.col("asset_id").isin(assets)).join(F.broadcast(top), "chunk_id").select("chunk_id", "rrf_score", "position", "asset_id", "display_content", "previous_chunk_id", "next_chunk_id")

@@ -234,10 +234,9 @@ RELATIONS = """v_relations AS (
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_id, entity_id): first chunks mention a nation and a region."""
-    first = chunks(spark, d).filter("chunk_seq = 0").select("chunk_id", "asset_id")
-    return first.select("chunk_id", F.concat(F.lit("n"), (F.col("asset_id") % 25).cast("string")).alias("entity_id")).unionByName(
-        first.filter("asset_id % 3 = 0").select("chunk_id", F.concat(F.lit("s"), (F.col("asset_id") % 10 + 1).cast("string")).alias("entity_id"))
-    )
+    doc = F.col("asset_id")
+    named = F.array_compact(F.array(F.concat(F.lit("n"), (doc % 25).cast("string")), F.when(doc % 3 == 0, F.concat(F.lit("s"), (doc % 10 + 1).cast("string")))))
+    return chunks(spark, d).filter("chunk_seq = 0").select("chunk_id", F.explode(named).alias("entity_id"))
 
 
 MENTIONS = """v_mentions AS (

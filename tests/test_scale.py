@@ -57,3 +57,16 @@ def test_items_of_tables_are_numbered_once(spark):
     from quarry.plans import content
 
     assert content._cells(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_hybrid_search_reads_texts_once(spark):
+    """Both sets of lanes rank hits that are made once; no lane reads a document again, and the last step only those of ten chunks."""
+    from quarry.plans import analysis
+
+    plan = catalog.QUERIES["hybrid_all_lanes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split(" not in plan and "text#" not in plan and "Generate explode(tokens" in plan
+    full = catalog.QUERIES["hybrid_search_full"](spark, SF)
+    scan = full._jdf.queryExecution().executedPlan().toString().split("documents.parquet")[0]
+    assert full.count() == 10 and "PushedFilters: [In(doc_id" in full._jdf.queryExecution().executedPlan().toString(), scan
+    whole = analysis._hits(spark, SF, dense=True).seen
+    assert whole.filter("n > 0").count() > 40 and whole.columns == ["chunk_id", "asset_id", "created_at", "vec_id", "tokens", "n"]
