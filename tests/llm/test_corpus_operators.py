@@ -516,3 +516,11 @@ def test_row_keys_and_repeated_rows(spark):
     assert [tuple(r) for r in kept] == [(1, "a b c d e f", "b", "s", 1), (2, None, "x", "s", 0)]
     keys = spark.createDataFrame([(1, "1"), (11, ""), (None, "-"), (1, None), (1, "")], "i long, t string").select(common.row_key(F.col("i"), F.col("t"))).collect()
     assert len({bytes(k[0]) for k in keys}) == 4
+
+
+def test_word_hashes_lower_a_to_z_only():
+    from quarry.llm import near_dedup
+
+    one = lambda word: int(near_dedup.word_hashes(word)[0])
+    assert one("ABCxyz9") == one("abcxyz9") and one("ÉcolE") == one("École") == one("ÉCOLE".replace("COLE", "cole"))
+    assert len({one(w) for w in ("École", "école", "Kelvin", "kelvin", "İx", "ix")}) == 6
