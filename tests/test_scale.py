@@ -70,3 +70,37 @@ def test_hybrid_search_reads_texts_once(spark):
     assert full.count() == 10 and "PushedFilters: [In(doc_id" in full._jdf.queryExecution().executedPlan().toString(), scan
     whole = analysis._hits(spark, SF, dense=True).seen
     assert whole.filter("n > 0").count() > 40 and whole.columns == ["chunk_id", "asset_id", "created_at", "vec_id", "tokens", "n"]
+
+
+@pytest.mark.parametrize("name", ["stack_symbol_lane"])
+def test_frames_are_shuffled_by_numbers(spark, name):
+    """Names are made behind the shuffle that numbers frames, and frames meet symbols by a number; repeated line numbers, parts and rows count as in the SQL."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert moved and all("hashpartitioning(l_orderkey" in line or "hashpartitioning(_name" in line for line in moved)
+    assert "l_suppkey" not in plan
+
+
+@pytest.mark.parametrize("name", ["stack_symbol_lane"])
+def test_pairs_of_repeated_frames(spark, tables, name):
+    """Lines that share order, number and part are as many frames as the SQL counts, and no order of them is open."""
+    lines = "SELECT * FROM '{t}' UNION ALL SELECT * REPLACE (l_suppkey + 1 AS l_suppkey) FROM '{t}' UNION ALL SELECT * REPLACE (1 AS l_linenumber, 7 AS l_extendedprice) FROM '{t}' WHERE l_orderkey % 5 = 0"
+    assert same(spark, tables(lineitem=lines, part="SELECT * FROM '{t}' UNION ALL SELECT * FROM '{t}' WHERE p_partkey % 3 = 0"), name)
+
+
+def test_frames_of_a_name_come_list_by_list(spark):
+    """Whatever the join, a list of frames meets one list of symbols before the next; short lists, and more names than may be broadcast, give the same pairs."""
+    from quarry.operators import symbols as Y
+
+    frames = spark.range(0, 300, 1, 2).selectExpr("id AS trace_id", "IF(id % 10 = 0, 'rare', IF(id % 10 = 1, 'none', 'common')) AS name", "IF(id % 10 = 2, null, id) AS frame_seq")
+    symbols = spark.range(0, 100, 1, 3).selectExpr("IF(id = 7, 6, id) AS symbol_id", "IF(id % 10 = 0, 'rare', IF(id % 10 = 1, null, 'common')) AS name")
+    expected = sorted(map(str, frames.join(symbols, "name").select("trace_id", "frame_seq", "symbol_id").collect()))
+    for options in ({}, {"held": 40, "size": 8}, {"broadcast_limit": 0}, {"held": 1, "size": 1}):
+        assert sorted(map(str, Y.meant(frames, symbols, "name", **options).collect())) == expected, options
+    runs = []  # a frame's ids that come in one go
+    for p in Y.meant(frames, symbols, "name", size=8).collect():
+        if not runs or runs[-1][0] != p.trace_id:
+            runs.append((p.trace_id, []))
+        runs[-1][1].append(p.symbol_id)
+    assert max(len(ids) for _, ids in runs) <= 8
+    assert sum(a[1] != b[1] for a, b in zip(runs, runs[1:])) < len(runs) / 10
