@@ -72,7 +72,7 @@ def test_hybrid_search_reads_texts_once(spark):
     assert whole.filter("n > 0").count() > 40 and whole.columns == ["chunk_id", "asset_id", "created_at", "vec_id", "tokens", "n"]
 
 
-@pytest.mark.parametrize("name", ["stack_symbol_lane"])
+@pytest.mark.parametrize("name", ["stack_symbol_lane", "trace_to_symbol"])
 def test_frames_are_shuffled_by_numbers(spark, name):
     """Names are made behind the shuffle that numbers frames, and frames meet symbols by a number; repeated line numbers, parts and rows count as in the SQL."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -81,7 +81,7 @@ def test_frames_are_shuffled_by_numbers(spark, name):
     assert "l_suppkey" not in plan
 
 
-@pytest.mark.parametrize("name", ["stack_symbol_lane"])
+@pytest.mark.parametrize("name", ["stack_symbol_lane", "trace_to_symbol"])
 def test_pairs_of_repeated_frames(spark, tables, name):
     """Lines that share order, number and part are as many frames as the SQL counts, and no order of them is open."""
     lines = "SELECT * FROM '{t}' UNION ALL SELECT * REPLACE (l_suppkey + 1 AS l_suppkey) FROM '{t}' UNION ALL SELECT * REPLACE (1 AS l_linenumber, 7 AS l_extendedprice) FROM '{t}' WHERE l_orderkey % 5 = 0"
